@@ -54,7 +54,9 @@ def pit_sql(body: str, extra: dict | None = None) -> str:
     return with_ctes(body, "visits_nation", "stores", "date_info", extra=ctes)
 
 
-def summary_sql(keys: list[str], prefix: str, horizons, src: str = "hist", where: str = "") -> str:
+def summary_sql(keys: list[str], prefix: str, horizons, src: str = "hist", where: str = "",
+                raw: bool = False) -> str:
+    r = (lambda e: e) if raw else globals()["r"]
     cols = []
     for n in horizons:
         f = f"FILTER (WHERE age < {n})"
@@ -73,7 +75,9 @@ def summary_sql(keys: list[str], prefix: str, horizons, src: str = "hist", where
     return f"SELECT end_date, {k}, {', '.join(cols)} FROM {src} {w} GROUP BY end_date, {k}"
 
 
-def exp_sql(keys: list[str], prefix: str, horizon: int = 1000, rate: float = 0.985, where: str = "") -> str:
+def exp_sql(keys: list[str], prefix: str, horizon: int = 1000, rate: float = 0.985, where: str = "",
+            raw: bool = False) -> str:
+    r = (lambda e: e) if raw else globals()["r"]
     f = f"FILTER (WHERE age < {horizon})"
     k = ", ".join(keys)
     w = f"WHERE {where}" if where else ""
@@ -278,17 +282,18 @@ def q_training_set(spark, sf_dir):
     ts = pit.training_set(ctx)
     keep = ["end_date", "store_id", "visit_date", "visitors", "dow", "air_genre_name", "diff_of_day",
             "ahead_holiday_1", "ahead_holiday2_m1"]
-    feats = [c for c in ts.columns if c.startswith(("store_", "genre_", "sgenre_", "first_", "last_"))]
+    feats = [c for c in ts.columns
+             if c not in keep and c.startswith(("store_", "genre_", "sgenre_", "first_", "last_"))]
     return rounded(ts.select(*keep, *feats))
 
 
 def sql_training_set():
     horizons_s, horizons_g = pit.STORE_HORIZONS, pit.GENRE_HORIZONS
     extra = {
-        "fs": summary_sql(["store_id"], "store", horizons_s).replace("round(", "(", 0),
-        "fe": exp_sql(["store_id"], "store"),
+        "fs": summary_sql(["store_id"], "store", horizons_s, raw=True),
+        "fe": exp_sql(["store_id"], "store", raw=True),
         "ffl": "SELECT end_date, store_id, max(age) AS first_time, min(age) AS last_time FROM hist GROUP BY 1, 2",
-        "fg": summary_sql(["air_genre_name"], "genre", horizons_g, where="air_genre_name IS NOT NULL"),
+        "fg": summary_sql(["air_genre_name"], "genre", horizons_g, where="air_genre_name IS NOT NULL", raw=True),
         "lab": """SELECT d.*, w.end_date FROM pit_data d JOIN windows w
                   ON d.visit_date >= w.end_date AND d.visit_date < w.end_date + w.days_in_label""",
     }

@@ -127,15 +127,33 @@ class PitContext:
         return (data if data is not None else self.data).join(cal, "visit_date")
 
 
+# Target exploded (pivot, visit) rows per task of the history scan.
+ROWS_PER_TASK = 2_000_000
+
+
 def make_context(data: DataFrame, pivot_date: str, end_date: str, step: int = 7,
                  days_in_label: int = 39, min_stat_days: int = 37,
-                 calendar: DataFrame | None = None, materialize: bool = True) -> PitContext:
-    """Checkpoint `data` once (it feeds every family) and build the windows."""
-    if materialize:
-        data = cut_lineage(data)
+                 calendar: DataFrame | None = None, materialize: bool = True,
+                 max_horizon: int = 1000) -> PitContext:
+    """Checkpoint `data` once (it feeds every family) and build the windows.
+
+    The daily table is small next to its fan-out (about max_horizon/step pivots
+    per row), and AQE would coalesce it to a handful of partitions.  It is
+    therefore re-partitioned by its unique key (store_id, visit_date) - which no
+    store can make hot - into enough partitions for the exploded rows.
+    """
     w = pivot_windows(data, pivot_date, end_date, step, days_in_label, min_stat_days)
-    w = cut_lineage(w) if materialize else w
+    if not materialize:
+        return PitContext(data=data, windows=w, n_windows=w.count(), calendar=calendar)
+    data = cut_lineage(data)
+    w = cut_lineage(w)
     n = w.count()  # bounded by calendar span / step; sizes the broadcast decision
+    rows = data.count()
+    fan = min(n, max_horizon // max(step, 1) + 1)
+    spark = data.sparkSession
+    floor_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(floor_parts, -(-rows * fan // ROWS_PER_TASK))
+    data = cut_lineage(data.repartition(parts, "store_id", "visit_date"))
     return PitContext(data=data, windows=w, n_windows=n, calendar=calendar)
 
 
@@ -163,13 +181,31 @@ def _fill0(df: DataFrame, keys) -> DataFrame:
     return df.na.fill(0, subset=cols)
 
 
-def summary_family(hist: DataFrame, keys: list[str], prefix: str, horizons) -> DataFrame:
-    """Seven statistics per key for every horizon in one aggregation."""
+def summary_aggs(prefix: str, horizons) -> list[Column]:
+    """Seven statistics for every horizon, as conditional aggregates."""
     aggs: list[Column] = []
     for n in horizons:
         x = S.within("age", n, F.col("visitors"))
         aggs += S.summary7(x, prefix, str(n))
-    return hist.groupBy("end_date", *keys).agg(*aggs)
+    return aggs
+
+
+def exp_aggs(prefix: str, horizon: int, rate: float = S.DEFAULT_DECAY) -> list[Column]:
+    """Decayed mean and its weight sum."""
+    x = S.within("age", horizon, F.col("visitors"))
+    num, den = S.decay_sums(x, "age", rate)
+    return [(num / den).alias(f"{prefix}_exp_mean{horizon}"), den.alias(f"{prefix}_exp_weight_sum{horizon}")]
+
+
+def first_last_aggs(horizon: int = 1000) -> list[Column]:
+    """Pivot - first and pivot - last visit date in the window."""
+    a = F.when(F.col("age") < horizon, F.col("age"))
+    return [F.max(a).alias("first_time"), F.min(a).alias("last_time")]
+
+
+def summary_family(hist: DataFrame, keys: list[str], prefix: str, horizons) -> DataFrame:
+    """One aggregation (one shuffle) for all horizons of a key family."""
+    return hist.groupBy("end_date", *keys).agg(*summary_aggs(prefix, horizons))
 
 
 def store_visitor_feat(ctx: PitContext, horizons=STORE_HORIZONS) -> DataFrame:
@@ -200,12 +236,7 @@ def store_holiday_feat(ctx: PitContext, horizon: int = 1000) -> tuple[DataFrame,
 
 def exp_family(hist: DataFrame, keys: list[str], prefix: str, horizon: int,
                rate: float = S.DEFAULT_DECAY) -> DataFrame:
-    """Decayed mean and its weight sum."""
-    x = S.within("age", horizon, F.col("visitors"))
-    num, den = S.decay_sums(x, "age", rate)
-    return (hist.groupBy("end_date", *keys)
-            .agg((num / den).alias(f"{prefix}_exp_mean{horizon}"),
-                 den.alias(f"{prefix}_exp_weight_sum{horizon}")))
+    return hist.groupBy("end_date", *keys).agg(*exp_aggs(prefix, horizon, rate))
 
 
 def store_exp_feat(ctx: PitContext, horizon: int = 1000) -> DataFrame:
@@ -288,8 +319,7 @@ def store_week_diff_feat(ctx: PitContext, horizons=DIFF_HORIZONS) -> DataFrame:
 def first_last_time_feat(ctx: PitContext, horizon: int = 1000) -> DataFrame:
     """Pivot - first and pivot - last visit date in the window."""
     h = ctx.history(horizon)
-    return (h.where(F.col("age") < horizon).groupBy("end_date", "store_id")
-            .agg(F.max("age").alias("first_time"), F.min("age").alias("last_time")))
+    return h.groupBy("end_date", "store_id").agg(*first_last_aggs(horizon))
 
 
 def reserve_feat(ctx: PitContext, reserves: DataFrame) -> DataFrame:
@@ -359,10 +389,11 @@ def training_set(ctx: PitContext, families: list | None = None) -> DataFrame:
     """
     lab = labels(ctx)
     if families is None:
-        families = [(store_visitor_feat(ctx), ["store_id"]),
-                    (store_exp_feat(ctx), ["store_id"]),
-                    (first_last_time_feat(ctx), ["store_id"]),
-                    (genre_visitor_feat(ctx), ["air_genre_name"])]
+        hist = ctx.history(max(STORE_HORIZONS))
+        # store-keyed families fused: one explode, one shuffle
+        store = hist.groupBy("end_date", "store_id").agg(
+            *summary_aggs("store", STORE_HORIZONS), *exp_aggs("store", 1000), *first_last_aggs(1000))
+        families = [(store, ["store_id"]), (genre_visitor_feat(ctx), ["air_genre_name"])]
     for f, keys in families:
         lab = attach(lab, f, keys)
     return second_feat(lab)
