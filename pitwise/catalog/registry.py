@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("pit_queries",)
+MODULES = ("pit_queries", "ts_queries")
 
 
 def _mods():

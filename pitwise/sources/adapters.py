@@ -142,7 +142,7 @@ def clinical(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_custkey") % 7 == 0).alias("BE_FLAG"),
         F.when(F.col("o_orderkey") % 10 == 0, None).otherwise(F.col("o_totalprice")).alias("TRANS_RBC"),
         (F.col("o_totalprice") / 1000.0).alias("AF_PRICE_K"),
-        F.unix_millis("o_orderdate").alias("dt_data"),
+        F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("dt_data"),
         F.lit("CONST").alias("DEPT_CODE"),
         F.lit(None).cast("double").alias("RBC_LOSS"),
         F.when(F.col("o_orderkey") % 3 == 0, None).otherwise(F.col("o_orderkey") % 13).alias("OP_CODE"))
