@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("pit_queries", "ts_queries")
+MODULES = ("pit_queries", "ts_queries", "rel_queries")
 
 
 def _mods():
