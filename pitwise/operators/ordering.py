@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut_lineage
+
 _LOCAL_MASK = (1 << 33) - 1
 
 
@@ -34,6 +36,9 @@ def global_row_number(df: DataFrame, order_cols: list, group_cols: list | None =
     tagged = ranged.withColumn("__mid", mid).withColumns(
         {"__pid": F.shiftright("__mid", 33), "__pos": F.col("__mid").bitwiseAND(F.lit(_LOCAL_MASK))}
     ).drop("__mid")
+    # Range bounds are sampled from the input; with a shuffled input two evaluations could
+    # disagree.  Materialise the tagged rows once (reliable checkpoint, survives executor loss).
+    tagged = cut_lineage(tagged)
     # position within (group, partition): local position minus the first position of the group there
     counts = tagged.groupBy(*group_cols, "__pid").agg(F.count(F.lit(1)).alias("__n"),
                                                      F.min("__pos").alias("__p0"))
