@@ -55,3 +55,50 @@ def global_row_number(df: DataFrame, order_cols: list, group_cols: list | None =
 def group_sizes(df: DataFrame, group_cols: list, out: str = "n") -> DataFrame:
     """Row count per group (partial aggregation, joined back by key)."""
     return df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias(out))
+
+
+def global_prefix_sum(df: DataFrame, order_cols: list, value_col: str, group_cols: list | None = None,
+                      out: str = "offset", num_partitions: int | None = None) -> DataFrame:
+    """Add `out` = sum of `value_col` over all earlier rows (exclusive prefix sum) within `group_cols`.
+
+    Two levels: a per-partition running sum over range-partitioned, sorted rows
+    (Arrow batches in `mapInPandas`), then per-partition totals whose prefix
+    over partitions (one row per partition) is broadcast back.
+    """
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    group_cols = group_cols or []
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*group_cols, *order_cols]
+    ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+              .withColumn("__pid", F.spark_partition_id()))
+    schema = T.StructType(ranged.schema.fields + [T.StructField("__local", T.LongType())])
+    gcols = list(group_cols)
+
+    def local_excl(batches):
+        carry: dict = {}
+        for pdf in batches:
+            v = pdf[value_col].fillna(0).astype("int64")
+            if gcols:
+                gkey = pdf[gcols].astype(str).agg("\x1f".join, axis=1)
+                base = gkey.map(lambda k: carry.get(k, 0)).astype("int64")
+                cs = v.groupby(gkey.values).cumsum() - v + base
+                for k, tot in (v.groupby(gkey.values).sum()).items():
+                    carry[k] = carry.get(k, 0) + int(tot)
+            else:
+                b = carry.get(None, 0)
+                cs = v.cumsum() - v + b
+                carry[None] = b + int(v.sum())
+            yield pdf.assign(__local=cs.values)
+
+    tagged = cut_lineage(ranged.mapInPandas(local_excl, schema))
+    totals = tagged.groupBy(*group_cols, "__pid").agg(F.sum(F.coalesce(F.col(value_col), F.lit(0)))
+                                                      .cast("long").alias("__t"))
+    w = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()).orderBy("__pid")
+    offs = totals.select(*group_cols, "__pid",
+                         F.coalesce(F.sum("__t").over(w.rowsBetween(Window.unboundedPreceding, -1)),
+                                    F.lit(0)).alias("__poff"))
+    j = tagged.join(F.broadcast(offs), [*group_cols, "__pid"])
+    return j.withColumn(out, (F.col("__poff") + F.col("__local")).cast("long")).drop("__pid", "__local", "__poff")
