@@ -164,10 +164,11 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per order a file with an array of boxes (height=qty, width=line number)."""
     li = table(spark, sf_dir, "lineitem")
     return (li.groupBy("l_orderkey")
-            .agg(F.collect_list(F.struct(F.col("l_quantity").alias("height"),
-                                         F.col("l_linenumber").cast("double").alias("width"),
-                                         (F.col("l_discount") * 100).alias("x"),
-                                         (F.col("l_tax") * 100).alias("y"))).alias("annotations"))
+            # sorted: a file's boxes are a bounded group, and sorting makes the order reproducible
+            .agg(F.array_sort(F.collect_list(F.struct(F.col("l_quantity").alias("height"),
+                                                      F.col("l_linenumber").cast("double").alias("width"),
+                                                      (F.col("l_discount") * 100).alias("x"),
+                                                      (F.col("l_tax") * 100).alias("y")))).alias("annotations"))
             .select(F.concat(F.lit("img/"), F.col("l_orderkey").cast("string"), F.lit(".jpg")).alias("filename"),
                     "annotations"))
 
