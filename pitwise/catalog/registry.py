@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("pit_queries", "ts_queries", "rel_queries", "prep_queries", "text_queries", "str_queries", "eval_queries", "model_queries")
+MODULES = ("pit_queries", "ts_queries", "rel_queries", "prep_queries", "text_queries", "str_queries", "eval_queries", "model_queries", "io_queries")
 
 
 def _mods():
