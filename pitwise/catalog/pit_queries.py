@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as S
 from ..plans import pit
+from ..session import cut_lineage
 from ..sources import adapters as A
 from .canonical_sql import with_ctes
 from .common import q, r, rounded
@@ -20,6 +21,10 @@ STEP, LABEL_DAYS, MIN_STAT = 7, 39, 37
 def context(spark: SparkSession, sf_dir: str, materialize: bool = True) -> pit.PitContext:
     v = A.visits_nation(spark, sf_dir)
     cal = A.date_info(v)
+    if materialize:
+        # the daily table and its calendar feed every family and several joins: compute once
+        v = cut_lineage(v)
+        cal = cut_lineage(A.date_info(v))
     data = pit.pit_data(v, A.stores(spark, sf_dir), cal)
     return pit.make_context(data, PIVOT_DATE, END_DATE, STEP, LABEL_DAYS, MIN_STAT,
                             calendar=cal, materialize=materialize)

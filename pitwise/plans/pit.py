@@ -145,7 +145,6 @@ def make_context(data: DataFrame, pivot_date: str, end_date: str, step: int = 7,
     w = pivot_windows(data, pivot_date, end_date, step, days_in_label, min_stat_days)
     if not materialize:
         return PitContext(data=data, windows=w, n_windows=w.count(), calendar=calendar)
-    data = cut_lineage(data)
     w = cut_lineage(w)
     n = w.count()  # bounded by calendar span / step; sizes the broadcast decision
     rows = data.count()

@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reference computes every feature in batch over historical tables; it has no
+watermark, trigger, late-data or stateful streaming operator, so none is built
+here.  All operators are plain DataFrame transformations and therefore also run
+inside a `foreachBatch` sink if a caller feeds them micro-batches.
+"""
