@@ -43,12 +43,12 @@ def test_elapsed_partitioned_matches_per_key(spark):
 
 def test_unique_guard_refuses_repeated_dates(spark):
     ts = 1506787200000
-    df = spark.createDataFrame([(ts, i) for i in range(1, 6)], "Date long, indicator int") \
-        .withColumn("Date", F.timestamp_millis("Date"))
-    with pytest.raises(ValueError):
-        EV.assert_unique(df, [], "Date")
-    parts = df.withColumns(D.epoch_ms_parts("indicator")).select("indicator").collect()
+    raw = spark.createDataFrame([(ts, i) for i in range(1, 6)], "Date long, indicator int")
+    parts = raw.withColumns(D.epoch_ms_parts("Date")).orderBy("indicator").collect()
     assert [r.indicator for r in parts] == [1, 2, 3, 4, 5]
+    assert {(r.Date_year, r.Date_month, r.Date_day, r.Date_hour) for r in parts} == {(2017, 9, 30, 16)}
+    with pytest.raises(ValueError):
+        EV.assert_unique(raw.withColumn("Date", F.timestamp_millis("Date")), [], "Date")
 
 
 def test_add_datepart_docstring(spark):
