@@ -18,7 +18,22 @@ END_DATE = "2001-08-01"
 STEP, LABEL_DAYS, MIN_STAT = 7, 39, 37
 
 
+_CONTEXTS: dict = {}
+
+
 def context(spark: SparkSession, sf_dir: str, materialize: bool = True) -> pit.PitContext:
+    """Checkpointed inputs of one build, reused by every family query of the same session and
+    input folder (as the reference reuses its materialised steps)."""
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir, PIVOT_DATE, END_DATE, STEP, LABEL_DAYS, MIN_STAT)
+    if materialize and key in _CONTEXTS:
+        return _CONTEXTS[key]
+    ctx = _build_context(spark, sf_dir, materialize)
+    if materialize:
+        _CONTEXTS[key] = ctx
+    return ctx
+
+
+def _build_context(spark: SparkSession, sf_dir: str, materialize: bool) -> pit.PitContext:
     v = A.visits_nation(spark, sf_dir)
     cal = A.date_info(v)
     if materialize:

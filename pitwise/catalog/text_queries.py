@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import text as TX
 from ..sources import adapters as A
+from ..session import cut_lineage, ensure_parallelism
 from ..sources.tables import table
 from .canonical_sql import with_ctes
 from .common import r, rounded
@@ -30,9 +31,13 @@ def _sql_tok(col: str, lower: bool = False) -> str:
             f"lambda x: x <> '')")
 
 
-def _docs(spark, sf, lower=False):
+def _docs(spark, sf, lower=False, materialize=False, only_labelled=False):
     d = table(spark, sf, "documents")
-    return d.select("doc_id", "source", TX.tokenize("text", lower=lower).alias("tokens"))
+    if only_labelled:
+        d = d.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    d = ensure_parallelism(d, "doc_id")
+    t = d.select("doc_id", "source", TX.tokenize("text", lower=lower).alias("tokens"))
+    return cut_lineage(t) if materialize else t
 
 
 TOK_L = f"(SELECT doc_id, source, {_sql_tok('text', True)} AS tokens FROM documents)"
@@ -47,7 +52,7 @@ IDS_SQL = f"(SELECT doc_id, list(id ORDER BY pos) AS ids FROM {LONG_IDS} GROUP B
 
 
 def _ids(spark, sf):
-    toks = _docs(spark, sf, lower=True)
+    toks = _docs(spark, sf, lower=True, materialize=True)
     return TX.numericalize(toks, TX.vocabulary(toks))
 
 
@@ -94,7 +99,7 @@ def q_wv(spark, sf):
 
 @reg("text_vocab_vectors")
 def q_vocab_vec(spark, sf):
-    toks = _docs(spark, sf, lower=True)
+    toks = _docs(spark, sf, lower=True, materialize=True)
     vocab = TX.vocabulary(toks)
     words = _words(spark, sf)
     vecs = table(spark, sf, "embeddings").select(F.col("vec_id").cast("int").alias("idx"),
@@ -131,7 +136,7 @@ STREAM_SQL = f"""(SELECT source, doc_id, CAST(off + pos AS BIGINT) AS idx, token
 
 @reg("text_token_stream", f"SELECT * FROM {STREAM_SQL}")
 def q_stream(spark, sf):
-    return TX.token_stream(_docs(spark, sf, lower=True), group_cols=["source"])
+    return TX.token_stream(_docs(spark, sf, lower=True, materialize=True), group_cols=["source"])
 
 
 BS, BPTT = 16, 70
@@ -152,7 +157,7 @@ y AS (SELECT (t - 1) // {BPTT} AS chunk, stream, list(id ORDER BY t) AS y FROM s
       WHERE t >= 1 AND (t - 1) // {BPTT} < nb // {BPTT} - 1 GROUP BY 1, 2)
 SELECT CAST(x.chunk AS BIGINT) AS chunk, x.stream, x.x, y.y FROM x JOIN y ON x.chunk = y.chunk AND x.stream = y.stream""")
 def q_lm(spark, sf):
-    toks = _docs(spark, sf, lower=True)
+    toks = _docs(spark, sf, lower=True, materialize=True)
     vocab = TX.vocabulary(toks)
     st = TX.token_stream(toks.select("doc_id", "tokens"))
     st = st.join(vocab.select("token", "id"), "token", "left").withColumn("id", F.coalesce("id", F.lit(0)))
@@ -179,7 +184,8 @@ NB_SQL = f"""(SELECT term, c AS class, ln(((s_c + 1) / n_c) / ((s - s_c + 1) / (
 
 
 def _nb(spark, sf):
-    bow = TX.bag_of_words(_docs(spark, sf, lower=True))
+    # the ratios only use labelled documents: tokenise just those (semi-join before the explode)
+    bow = TX.bag_of_words(_docs(spark, sf, lower=True, only_labelled=True))
     lab = table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("y"))
     return bow, lab, TX.nb_ratios(bow, lab)
 
@@ -197,8 +203,9 @@ FROM (SELECT doc_id, class, sum(r) AS score FROM
                                   FROM {BOW_SQL}) WHERE k <= 2000) t
        JOIN {NB_SQL} n ON t.term = n.term GROUP BY 1, 2))""")
 def q_nbscore(spark, sf):
-    bow, lab, ratios = _nb(spark, sf)
-    return rounded(TX.nb_scores(bow, ratios))
+    _, lab, ratios = _nb(spark, sf)
+    bow_all = TX.bag_of_words(_docs(spark, sf, lower=True))
+    return rounded(TX.nb_scores(bow_all, ratios))
 
 
 CHARV_SQL = """(SELECT ch, CAST(row_number() OVER (ORDER BY ch) AS BIGINT) AS id FROM

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ordering import global_row_number
 
 NA_CATEGORY = "#NA#"
@@ -21,11 +22,12 @@ def fit_dictionary(df: DataFrame, col: str, order_by: str | None = None) -> Data
     """Sorted distinct values -> 0-based code (O132).  With `order_by`, values are
     numbered by their first appearance in that order instead (O134)."""
     vals = df.where(F.col(col).isNotNull())
+    # the distinct values are small next to the input: materialise them once before ranking
     if order_by is None:
-        d = vals.select(col).distinct()
+        d = cut_lineage(vals.select(col).distinct())
         ranked = global_row_number(d, [col])
     else:
-        d = vals.groupBy(col).agg(F.min(order_by).alias("__first"))
+        d = cut_lineage(vals.groupBy(col).agg(F.min(order_by).alias("__first")))
         ranked = global_row_number(d, ["__first", col]).drop("__first")
     return ranked.select(col, (F.col("rn") - 1).alias("code"))
 

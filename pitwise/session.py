@@ -65,3 +65,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediates."""
     base = checkpoint_dir(spark)
     return os.path.join(base, "tables", name)
+
+
+def ensure_parallelism(df: DataFrame, *keys: str, factor: int = 2) -> DataFrame:
+    """Hash-spread a table whose scan yields fewer partitions than cores (few large row groups)
+    before CPU-heavy row work such as regex tokenising.  Large inputs are left untouched."""
+    spark = df.sparkSession
+    want = spark.sparkContext.defaultParallelism * factor
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, *keys) if keys else df.repartition(want)
