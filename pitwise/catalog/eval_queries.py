@@ -231,10 +231,9 @@ def q_sub(spark, sf):
     means = v.groupBy("store_id").agg(F.avg("visitors").alias("visitors")).where(F.col("store_id") % 2 == 0)
     from ..functions.strings import id_build
     last = v.agg(F.max("visit_date")).scalar()
-    days = v.sparkSession.range(1).select(F.explode(F.sequence(F.date_add(last, 1), F.date_add(last, 39)))
-                                          .alias("visit_date"))
-    preds = means.join(F.broadcast(days), how="inner").select(id_build("store_id", "visit_date").alias("id"),
-                                                              "visitors")
+    preds = (means.select("store_id", "visitors",
+                          F.explode(F.sequence(F.date_add(last, 1), F.date_add(last, 39))).alias("visit_date"))
+             .select(id_build("store_id", "visit_date").alias("id"), "visitors"))
     return rounded(M.assemble_submission(sub, preds, "id", "visitors"))
 
 

@@ -145,8 +145,8 @@ FROM ({_fc_sql('fut')})""", "visits_nation", "date_info", extra=FC_CTES))
 def q_fc(spark, sf):
     v, hist, fit, dow = _fit(spark, sf)
     last = v.agg(F.max("visit_date")).scalar()
-    days = spark.range(1).select(F.explode(F.sequence(F.date_add(last, 1), F.date_add(last, 39))).alias("visit_date"))
-    rows = (v.select("store_id").distinct().join(F.broadcast(days), how="inner")  # 39-row generator
+    rows = (v.select("store_id").distinct()
+            .select("store_id", F.explode(F.sequence(F.date_add(last, 1), F.date_add(last, 39))).alias("visit_date"))
             .withColumn("holiday_flg", F.dayofmonth("visit_date").isin(*A.HOLIDAY_DAYS_OF_MONTH).cast("int")))
     return rounded(MD.predict_series(rows, fit, dow, "store_id", "visit_date", "holiday_flg"))
 

@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
+from functools import wraps
 from importlib import import_module
 
-MODULES = ("pit_queries", "ts_queries", "rel_queries", "prep_queries", "text_queries", "str_queries", "eval_queries", "model_queries", "io_queries")
+MODULES = ("pit_queries", "ts_queries", "rel_queries", "prep_queries", "text_queries", "str_queries",
+           "eval_queries", "model_queries", "io_queries")
 
 
 def _mods():
     return [import_module(f"pitwise.catalog.{m}") for m in MODULES]
 
 
+def _utc(fn):
+    """Timestamps in the data are zone-less; pin the session zone so conversions match the oracle."""
+    @wraps(fn)
+    def run(spark, sf_dir):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, sf_dir)
+    return run
+
+
 def queries() -> dict:
     out: dict = {}
     for m in _mods():
-        out.update(m.QUERIES)
+        out.update({k: _utc(v) for k, v in m.QUERIES.items()})
     return out
 
 
@@ -27,4 +38,4 @@ def oracle_sql() -> dict:
 
 def flagship(spark, sf_dir):
     from . import pit_queries
-    return pit_queries.q_training_set(spark, sf_dir)
+    return _utc(pit_queries.q_training_set)(spark, sf_dir)

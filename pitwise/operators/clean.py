@@ -186,8 +186,7 @@ def apply_median_fill(df: DataFrame, medians: DataFrame, cols: list[str],
                       force: list[str] | None = None) -> DataFrame:
     """O115 apply: `{c}_na` flag + fill with the stored median (flag forced for known names)."""
     force = force or []
-    m = medians.select(*[F.col(c).alias(f"__med_{c}") for c in cols])
-    j = df.crossJoin(F.broadcast(m))  # one-row state table
-    out = j.withColumns({**{f"{c}_na": F.col(c).isNull() for c in cols},
-                         **{c: F.coalesce(F.col(c).cast("double"), F.col(f"__med_{c}")) for c in cols}})
-    return out.drop(*[f"__med_{c}" for c in cols])
+    # one-row state: each median is a scalar subquery
+    return df.withColumns({**{f"{c}_na": F.col(c).isNull() for c in cols},
+                           **{c: F.coalesce(F.col(c).cast("double"), medians.select(F.col(c).cast("double")).scalar())
+                              for c in cols}})

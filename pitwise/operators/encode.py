@@ -87,9 +87,9 @@ def fit_scaler(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def apply_scaler(df: DataFrame, state: DataFrame, cols: list[str]) -> DataFrame:
     """O137/O140 apply: (x - mean) / std with the stored state (one-row broadcast)."""
-    j = df.crossJoin(F.broadcast(state))
-    out = j.withColumns({c: (F.col(c) - F.col(f"{c}__mean")) / F.col(f"{c}__std") for c in cols})
-    return out.drop(*[x for c in cols for x in (f"{c}__mean", f"{c}__std")])
+    # one-row state: means and stds are scalar subqueries
+    return df.withColumns({c: (F.col(c) - state.select(f"{c}__mean").scalar()) / state.select(f"{c}__std").scalar()
+                           for c in cols})
 
 
 def nn_fill(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:

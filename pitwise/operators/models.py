@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, cut_lineage
 
 # Largest training side (rows) the exact k-NN ships to every task.
 KNN_BROADCAST_ROWS = 200_000
@@ -124,8 +124,7 @@ def drop_column_importance(est_factory, train: DataFrame, valid: DataFrame, feat
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
-    return out.crossJoin(base.withColumnRenamed("e", "__b")).select(
-        "column", (F.col("e") - F.col("__b")).alias("importance"))
+    return out.select("column", (F.col("e") - base.select("e").scalar()).alias("importance"))
 
 
 def tree_spread(model, df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
@@ -172,6 +171,7 @@ def fit_series(hist: DataFrame, key: str, date_col: str, value: str, holiday: st
     t = F.datediff(F.col(date_col), F.lit("1970-01-01").cast("date")).cast("double")
     h = hist.select(key, date_col, t.alias("t"), F.log1p(value).alias("y"), F.weekday(date_col).alias("dow"),
                     F.col(holiday).alias("hol"))
+    h = cut_lineage(h)  # read by five aggregations below
     trend = h.groupBy(key).agg(F.regr_slope("y", "t").alias("slope"), F.regr_intercept("y", "t").alias("intercept"))
     h = h.join(trend, key).withColumn("r", F.col("y") - (F.col("intercept") + F.col("slope") * F.col("t")))
     dow = h.groupBy(key, "dow").agg(F.avg("r").alias("dow_eff"))

@@ -71,7 +71,4 @@ def calendar_position_weight(cal: DataFrame, date_col: str, power: int = 5) -> D
 
 def max_minus(df: DataFrame, cols: list[str], prefix: str = "var_max_") -> DataFrame:
     """Global maximum minus the value (scalar aggregate broadcast to every row)."""
-    mx = df.agg(*[F.max(c).alias(f"__mx_{c}") for c in cols])
-    j = df.crossJoin(F.broadcast(mx))  # one row
-    return j.withColumns({f"{prefix}{c}": F.col(f"__mx_{c}") - F.col(c) for c in cols}).drop(
-        *[f"__mx_{c}" for c in cols])
+    return df.withColumns({f"{prefix}{c}": df.agg(F.max(c)).scalar() - F.col(c) for c in cols})

@@ -104,12 +104,11 @@ def id_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def submission(spark: SparkSession, sf_dir: str, visits: DataFrame | None = None) -> DataFrame:
     """Every store x the 39 days after the last visit; id = store_date, visitors 0."""
     visits = visits if visits is not None else visits_nation(spark, sf_dir)
-    last = visits.agg(F.max("visit_date").alias("d1"))
-    days = last.select(F.explode(F.sequence(F.date_add("d1", 1), F.date_add("d1", SUBMISSION_DAYS)))
-                       .alias("visit_date"))
+    last = visits.agg(F.max("visit_date")).scalar()
     st = stores(spark, sf_dir).select("store_id")
-    # stores is a dimension bounded by the nation table; days by the constant 39.
-    return (st.crossJoin(F.broadcast(days))
+    # a 39-day generator per store row (no join)
+    return (st.select("store_id", F.explode(F.sequence(F.date_add(last, 1), F.date_add(last, SUBMISSION_DAYS)))
+                      .alias("visit_date"))
             .select(F.concat_ws("_", F.col("store_id").cast("string"),
                                 F.date_format("visit_date", "yyyy-MM-dd")).alias("id"),
                     F.lit(0).alias("visitors")))
@@ -117,11 +116,14 @@ def submission(spark: SparkSession, sf_dir: str, visits: DataFrame | None = None
 
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calendar x stores with arithmetic measures; null where day number mod 7 = 3."""
-    cal = date_info(visits_nation(spark, sf_dir)).select("visit_date")
+    v = visits_nation(spark, sf_dir)
+    span = v.agg(F.min("visit_date"), F.max("visit_date"))
     st = stores(spark, sf_dir).select("store_id")
     dn = F.datediff("visit_date", F.lit("1970-01-01").cast("date"))
     hole = (dn % 7) == 3
-    g = cal.crossJoin(F.broadcast(st))
+    # calendar generator per store row: the same grid as calendar x stores, without a join
+    g = st.select("store_id", F.explode(F.sequence(span.select(span.columns[0]).scalar(),
+                                                   span.select(span.columns[1]).scalar())).alias("visit_date"))
     return g.select(
         "visit_date", "store_id",
         F.when(hole, None).otherwise((dn % 30).cast("double") + F.col("store_id") * 0.5).alias("avg_temperature"),
