@@ -341,6 +341,11 @@ LEFT JOIN ffl USING (end_date, store_id) LEFT JOIN fg USING (end_date, air_genre
     return pit_sql(body, extra)
 
 
+def q_training_set_full(spark, sf_dir):
+    ctx = context(spark, sf_dir)
+    return pit.full_training_set(ctx, A.reservations(spark, sf_dir))
+
+
 QUERIES = {
     "pit_windows": q_windows,
     "pit_labels": q_labels,
@@ -360,6 +365,7 @@ QUERIES = {
     "pit_reserve_store_day": q_reserve,
     "pit_reserve_day": q_reserve_date,
     "pit_training_set": q_training_set,
+    "pit_training_set_full": q_training_set_full,
 }
 
 

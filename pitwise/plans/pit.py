@@ -396,3 +396,74 @@ def training_set(ctx: PitContext, families: list | None = None) -> DataFrame:
     for f, keys in families:
         lab = attach(lab, f, keys)
     return second_feat(lab)
+
+
+def _diff_aggs(horizons=DIFF_HORIZONS) -> list[Column]:
+    prev_age = F.datediff("end_date", "prev_date")
+    aggs = []
+    for n in horizons:
+        x = F.when((F.col("age") < n) & (prev_age < n), F.col("diff"))
+        aggs += [F.avg(F.abs(x)).alias(f"store_diff_mean{n}"), F.stddev_samp(x).alias(f"store_diff_std{n}"),
+                 F.max(x).alias(f"store_diff_max{n}"), F.min(x).alias(f"store_diff_min{n}")]
+    return aggs
+
+
+def _profile_aggs(horizon: int = 1000) -> list[Column]:
+    x = S.within("age", horizon, F.col("visitors"))
+    aggs = []
+    for i in range(7):
+        xi = F.when(F.col("dow") == i, x)
+        aggs += [F.avg(xi).alias(f"{i}store_dow_mean{horizon}"),
+                 F.percentile(xi, 0.5).alias(f"{i}store_dow_median{horizon}"),
+                 F.max(xi).alias(f"{i}store_dow_sum{horizon}"),
+                 F.count(xi).alias(f"{i}store_dow_count{horizon}"),
+                 F.max(F.when(xi.isNotNull(), F.lit(i))).alias(f"{i}dow")]
+    return aggs
+
+
+def _dow_exp_aggs(horizon: int = 1000, rates=S.DECAY_RATES) -> list[Column]:
+    x = S.within("age", horizon, F.col("visitors"))
+    age = F.col("age").cast("double")
+    aggs, cum = [], F.lit(1.0)
+    for r in rates:
+        w = F.pow(F.lit(r), age)
+        cum = cum * w
+        den = F.sum(F.when(x.isNotNull(), w))
+        tag = f"{horizon}_{S.rate_name(r)}"
+        aggs += [(F.sum(x * w) / den).alias(f"store_dow_exp_mean{tag}"),
+                 den.alias(f"store_dow_exp_weight_sum{tag}"),
+                 (F.sum(x * cum) / den).alias(f"store_dow_exp_mean2{tag}")]
+    return aggs
+
+
+def full_training_set(ctx: PitContext, reserves: DataFrame | None = None) -> DataFrame:
+    """O147 with every family of the reference's feature list.
+
+    Families sharing a key are fused into one aggregation over one history
+    scan: store (statistics, decayed mean, first/last, differences, weekday
+    profile), store x weekday (statistics, eight decay rates), store x holiday
+    flag (two definitions), genre, genre x weekday, and the reservation tables.
+    """
+    hd = ctx.history(max(STORE_HORIZONS), data=with_previous_date(ctx.data))
+    store = hd.groupBy("end_date", "store_id").agg(
+        *summary_aggs("store", STORE_HORIZONS), *exp_aggs("store", 1000), *first_last_aggs(1000),
+        *_diff_aggs(), *_profile_aggs(1000))
+    h = ctx.history(max(STORE_HORIZONS))
+    store_dow = h.groupBy("end_date", "store_id", "dow").agg(
+        *summary_aggs("store_dow", STORE_HORIZONS), *_dow_exp_aggs(1000))
+    hol1 = summary_family(h, ["store_id", "holiday_flg"], "store_holiday", [1000])
+    hol2 = summary_family(h, ["store_id", "holiday_flg2"], "store_holiday2", [1000])
+    hg = h.where(F.col("air_genre_name").isNotNull())
+    genre = hg.groupBy("end_date", "air_genre_name").agg(*summary_aggs("genre", GENRE_HORIZONS),
+                                                         *exp_aggs("genre", 1000))
+    genre_dow = hg.groupBy("end_date", "air_genre_name", "dow").agg(*summary_aggs("genre_dow", GENRE_HORIZONS),
+                                                                    *exp_aggs("genre_dow", 1000))
+    fams = [(store, ["store_id"]), (store_dow, ["store_id", "dow"]), (hol1, ["store_id", "holiday_flg"]),
+            (hol2, ["store_id", "holiday_flg2"]), (genre, ["air_genre_name"]),
+            (genre_dow, ["air_genre_name", "dow"])]
+    if reserves is not None:
+        rs = reserve_feat(ctx, reserves)
+        fams += [(rs, ["store_id", "visit_date"]),
+                 (reserve_date_feat(rs).join(reserve_date_lead(ctx, reserves), ["end_date", "visit_date"], "full"),
+                  ["visit_date"])]
+    return training_set(ctx, fams)
