@@ -421,6 +421,22 @@ def _profile_aggs(horizon: int = 1000) -> list[Column]:
     return aggs
 
 
+def profile_from_week_feat(store_dow: DataFrame, horizon: int = 1000) -> DataFrame:
+    """O48 from the store x weekday family: one row per (pivot, store), seven weekday blocks.
+
+    Equal to `store_all_week_feat` after the label join's fill with 0."""
+    aggs = []
+    for i in range(7):
+        on = F.col("dow") == i
+        has = on & (F.col(f"store_dow_count{horizon}") > 0)
+        aggs += [F.max(F.when(on, F.col(f"store_dow_mean{horizon}"))).alias(f"{i}store_dow_mean{horizon}"),
+                 F.max(F.when(on, F.col(f"store_dow_median{horizon}"))).alias(f"{i}store_dow_median{horizon}"),
+                 F.max(F.when(on, F.col(f"store_dow_max{horizon}"))).alias(f"{i}store_dow_sum{horizon}"),
+                 F.max(F.when(on, F.col(f"store_dow_count{horizon}"))).alias(f"{i}store_dow_count{horizon}"),
+                 F.max(F.when(has, F.lit(i))).alias(f"{i}dow")]
+    return store_dow.groupBy("end_date", "store_id").agg(*aggs)
+
+
 def _dow_exp_aggs(horizon: int = 1000, rates=S.DECAY_RATES) -> list[Column]:
     x = S.within("age", horizon, F.col("visitors"))
     age = F.col("age").cast("double")
@@ -446,11 +462,13 @@ def full_training_set(ctx: PitContext, reserves: DataFrame | None = None) -> Dat
     """
     hd = ctx.history(max(STORE_HORIZONS), data=with_previous_date(ctx.data))
     store = hd.groupBy("end_date", "store_id").agg(
-        *summary_aggs("store", STORE_HORIZONS), *exp_aggs("store", 1000), *first_last_aggs(1000),
-        *_diff_aggs(), *_profile_aggs(1000))
+        *summary_aggs("store", STORE_HORIZONS), *exp_aggs("store", 1000), *first_last_aggs(1000), *_diff_aggs())
     h = ctx.history(max(STORE_HORIZONS))
     store_dow = h.groupBy("end_date", "store_id", "dow").agg(
         *summary_aggs("store_dow", STORE_HORIZONS), *_dow_exp_aggs(1000))
+    # O48's weekday profile = the 1000-day store x weekday statistics laid out wide: pivot the
+    # small family table instead of re-aggregating the exploded history
+    profile = profile_from_week_feat(store_dow, 1000)
     hol1 = summary_family(h, ["store_id", "holiday_flg"], "store_holiday", [1000])
     hol2 = summary_family(h, ["store_id", "holiday_flg2"], "store_holiday2", [1000])
     hg = h.where(F.col("air_genre_name").isNotNull())
@@ -458,7 +476,8 @@ def full_training_set(ctx: PitContext, reserves: DataFrame | None = None) -> Dat
                                                          *exp_aggs("genre", 1000))
     genre_dow = hg.groupBy("end_date", "air_genre_name", "dow").agg(*summary_aggs("genre_dow", GENRE_HORIZONS),
                                                                     *exp_aggs("genre_dow", 1000))
-    fams = [(store, ["store_id"]), (store_dow, ["store_id", "dow"]), (hol1, ["store_id", "holiday_flg"]),
+    fams = [(store, ["store_id"]), (profile, ["store_id"]), (store_dow, ["store_id", "dow"]),
+            (hol1, ["store_id", "holiday_flg"]),
             (hol2, ["store_id", "holiday_flg2"]), (genre, ["air_genre_name"]),
             (genre_dow, ["air_genre_name", "dow"])]
     if reserves is not None:
