@@ -5,8 +5,8 @@ task.  Instead: range-partition on (group, order) keys, sort inside each
 partition, take the local position from `monotonically_increasing_id`
 (partition id << 33 | position), count rows per (group, partition) - a table
 with one row per partition - and add the prefix sum of earlier partitions of
-the same group.  Every step is parallel; the offsets table is bounded by the
-partition count and broadcast.
+the same group.  Every step is parallel; without groups the offsets table is
+bounded by the partition count and broadcast.
 """
 
 from __future__ import annotations
@@ -46,8 +46,9 @@ def global_row_number(df: DataFrame, order_cols: list, group_cols: list | None =
     offsets = counts.select(*group_cols, "__pid", "__p0",
                             (F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1))).alias("__off"))
     offsets = offsets.fillna(0, subset=["__off"])
-    # one row per (group, partition); groups are few per partition, so this stays small
-    j = tagged.join(F.broadcast(offsets), [*group_cols, "__pid"])
+    # without groups: one row per partition (bounded by the partition count) -> broadcast;
+    # with groups it grows with the number of groups, so the planner/AQE decides
+    j = tagged.join(offsets if group_cols else F.broadcast(offsets), [*group_cols, "__pid"])
     return j.withColumn(out, (F.col("__off") + F.col("__pos") - F.col("__p0") + 1).cast("long")).drop(
         "__pid", "__pos", "__p0", "__off")
 
@@ -100,5 +101,5 @@ def global_prefix_sum(df: DataFrame, order_cols: list, value_col: str, group_col
     offs = totals.select(*group_cols, "__pid",
                          F.coalesce(F.sum("__t").over(w.rowsBetween(Window.unboundedPreceding, -1)),
                                     F.lit(0)).alias("__poff"))
-    j = tagged.join(F.broadcast(offs), [*group_cols, "__pid"])
+    j = tagged.join(offs if group_cols else F.broadcast(offs), [*group_cols, "__pid"])
     return j.withColumn(out, (F.col("__poff") + F.col("__local")).cast("long")).drop("__pid", "__local", "__poff")
