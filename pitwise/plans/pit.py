@@ -164,13 +164,16 @@ def labels(ctx: PitContext, calendar: DataFrame | None = None) -> DataFrame:
                      F.month("visit_date").alias("month"), F.year("visit_date").alias("year"))
     cal = calendar if calendar is not None else ctx.calendar
     if cal is not None:
+        # shifted flags are joined on the calendar itself (exact on gaps, calendar-sized), so each
+        # label row needs one broadcast join instead of four
+        aheads = cal.select("visit_date")
         for i in AHEAD_SHIFTS:
             tag = str(i) if i >= 0 else f"m{-i}"
-            shifted = F.broadcast(cal.select(
-                F.date_add("visit_date", i).alias("visit_date"),
-                F.col("holiday_flg").alias(f"ahead_holiday_{tag}"),
-                F.col("holiday_flg2").alias(f"ahead_holiday2_{tag}")))
-            lab = lab.join(shifted, "visit_date", "left")
+            shifted = cal.select(F.date_add("visit_date", i).alias("visit_date"),
+                                 F.col("holiday_flg").alias(f"ahead_holiday_{tag}"),
+                                 F.col("holiday_flg2").alias(f"ahead_holiday2_{tag}"))
+            aheads = aheads.join(shifted, "visit_date", "left")
+        lab = lab.join(F.broadcast(aheads), "visit_date", "left")
     return lab
 
 
