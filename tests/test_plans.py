@@ -29,3 +29,14 @@ def test_scan_prunes_columns_and_pushes_filters(spark, small_dir):
 def test_visits_adapter_aggregates_partially(spark, small_dir):
     p = _plan(A.visits_nation(spark, small_dir))
     assert p.count("HashAggregate") >= 2  # partial + final around one exchange
+
+
+def test_no_cross_or_nested_loop_joins(spark, small_dir):
+    import __spark_entry__ as E
+    names = ["joins_hierarchical_fallback", "eval_submission", "sets_outer_union", "clean_median_fill",
+             "encode_standard_scale", "rolling_max_minus", "text_nb_ratio", "models_forecast",
+             "strings_id_split", "clean_row_backfill", "eval_tta_mean"]
+    qs = E.queries()
+    for n in names:
+        p = _plan(qs[n](spark, small_dir))
+        assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, n
