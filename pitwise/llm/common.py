@@ -37,6 +37,25 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(df: DataFrame) -> None:
+    """Delete the files of a staged table that no later step reads."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bucketed(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """`df` as a table in the shared folder, bucketed by `key`: joins and groupings on `key` shuffle only their
+    other side, in any number of later jobs."""
+    spark = df.sparkSession
+    name = f"pitwise_{uuid.uuid4().hex}"
+    n = n_parts(spark)
+    (df.repartition(n, key).write.format("parquet").option("path", f"{checkpoint_dir(spark).rstrip('/')}/{name}")
+     .bucketBy(n, key).sortBy(key, *order).saveAsTable(name))
+    return spark.table(name)
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text"):
     """A never-null long that orders rows by id: the id, or for a null id a value at the top of the long range
     taken from the text's hash (so null ids come last and don't share one key)."""

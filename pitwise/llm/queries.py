@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from .common import table
 from .minhash import minhash_components
+from .substrings import drop_repeated_passages
 
 
 def op10_minhash(spark, sf_dir):
     return minhash_components(table(spark, sf_dir, "documents"))
 
 
+def op4_substrings(spark, sf_dir):
+    return drop_repeated_passages(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 QUERIES = {
+    "op4_substrings": op4_substrings,
     "op10_minhash": op10_minhash,
 }
 
