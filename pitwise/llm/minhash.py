@@ -8,9 +8,9 @@ positions (those left out of the key) and an equi-join on the keys finds every s
 sets: 100 * intersection >= 75 * union.
 
 Skew: rows with equal sets are one class from the start, so a group of exact copies costs one row.  In a key shared by
-many classes each class is first compared with the smallest one alone (a star); only classes that are still in
-different components are then compared with each other, in blocks, and only pairs within the signature distance
-leave a block.  No pair that can link two components is left out.
+many classes each class is first compared with the smallest one alone (a star), then, if still in another component,
+with a few other hubs; only classes that are still in different components are then compared with each other, in
+blocks, and only pairs within the signature distance leave a block.  No pair that can link two components is left out.
 
 Defined results: a null or empty text has no set, is linked with nothing, and is its own component; null ids never
 name a component unless a component has no other id; repeated rows are equal sets, hence one component.
@@ -36,6 +36,8 @@ MAX_DISTANCE = 26
 CHUNKS = 14
 WORDS = 5
 BLOCK = 1024
+#: Rounds in which a class still apart is compared with one other class of each of its keys.
+HUB_TURNS = 2
 _SEEDS = mix(np.arange(1, POSITIONS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
 
 
@@ -172,6 +174,13 @@ def _confirm(percent: int):
     return run
 
 
+def _apart(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """Rows (key, nid, comp) of the keys whose classes are in more than one component."""
+    now = shared.join(label, shared["nid"] == label["node"], "left").select("key", "nid", F.coalesce("comp", "nid").alias("comp"))
+    split = now.groupBy("key").agg(F.min("comp").alias("__lo"), F.max("comp").alias("__hi")).where("__lo < __hi").select("key")
+    return now.join(split, "key")
+
+
 def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS,
                        percent: int = 75, max_distance: int = MAX_DISTANCE, chunks: int = CHUNKS) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id reachable, itself included), kept."""
@@ -186,29 +195,38 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = staged(classes.withColumn("nid", F.monotonically_increasing_id()))
     keys = classes.select("nid", "sig").repartition(parts, "nid").mapInArrow(_keys(max_distance, chunks), "key long, nid long")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose full sets are similar, as a staged table."""
+    # only keys that several classes share, and the sets of their classes, matter from here on
+    shared = keys.groupBy("key").agg(F.min("nid").alias("hub"), F.max("nid").alias("__top")).where("hub < __top").drop("__top")
+    shared = staged(keys.join(shared, "key"))
+    want = shared.select("nid").distinct().join(classes.select("nid", "rk", "cls"), "nid")
+    sets = staged(rows.select("rk", "text").join(want, "rk").mapInArrow(_sets(k), "nid long, grams array<long>")
+                  .groupBy("nid").agg(F.first("grams").alias("grams")))
+
+    def near(pairs: DataFrame) -> DataFrame:
         a, b = (classes.select(F.col("nid").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-        near = staged(pairs.join(a, "a").join(b, "b").mapInArrow(_near(max_distance, percent), "a long, b long"))
-        want = near.select(F.explode(F.array("a", "b")).alias("nid")).distinct().join(classes.select("nid", "rk", "cls"), "nid")
-        sets = (rows.select("rk", "text").join(want, "rk").mapInArrow(_sets(k), "nid long, grams array<long>")
-                .groupBy("nid").agg(F.first("grams").alias("grams")))
-        sa, sb = (sets.select(F.col("nid").alias(x), F.col("grams").alias(f"grams_{x}")) for x in "ab")
-        return staged(near.join(sb, "b").join(sa, "a").mapInArrow(_confirm(percent), "a long, b long"))
+        return staged(pairs.join(a, "a").join(b, "b").mapInArrow(_near(max_distance, percent), "a long, b long"))
 
-    # first each class against the smallest class of its key ...
-    hubs = keys.groupBy("key").agg(F.min("nid").alias("a"), F.max("nid").alias("__top")).where("a < __top").drop("__top")
-    star = keys.join(hubs, "key").where("nid > a").select("a", F.col("nid").alias("b")).distinct()
-    links = confirmed(star)
-    label = components(links)
-    # ... then all pairs of a key that are still in different components
-    now = keys.join(label, keys["nid"] == label["node"], "left").select("key", "nid", F.coalesce("comp", "nid").alias("comp"))
-    open_keys = now.groupBy("key").agg(F.min("comp").alias("__lo"), F.max("comp").alias("__hi")).where("__lo < __hi").select("key")
-    open_rows = now.join(open_keys, "key").join(classes.select("nid", "sig", "n"), "nid")
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        sa, sb = (sets.select(F.col("nid").alias(x), F.col("grams").alias(f"grams_{x}")) for x in "ab")
+        return staged(pairs.join(sb, "b").join(sa, "a").mapInArrow(_confirm(percent), "a long, b long"))
+
+    # first each class against the smallest class of its key, then against other hubs while it is in another component
+    tried = near(shared.where("nid > hub").select(F.col("hub").alias("a"), F.col("nid").alias("b")).distinct())
+    links = confirmed(tried)
+    for turn in range(1, HUB_TURNS + 1):
+        apart = _apart(shared, components(links))
+        order = F.struct(F.xxhash64("nid", F.lit(turn)).alias("__h"), F.col("nid").alias("hub"), F.col("comp").alias("hub_comp"))
+        hubs = apart.groupBy("key").agg(F.min(order).alias("__m")).select("key", "__m.hub", "__m.hub_comp")
+        pairs = (apart.join(hubs, "key").where("comp <> hub_comp")
+                 .select(F.least("nid", "hub").alias("a"), F.greatest("nid", "hub").alias("b")).distinct())
+        more = near(pairs.join(tried, ["a", "b"], "left_anti"))
+        tried, links = tried.unionByName(more), links.unionByName(confirmed(more))
+    # last all pairs of a key that are still in different components
+    open_rows = _apart(shared, components(links)).join(classes.select("nid", "sig", "n"), "nid")
     blocks = in_blocks(open_rows, ["key"], "nid", BLOCK)
     cross = (blocks.repartition(parts, *_CELL).sortWithinPartitions(*_CELL)
              .mapInArrow(_block_pairs(max_distance, percent), "a long, b long").distinct())
-    links = links.unionByName(confirmed(cross.join(star, ["a", "b"], "left_anti")))
+    links = links.unionByName(confirmed(cross.join(tried, ["a", "b"], "left_anti")))
 
     label = components(links)
     classes = classes.join(label, classes["nid"] == label["node"], "left").select(
