@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import toxicity, urls
 from .common import table
 from .minhash import minhash_components
 from .substrings import drop_repeated_passages
@@ -15,9 +16,23 @@ def op4_substrings(spark, sf_dir):
     return drop_repeated_passages(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op1_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_urls(spark, sf_dir):
+    judged = urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), urls.rules_table(spark))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op7_urls": op7_urls,
     "op4_substrings": op4_substrings,
     "op10_minhash": op10_minhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_urls": urls.ORACLE,
+}

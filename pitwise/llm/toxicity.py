@@ -12,7 +12,7 @@ beginnings of at least four letters compete with whole words, so compounds of on
 their stem.  Near copies would make any of their words look telling: each row of the sample weighs
 one over the number of rows with its MinHash value.
 
-Defined results: a null or empty text has no clause and gets the prior as score; null ids are scored, never learned from
+Defined results: a null or empty text has no clause and gets the score of a text without a match; null ids are scored, never learned from
 and not held out; repeated rows get equal scores; null labels are not used.
 """
 
@@ -33,7 +33,8 @@ from .common import shingle_set, staged
 
 FIT_ROWS = 20_000
 MAX_PATTERNS = 2_000
-MIN_SUPPORT = 3.0
+#: A pattern occurs in at least this many toxic rows of the sample, and in this share of them.
+MIN_SUPPORT, MIN_SHARE = 3.0, 0.02
 MIN_PRECISION = 0.9
 STEM = (4, 12)
 THRESHOLD = 0.7
@@ -50,7 +51,6 @@ SYMBOLS = {w: s for s, words in (("H", THREAT), ("T", TARGET), ("N", NEGATION),
 
 NEGATION_SCOPE = 3
 NEGATED, REPORTED, TARGETED, THREATENED = 0.5, 0.7, 0.5, 2.0
-MORE_CLAUSES = 0.5
 
 
 def negation(symbols: list[str], weights: list[float]) -> list[float]:
@@ -88,12 +88,12 @@ def clause_weight(words: list[str], insults: dict[int, float]) -> float:
 class Grammar:
     """The fitted acceptor with the grammar around it: `score(text)` in 0..1."""
 
-    def __init__(self, patterns: dict[str, float], prior: float):
-        self.patterns, self.prior = patterns, prior
+    def __init__(self, patterns: dict[str, float], coefficients: list[float]):
+        self.patterns, self.coefficients = patterns, coefficients
         self._machine = None
 
     def __getstate__(self):
-        return {"patterns": self.patterns, "prior": self.prior, "_machine": None}
+        return {"patterns": self.patterns, "coefficients": self.coefficients, "_machine": None}
 
     def machine(self) -> ahocorasick.Automaton:
         if self._machine is None:
@@ -127,10 +127,27 @@ class Grammar:
             out.append(clause_weight(words, {line.count(" ", lo + 1, s + 1): w for s, w in found.items()}))
         return sorted(out, reverse=True)
 
-    def score(self, text: str) -> float:
+    def evidence(self, text: str) -> list[float]:
+        """1, the strongest clause, the next two together, how many match, and the length of the text."""
         c = self.clauses(text) if text else []
-        x = self.prior + (c[0] if c else 0.0) + MORE_CLAUSES * sum(c[1:3])
-        return 1.0 / (1.0 + math.exp(-x))
+        return [1.0, c[0] if c else 0.0, sum(c[1:3]), math.log1p(len(c)), math.log1p(len(text or "")) / 10 * (len(c) > 0)]
+
+    def score(self, text: str) -> float:
+        x = sum(a * b for a, b in zip(self.coefficients, self.evidence(text)))
+        return 1.0 / (1.0 + math.exp(-min(max(x, -30.0), 30.0)))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 0.05, steps: int = 30) -> np.ndarray:
+    """Weighted ridge logistic regression by Newton steps; the first column, the intercept, has hardly any penalty."""
+    beta = np.zeros(x.shape[1])
+    penalty = ridge * np.eye(x.shape[1])
+    penalty[0, 0] = 1e-3
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        grad = x.T @ (w * (p - y)) + penalty @ beta
+        hess = (x * (w * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + penalty
+        beta = beta - np.clip(np.linalg.solve(hess, grad), -3, 3)
+    return beta
 
 
 def _forms(text: str) -> set[str]:
@@ -186,11 +203,28 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Grammar
     p, n = total["pos"] or 0.0, total["neg"] or 0.0
     counts = weighed.mapInArrow(_count, "form string, pos double, neg double").groupBy("form").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     weight = F.log((F.col("pos") + 0.5) / (p + 1)) - F.log((F.col("neg") + 0.5) / (n + 1))
-    best = (counts.where((F.col("pos") >= MIN_SUPPORT) & (F.col("pos") >= MIN_PRECISION * (F.col("pos") + F.col("neg"))))
+    best = (counts.where((F.col("pos") >= max(MIN_SUPPORT, MIN_SHARE * p)) & (F.col("pos") >= MIN_PRECISION * (F.col("pos") + F.col("neg"))))
             .withColumn("weight", weight).where("weight > 0")
             .orderBy(F.desc(F.round(F.col("weight") * F.col("pos"), 6)), "form").limit(MAX_PATTERNS))
     patterns = {r["form"]: round(r["weight"], 6) for r in best.collect()}
-    return Grammar(patterns, round(math.log((p + 0.5) / (n + 0.5)), 6))
+    grammar = Grammar(patterns, [])
+    rows = np.asarray([list(r) for r in weighed.mapInArrow(_evidence(grammar), _EVIDENCE).collect()])  # at most fit_rows
+    rows = rows if len(rows) else np.array([[1.0, 0, 0, 0, 0, 0, 1]])
+    grammar.coefficients = [round(float(v), 6) for v in logistic(rows[:, :5], rows[:, 5], rows[:, 6])]
+    return grammar
+
+
+_EVIDENCE = "one double, top double, next double, clauses double, length double, toxic double, w double"
+
+
+def _evidence(grammar: Grammar):
+    def run(batches):
+        for batch in batches:
+            x = [grammar.evidence(t) for t in batch.column("text").to_pylist()]
+            cols = [pa.array([r[i] for r in x], pa.float64()) for i in range(5)]
+            yield pa.RecordBatch.from_arrays([*cols, batch.column("toxic").cast(pa.float64()), batch.column("w").cast(pa.float64())],
+                                             names=[c.split()[0] for c in _EVIDENCE.split(", ")])
+    return run
 
 
 def _score(grammar: Grammar):
