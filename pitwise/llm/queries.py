@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import toxicity, urls
+from . import secrets, toxicity, urls
 from .common import table
 from .minhash import minhash_components
 from .substrings import drop_repeated_passages
@@ -21,6 +21,11 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_secrets(spark, sf_dir):
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 def op7_urls(spark, sf_dir):
     judged = urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), urls.rules_table(spark))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -28,11 +33,13 @@ def op7_urls(spark, sf_dir):
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_secrets": op2_secrets,
     "op7_urls": op7_urls,
     "op4_substrings": op4_substrings,
     "op10_minhash": op10_minhash,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_secrets": secrets.oracle_sql(),
     "op7_urls": urls.ORACLE,
 }
