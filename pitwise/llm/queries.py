@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from . import secrets, toxicity, urls
+from pyspark.sql import functions as F
+
+from . import language, licenses, secrets, toxicity, urls
 from .common import table
 from .minhash import minhash_components
 from .substrings import drop_repeated_passages
 
 
+def op8_licenses(spark, sf_dir):
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
 def op10_minhash(spark, sf_dir):
     return minhash_components(table(spark, sf_dir, "documents"))
 
@@ -26,6 +33,11 @@ def op2_secrets(spark, sf_dir):
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op3_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs)).drop("proportions")
+
+
 def op7_urls(spark, sf_dir):
     judged = urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), urls.rules_table(spark))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -34,7 +46,9 @@ def op7_urls(spark, sf_dir):
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_secrets": op2_secrets,
+    "op3_language": op3_language,
     "op7_urls": op7_urls,
+    "op8_licenses": op8_licenses,
     "op4_substrings": op4_substrings,
     "op10_minhash": op10_minhash,
 }
