@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import language, licenses, secrets, toxicity, urls
+from . import language, licenses, mixing, secrets, toxicity, urls
 from .common import table
 from .minhash import minhash_components
 from .substrings import drop_repeated_passages
@@ -15,6 +15,10 @@ def op8_licenses(spark, sf_dir):
     return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
 
 
+def op9_mixing(spark, sf_dir):
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("rk", "copies")
+
+
 def op10_minhash(spark, sf_dir):
     return minhash_components(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op3_language": op3_language,
     "op7_urls": op7_urls,
     "op8_licenses": op8_licenses,
+    "op9_mixing": op9_mixing,
     "op4_substrings": op4_substrings,
     "op10_minhash": op10_minhash,
 }
