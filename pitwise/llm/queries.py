@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from . import language, licenses, mixing, secrets, toxicity, urls
 from .common import table
+from .embeddings import near_vectors
 from .minhash import minhash_components
 from .substrings import drop_repeated_passages
 
@@ -42,6 +43,10 @@ def op3_language(spark, sf_dir):
     return language.identify(docs, language.fit(docs)).drop("proportions")
 
 
+def op6_embeddings(spark, sf_dir):
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_urls(spark, sf_dir):
     judged = urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), urls.rules_table(spark))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -51,6 +56,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_secrets": op2_secrets,
     "op3_language": op3_language,
+    "op6_embeddings": op6_embeddings,
     "op7_urls": op7_urls,
     "op8_licenses": op8_licenses,
     "op9_mixing": op9_mixing,
