@@ -63,6 +63,11 @@ def row_key(id_col: str = "doc_id", text_col: str = "text"):
     return F.coalesce(F.col(id_col).cast("long"), high)
 
 
+def row_hash(id_col: str = "doc_id", text_col: str = "text"):
+    """Identity of a row by its id and text; equal for fully equal rows only."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).isNull(), F.col(text_col))
+
+
 def as_bytes(col: str):
     return F.coalesce(F.col(col).cast("binary"), F.lit(b"").cast("binary"))
 

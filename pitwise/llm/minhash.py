@@ -24,11 +24,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import (_U, as_bytes, components, group_bounds, in_blocks, lists, longs, lowered, mix, n_parts, pair_hash,
-                     row_key, segments, shingle_set, staged)
+                     row_hash, row_key, segments, shingle_set, staged)
 
 POSITIONS = 64
 #: A pair at exactly 0.75 differs in Binomial(64, 0.25) positions: at most 26 with probability 0.998.
@@ -69,7 +69,7 @@ def index_keys(signatures: np.ndarray, max_distance: int = MAX_DISTANCE, chunks:
 
 
 def _read(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Rows (rk, id, text) to rows (rk, id, n, cls, sig) without text; cls is a 128-bit hash of the sorted set."""
+    """Rows (rk, row, id, text) to rows (rk, row, id, n, cls, sig) without text; cls is a 128-bit hash of the sorted set."""
     for batch in batches:
         n, cls, sig = [], [], []
         for text in batch.column("text").to_pylist():
@@ -78,8 +78,8 @@ def _read(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
             cls.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             sig.append(signature(s).tobytes() if len(s) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("rk"), batch.column("id"), pa.array(n, pa.int64()), pa.array(cls, pa.binary()),
-             pa.array(sig, pa.binary())], names=["rk", "id", "n", "cls", "sig"])
+            [batch.column("rk"), batch.column("row"), batch.column("id"), pa.array(n, pa.int64()), pa.array(cls, pa.binary()),
+             pa.array(sig, pa.binary())], names=["rk", "row", "id", "n", "cls", "sig"])
 
 
 def _sigs(column: pa.Array) -> np.ndarray:
@@ -183,12 +183,13 @@ def _apart(shared: DataFrame, label: DataFrame) -> DataFrame:
 
 def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS,
                        percent: int = 75, max_distance: int = MAX_DISTANCE, chunks: int = CHUNKS) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (smallest id reachable, itself included), kept."""
+    """One row per input row: id, n_shingles, component_id (smallest id reachable, itself included), kept (id =
+    component_id), row_hash, and stays (true for the rows of one text of each component)."""
     spark = docs.sparkSession
     parts = n_parts(spark)
-    rows = docs.select(row_key(id_col, text_col).alias("rk"), F.col(id_col).cast("long").alias("id"),
-                       as_bytes(text_col).alias("text"))
-    read = staged(rows.mapInArrow(lambda b: _read(b, k), "rk long, id long, n long, cls binary, sig binary"))
+    rows = docs.select(row_key(id_col, text_col).alias("rk"), row_hash(id_col, text_col).alias("row"),
+                       F.col(id_col).cast("long").alias("id"), as_bytes(text_col).alias("text"))
+    read = staged(rows.mapInArrow(lambda b: _read(b, k), "rk long, row long, id long, n long, cls binary, sig binary"))
 
     classes = (read.where("cls is not null").groupBy("cls")
                .agg(F.min("rk").alias("rk"), F.min("id").alias("least_id"), F.first("n").alias("n"), F.first("sig").alias("sig")))
@@ -229,11 +230,19 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = links.unionByName(confirmed(cross.join(tried, ["a", "b"], "left_anti")))
 
     label = components(links)
-    classes = classes.join(label, classes["nid"] == label["node"], "left").select(
-        "cls", "least_id", F.coalesce("comp", "nid").alias("comp"))
-    least = classes.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    of_class = classes.join(least, "comp").select("cls", "component_id")
-    return (read.select("id", "n", "cls").join(of_class, "cls", "left")
-            .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                    F.coalesce("component_id", "id").alias("component_id"))
-            .withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False))))
+    known = classes.join(label, classes["nid"] == label["node"], "left").select("cls", "rk", "least_id", F.coalesce("comp", "nid").alias("comp"))
+    least = known.groupBy("comp").agg(F.min("least_id").alias("component_id"), F.min(F.struct("rk", "cls")).alias("first"))
+    of_class = known.join(least, "comp").select("cls", "component_id", F.when(F.col("first.cls") == F.col("cls"), F.col("rk")).alias("keeper"))
+    return (read.select("id", "rk", "row", "n", "cls").join(of_class, "cls", "left")
+            .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"),
+                    F.coalesce(F.col("id") == F.coalesce("component_id", "id"), F.lit(False)).alias("kept"),
+                    F.col("row").alias("row_hash"), (F.col("cls").isNull() | F.coalesce(F.col("keeper") == F.col("rk"), F.lit(False))).alias("stays")))
+
+
+def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """The rows, with their columns, without near duplicates: of each component the row with the smallest id stays (of
+    rows with one id that with the smallest set hash, of equal rows one); texts without words all stay."""
+    found = minhash_components(docs, **options).where("stays").groupBy(F.col("row_hash").alias("__row")).agg(F.max("n_shingles").alias("__n"))
+    one = F.row_number().over(Window.partitionBy("__row").orderBy("__n"))
+    return (docs.withColumn("__row", row_hash()).join(found, "__row").withColumn("__k", one)
+            .where("__k = 1 or __n = 0").drop("__row", "__n", "__k"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import group_bounds, n_parts, row_key, segments, staged
+from .common import group_bounds, n_parts, row_hash, row_key, segments, staged
 
 #: Weights of the sources in order, repeating (a parameter of the registered query).
 WEIGHTS = (5, 2, 1)
@@ -123,17 +123,17 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPE
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                 weights=WEIGHTS, max_repeat: int = MAX_REPEAT, block: int = BLOCK) -> DataFrame:
-    """One row per input row: id, rk (row key), size, source_size, target, copies (how often it is taken) and taken
+    """One row per input row: id, row_hash, size, source_size, target, copies (how often it is taken) and taken
     (words, repeats counted)."""
     spark = docs.sparkSession
-    sized = staged(docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("rk"), F.col(source_col).alias("source"),
-                               sizes_of(docs, text_col).alias("size")))
+    sized = staged(docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("rk"), row_hash(id_col, text_col).alias("row_hash"),
+                               F.col(source_col).alias("source"), sizes_of(docs, text_col).alias("size")))
     targets = source_targets(sized, weights, max_repeat)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(ratio + _SURE)
     targets = staged(targets.withColumn("whole", whole).withColumn("pi", F.greatest(ratio - whole, F.lit(0.0))))
     units = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).select(
-        "id", "rk", "size", "sno", "source_size", "target", "whole", "pi")
+        "id", "rk", "row_hash", "size", "sno", "source_size", "target", "whole", "pi")
 
     done, turn = None, 0
     counts = targets.select("sno", F.col("n_docs").alias("__n"))
@@ -153,5 +153,17 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         counts = units.groupBy("sno").agg(F.count(F.lit(1)).alias("__n"))
         turn += 1
     copies = (F.col("whole") + F.col("pi")).cast("long")
-    return done.select(F.col("id").alias(id_col), "rk", "size", "source_size", "target", copies.alias("copies"),
+    return done.select(F.col("id").alias(id_col), "row_hash", "size", "source_size", "target", copies.alias("copies"),
                        (F.col("size") * copies).alias("taken"))
+
+
+def take_mix(docs: DataFrame, **options) -> DataFrame:
+    """The rows that the mix takes, with their columns and copies (how often), size, source_size, target and taken;
+    fully equal rows come once, their copies added."""
+    mix = (mix_sources(docs, **options).where("copies > 0").groupBy(F.col("row_hash").alias("__row"))
+           .agg(F.sum("copies").alias("copies"), F.first("size").alias("size"), F.first("source_size").alias("source_size"),
+                F.first("target").alias("target"), F.sum("taken").alias("taken")))
+    added = ["copies", "size", "source_size", "target", "taken"]
+    one = F.row_number().over(Window.partitionBy("__row").orderBy(F.lit(0)))
+    return (docs.drop(*added).withColumn("__row", row_hash()).withColumn("__k", one).where("__k = 1").drop("__k")
+            .join(mix, "__row").drop("__row"))

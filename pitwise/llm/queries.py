@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from . import language, licenses, mixing, secrets, toxicity, urls
 from .common import table
+from .decontamination import find_leaks
 from .embeddings import near_vectors
 from .minhash import minhash_components
 from .substrings import drop_repeated_passages
@@ -17,11 +18,11 @@ def op8_licenses(spark, sf_dir):
 
 
 def op9_mixing(spark, sf_dir):
-    return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("rk", "copies")
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("row_hash", "copies")
 
 
 def op10_minhash(spark, sf_dir):
-    return minhash_components(table(spark, sf_dir, "documents"))
+    return minhash_components(table(spark, sf_dir, "documents")).drop("row_hash", "stays")
 
 
 def op4_substrings(spark, sf_dir):
@@ -43,6 +44,11 @@ def op3_language(spark, sf_dir):
     return language.identify(docs, language.fit(docs)).drop("proportions")
 
 
+def op5_decontamination(spark, sf_dir):
+    leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", "item_id", F.round("score", 6).alias("score"), "end_word")
+
+
 def op6_embeddings(spark, sf_dir):
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -56,6 +62,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_secrets": op2_secrets,
     "op3_language": op3_language,
+    "op5_decontamination": op5_decontamination,
     "op6_embeddings": op6_embeddings,
     "op7_urls": op7_urls,
     "op8_licenses": op8_licenses,

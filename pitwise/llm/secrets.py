@@ -201,11 +201,11 @@ def _joined(columns: list[tuple[int, Rule]]) -> Column:
     return F.array_join(F.transform(F.array_sort(parts), lambda x: x["span"]), ",")
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row per input row: id, text, s_<kind> (array of start, end) for each rule, n_<kind> for the base rules,
-    base_sha256 and spans."""
+def with_spans(docs: DataFrame, id_col: str, text_col: str, rules: tuple[Rule, ...]) -> DataFrame:
+    """The input's rows as a struct `row`, their text (null: empty), and s_<kind> for each rule."""
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"), row_key(id_col, text_col).alias("rk"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+                       row_key(id_col, text_col).alias("rk"))
     if queries:
         trigrams = sorted({t for q in queries.values() for clause in q for grams in clause for t in grams})
         rows = rows.join(candidates(postings(rows.select("rk", "text"), trigrams), queries), "rk", "left")
@@ -214,7 +214,13 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     nothing = F.array().cast("array<struct<start:int,end:int>>")
     spans = {f"s_{r.kind}": spans_of(F.col("text"), r) if r.kind not in queries
              else F.when(F.array_contains("kinds", r.kind), spans_of(F.col("text"), r)).otherwise(nothing) for r in rules}
-    found = rows.select(id_col, "text", *(c.alias(n) for n, c in spans.items()))
+    return rows.select("row", "text", *(c.alias(n) for n, c in spans.items()))
+
+
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """One row per input row: id, text, s_<kind> (array of start, end) for each rule, n_<kind> for the base rules,
+    base_sha256 and spans."""
+    found = with_spans(docs.select(id_col, text_col), id_col, text_col, rules).withColumn(id_col, F.col(f"row.`{id_col}`")).drop("row")
     numbered = list(enumerate(rules))
     counts = {f"n_{r.kind}": F.size(f"s_{r.kind}").cast("long") for r in rules if r.base}
     return (found.withColumns(counts)
@@ -222,6 +228,34 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             .withColumn("spans", _joined(numbered)))
 
 
+def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES,
+                   mask: str = "[SECRET]") -> DataFrame:
+    """The rows, with their columns, with each stretch that spans cover replaced by `mask`; n_chars, where it is a
+    column, follows the new text.  Null texts stay null."""
+    found = with_spans(docs, id_col, text_col, rules)
+    spans = F.array_sort(F.concat(*(F.col(f"s_{r.kind}") for r in rules)))
+    text = F.col("text")
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        piece = F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"),
+                        F.when(s["start"] >= acc["at"], piece).otherwise(acc["out"]).alias("out"))
+
+    cut = F.aggregate("all_spans", start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
+    found = found.select("row", "text", spans.alias("all_spans")).select(
+        "row", F.when(F.size("all_spans") > 0, cut).alias("clean"))
+    new = []
+    for c in docs.columns:
+        old = F.col(f"row.`{c}`")
+        if c == text_col:
+            old = F.coalesce("clean", old)
+        elif c == "n_chars":
+            old = F.coalesce(F.length("clean").cast(docs.schema[c].dataType), old)
+        new.append(old.alias(c))
+    return found.select(*new)
+
+
 def _sql_kind(no: int, rule: Rule) -> str:
     """Spans of one rule in DuckDB; (?i) is spelled out in classes, since there it would also fold letters beyond ASCII."""
     pattern = rule.pattern

@@ -241,3 +241,12 @@ def score_toxicity(docs: DataFrame, grammar: Grammar, threshold: float = THRESHO
     scored = docs.select("doc_id", "text").mapInArrow(_score(grammar), docs.select("doc_id").schema.add("score", "double"))
     return scored.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"),
                          "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, grammar: Grammar, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, with their columns, that score below the threshold."""
+    def run(batches):
+        for batch in batches:
+            stay = [grammar.score(t or "") < threshold for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array(stay, pa.bool_()))
+    return docs.mapInArrow(run, docs.schema)
