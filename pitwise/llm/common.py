@@ -127,20 +127,25 @@ def lists(values: np.ndarray, lengths) -> pa.Array:
 # ---------------------------------------------------------------------------------------------------
 # Pairs inside groups, in blocks
 
-def in_blocks(rows: DataFrame, keys: list[str], spread: str, block: int) -> DataFrame:
+def in_blocks(rows: DataFrame, keys: list[str], spread: str, block: int, quiet: str | None = None) -> DataFrame:
     """Deal rows to square blocks of their group, so that no task holds a whole large group.
 
     A group of n rows gets ceil(n / block) slices by the hash of `spread`; every pair of slices (i <= j) is one
     block.  A row goes to each block of its slice, marked 0 in a diagonal block, 1 as the i side, 2 as the j
-    side.  Groups of one row are dropped: they hold no pair.  Adds block_i, block_j, side."""
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    slices = F.ceil(F.col("__n") / F.lit(block)).cast("int")
-    x = rows.join(sizes, keys).withColumn("__s", slices)
-    x = x.withColumn("__b", F.pmod(F.xxhash64(F.col(spread), F.lit(17)), F.col("__s")).cast("int"))
-    x = x.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__s") - 1)))
+    side.  Pairs of two rows marked `quiet` aren't wanted: they get slices of their own, after the others, that meet
+    only the others' slices.  Groups that hold no wanted pair are dropped.  Adds block_i, block_j, side."""
+    silent = F.col(quiet) if quiet else F.lit(False)
+    sizes = (rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.count(F.when(silent, 1)).alias("__q"))
+             .where("__n > 1 and __q < __n"))
+    x = rows.join(sizes, keys).withColumn("__loud", F.ceil((F.col("__n") - F.col("__q")) / F.lit(block)).cast("int"))
+    x = x.withColumn("__quiet", F.ceil(F.col("__q") / F.lit(block)).cast("int"))
+    h = F.xxhash64(F.col(spread), F.lit(17))
+    x = x.withColumn("__b", F.when(silent, F.col("__loud") + F.pmod(h, F.greatest("__quiet", F.lit(1)))).otherwise(F.pmod(h, F.col("__loud"))).cast("int"))
+    last = F.when(silent, F.col("__loud")).otherwise(F.col("__loud") + F.col("__quiet")) - 1
+    x = x.withColumn("__o", F.explode(F.sequence(F.lit(0), last)))
     return (x.withColumn("block_i", F.least("__b", "__o")).withColumn("block_j", F.greatest("__b", "__o"))
             .withColumn("side", F.when(F.col("__b") == F.col("__o"), 0).when(F.col("__b") < F.col("__o"), 1).otherwise(2))
-            .drop("__n", "__s", "__b", "__o"))
+            .drop("__n", "__q", "__loud", "__quiet", "__b", "__o"))
 
 
 def segments(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

@@ -8,9 +8,11 @@ positions (those left out of the key) and an equi-join on the keys finds every s
 sets: 100 * intersection >= 75 * union.
 
 Skew: rows with equal sets are one class from the start, so a group of exact copies costs one row.  In a key shared by
-many classes each class is first compared with the smallest one alone (a star), then, if still in another component,
-with a few other hubs; only classes that are still in different components are then compared with each other, in
-blocks, and only pairs within the signature distance leave a block.  No pair that can link two components is left out.
+many classes each class is first compared with the smallest one alone (a star).  Classes whose keys are then still
+split over components are tied to families wherever two of them are within the signature distance, and the members of
+a family that are in different components are compared on full sets.  Both go block by block, the largest component of a
+group against the rest only, and a block gives a spanning forest, never its pairs.  No pair that can link two
+components is left out.
 
 Defined results: a null or empty text has no set, is linked with nothing, and is its own component; null ids never
 name a component unless a component has no other id; repeated rows are equal sets, hence one component.
@@ -35,9 +37,7 @@ POSITIONS = 64
 MAX_DISTANCE = 26
 CHUNKS = 14
 WORDS = 5
-BLOCK = 1024
-#: Rounds in which a class still apart is compared with one other class of each of its keys.
-HUB_TURNS = 2
+BLOCK, SET_BLOCK = 1024, 256
 _SEEDS = mix(np.arange(1, POSITIONS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
 
 
@@ -114,33 +114,106 @@ def _near(max_distance: int, percent: int):
     return run
 
 
-_CELL = ["key", "block_i", "block_j"]
+def _open_pairs(t: pa.Table, lo: int, hi: int, sig: np.ndarray, comp: np.ndarray, max_distance: int, percent: int):
+    """For each row of a block the later rows of other components within the signature distance."""
+    size, side = t["n"].to_numpy(), t["side"].to_numpy()
+    right = lo + np.flatnonzero(side[lo:hi] == 2)
+    for i in range(lo, hi):
+        if side[i] == 2:
+            continue
+        js = np.arange(i + 1, hi) if side[i] == 0 else right
+        js = js[comp[js] != comp[i]]
+        js = js[100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i])]
+        if len(js):
+            js = js[(sig[js] != sig[i]).sum(1) <= max_distance]
+            if len(js):
+                yield i, js
 
 
-def _block_pairs(max_distance: int, percent: int):
-    """Pairs of different components inside each block, within the signature distance."""
+class _Forest:
+    """Union-find over the components of one block."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (above := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(above, above)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _pairs_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    x = np.sort(np.asarray(found, np.int64).reshape(-1, 2), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
+
+
+_CELL = ["block_i", "block_j"]
+
+
+def _tie(key: str, max_distance: int, percent: int):
+    """A spanning forest of the open pairs of each block: at most one row per class."""
     def run(batches):
-        for t in segments(batches, _CELL):
-            sig, nid, comp = _sigs(t["sig"]), t["nid"].to_numpy(), t["comp"].to_numpy()
-            size, side = t["n"].to_numpy(), t["side"].to_numpy()
-            found = []
-            bounds = group_bounds(t, _CELL)
+        cell = [key, *_CELL]
+        for t in segments(batches, cell):
+            sig, nid, comp, found = _sigs(t["sig"]), t["nid"].to_numpy(), t["comp"].to_numpy(), []
+            bounds = group_bounds(t, cell)
             for lo, hi in zip(bounds[:-1], bounds[1:]):
-                for i in range(lo, hi):
-                    if side[i] == 2:
-                        continue
-                    js = np.arange(i + 1, hi) if side[i] == 0 else lo + np.flatnonzero(side[lo:hi] == 2)
-                    js = js[comp[js] != comp[i]]
-                    js = js[100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i])]
-                    if len(js):
-                        js = js[(sig[js] != sig[i]).sum(1) <= max_distance]
-                        found += [(min(nid[i], nid[j]), max(nid[i], nid[j])) for j in js]
+                forest = _Forest()
+                for i, js in _open_pairs(t, lo, hi, sig, comp, max_distance, percent):
+                    found += [(nid[i], nid[j]) for j in js.tolist() if forest.join(i, j)]
             if found:
-                pairs = np.unique(np.asarray(found, np.int64), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                yield _pairs_batch(found)
     return run
 
 
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    both = int((b[at] == a).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _link(key: str, max_distance: int, percent: int):
+    """Confirmed links between components in each block, on full sets; at most one for two components."""
+    def run(batches):
+        cell = [key, *_CELL]
+        for t in segments(batches, cell):
+            sig, nid, comp, found = _sigs(t["sig"]), t["nid"].to_numpy(), t["comp"].to_numpy(), []
+            sets = t["grams"].combine_chunks()
+            bounds = group_bounds(t, cell)
+            for lo, hi in zip(bounds[:-1], bounds[1:]):
+                forest = _Forest()
+                for i, js in _open_pairs(t, lo, hi, sig, comp, max_distance, percent):
+                    a = sets[i].values.to_numpy().view(_U)
+                    for j in js.tolist():
+                        x, y = int(comp[i]), int(comp[j])
+                        if forest.root(x) != forest.root(y) and _similar(a, sets[j].values.to_numpy().view(_U), percent):
+                            forest.join(x, y)
+                            found.append((nid[i], nid[j]))
+            if found:
+                yield _pairs_batch(found)
+    return run
+
+
+def _blocked(rows: DataFrame, key: str, block: int) -> DataFrame:
+    """Blocks of each group, sorted for `segments`; the rows of a group's largest component needn't meet each other."""
+    counts = rows.groupBy(key, "comp").agg(F.count(F.lit(1)).alias("__n"))
+    top = counts.groupBy(key).agg(F.max(F.struct("__n", "comp")).alias("__t")).select(key, F.col("__t.comp").alias("__top"))
+    marked = rows.join(top, key).withColumn("quiet", F.col("comp") == F.col("__top")).drop("__top")
+    return in_blocks(marked, [key], "nid", block, "quiet").drop("quiet")
+
+
+def _dealt(blocks: DataFrame, key: str) -> DataFrame:
+    cell = [key, *_CELL]
+    return blocks.repartition(n_parts(blocks.sparkSession), *cell).sortWithinPartitions(*cell)
+
+
 def _sets(k: int):
     """Shingle sets of the wanted classes from texts."""
     def run(batches):
@@ -161,14 +234,8 @@ def _confirm(percent: int):
     """Pairs whose full sets reach the similarity; sets are sorted as unsigned numbers."""
     def run(batches):
         for batch in batches:
-            ok = []
             x, y = batch.column("grams_a"), batch.column("grams_b")
-            for i in range(batch.num_rows):
-                a, b = x[i].values.to_numpy().view(_U), y[i].values.to_numpy().view(_U)
-                at = np.searchsorted(b, a)
-                at[at == len(b)] = 0
-                both = int((b[at] == a).sum())
-                ok.append(100 * both >= percent * (len(a) + len(b) - both))
+            ok = [_similar(x[i].values.to_numpy().view(_U), y[i].values.to_numpy().view(_U), percent) for i in range(batch.num_rows)]
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
     return run
@@ -211,23 +278,19 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         sa, sb = (sets.select(F.col("nid").alias(x), F.col("grams").alias(f"grams_{x}")) for x in "ab")
         return staged(pairs.join(sb, "b").join(sa, "a").mapInArrow(_confirm(percent), "a long, b long"))
 
-    # first each class against the smallest class of its key, then against other hubs while it is in another component
-    tried = near(shared.where("nid > hub").select(F.col("hub").alias("a"), F.col("nid").alias("b")).distinct())
-    links = confirmed(tried)
-    for turn in range(1, HUB_TURNS + 1):
-        apart = _apart(shared, components(links))
-        order = F.struct(F.xxhash64("nid", F.lit(turn)).alias("__h"), F.col("nid").alias("hub"), F.col("comp").alias("hub_comp"))
-        hubs = apart.groupBy("key").agg(F.min(order).alias("__m")).select("key", "__m.hub", "__m.hub_comp")
-        pairs = (apart.join(hubs, "key").where("comp <> hub_comp")
-                 .select(F.least("nid", "hub").alias("a"), F.greatest("nid", "hub").alias("b")).distinct())
-        more = near(pairs.join(tried, ["a", "b"], "left_anti"))
-        tried, links = tried.unionByName(more), links.unionByName(confirmed(more))
-    # last all pairs of a key that are still in different components
-    open_rows = _apart(shared, components(links)).join(classes.select("nid", "sig", "n"), "nid")
-    blocks = in_blocks(open_rows, ["key"], "nid", BLOCK)
-    cross = (blocks.repartition(parts, *_CELL).sortWithinPartitions(*_CELL)
-             .mapInArrow(_block_pairs(max_distance, percent), "a long, b long").distinct())
-    links = links.unionByName(confirmed(cross.join(tried, ["a", "b"], "left_anti")))
+    # first each class against the smallest class of its key
+    star = shared.where("nid > hub").select(F.col("hub").alias("a"), F.col("nid").alias("b")).distinct()
+    links = confirmed(near(star))
+    # then the pairs of a key that are still in different components: families tied by signature distance ...
+    open_rows = _apart(shared, components(links))
+    slim = classes.select("nid", "sig", "n")
+    ties = _dealt(_blocked(open_rows, "key", BLOCK).join(slim, "nid"), "key").mapInArrow(
+        _tie("key", max_distance, percent), "a long, b long")
+    family = components(ties).select(F.col("node").alias("nid"), F.col("comp").alias("family"))
+    # ... whose members of different components are compared on full sets, block by block
+    members = family.join(open_rows.select("nid", "comp").distinct(), "nid")
+    met = _dealt(_blocked(members, "family", SET_BLOCK).join(slim, "nid").join(sets, "nid"), "family")
+    links = links.unionByName(staged(met.mapInArrow(_link("family", max_distance, percent), "a long, b long")))
 
     label = components(links)
     known = classes.join(label, classes["nid"] == label["node"], "left").select("cls", "rk", "least_id", F.coalesce("comp", "nid").alias("comp"))
