@@ -108,7 +108,8 @@ def q_spear(spark, sf):
 
 @reg("eval_column_summary", " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", count({c}) AS count, {r(f'avg({c})')} AS mean, {r(f'stddev_samp({c})')} AS std, "
-    f"{r(f'min({c})')} AS min, {r(f'max({c})')} AS max FROM lineitem" for c in SP_COLS))
+    f"{r(f'min({c})')} AS min, {r(f'max({c})')} AS max, {r(f'quantile_cont({c}, 0.25)')} AS q25, "
+    f"{r(f'quantile_cont({c}, 0.5)')} AS q50, {r(f'quantile_cont({c}, 0.75)')} AS q75 FROM lineitem" for c in SP_COLS))
 def q_summary(spark, sf):
     return rounded(M.column_summary(table(spark, sf, "lineitem"), SP_COLS))
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as S
 from ..plans import pit
-from ..session import cut_lineage
 from ..sources import adapters as A
 from .canonical_sql import with_ctes
 from .common import q, r, rounded
@@ -18,31 +17,13 @@ END_DATE = "2001-08-01"
 STEP, LABEL_DAYS, MIN_STAT = 7, 39, 37
 
 
-_CONTEXTS: dict = {}
-
-
-def context(spark: SparkSession, sf_dir: str, materialize: bool = True) -> pit.PitContext:
-    """Checkpointed inputs of one build, reused by every family query of the same session and
-    input folder (as the reference reuses its materialised steps)."""
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir, PIVOT_DATE, END_DATE, STEP, LABEL_DAYS, MIN_STAT)
-    if materialize and key in _CONTEXTS:
-        return _CONTEXTS[key]
-    ctx = _build_context(spark, sf_dir, materialize)
-    if materialize:
-        _CONTEXTS[key] = ctx
-    return ctx
-
-
-def _build_context(spark: SparkSession, sf_dir: str, materialize: bool) -> pit.PitContext:
-    v = A.visits_nation(spark, sf_dir)
+def context(spark: SparkSession, sf_dir: str) -> pit.PitContext:
+    """Inputs of one build: customers are the stores, so they grow with the data."""
+    v = A.visits_customer(spark, sf_dir).select("store_id", "visit_date", "visitors")
     cal = A.date_info(v)
-    if materialize:
-        # the daily table and its calendar feed every family and several joins: compute once
-        v = cut_lineage(v)
-        cal = cut_lineage(A.date_info(v))
-    data = pit.pit_data(v, A.stores(spark, sf_dir), cal)
-    return pit.make_context(data, PIVOT_DATE, END_DATE, STEP, LABEL_DAYS, MIN_STAT,
-                            calendar=cal, materialize=materialize)
+    c = A.customers_as_stores(spark, sf_dir)
+    stores = c.select("store_id", F.col("genre").alias("air_genre_name"), F.col("area").alias("air_area_name"))
+    return pit.make_context(pit.pit_data(v, stores, cal), PIVOT_DATE, END_DATE, STEP, LABEL_DAYS, MIN_STAT, calendar=cal)
 
 
 # ---------------------------------------------------------------- DuckDB building blocks
@@ -50,8 +31,8 @@ PIT_CTES = {
     "pit_data": """
 SELECT v.store_id, v.visit_date, ln(1 + v.visitors) AS visitors,
        CAST(isodow(v.visit_date) - 1 AS INTEGER) AS dow,
-       s.air_genre_name, s.air_area_name, c.holiday_flg, c.holiday_flg2
-FROM visits_nation v LEFT JOIN stores s ON v.store_id = s.store_id
+       s.genre AS air_genre_name, s.area AS air_area_name, c.holiday_flg, c.holiday_flg2
+FROM visits_customer v LEFT JOIN customers_as_stores s ON v.store_id = s.store_id
 LEFT JOIN date_info c ON v.visit_date = c.visit_date""",
     "windows": f"""
 SELECT CAST(b.d0 + CAST({MIN_STAT} + {STEP} * k AS INTEGER) AS DATE) AS end_date, {LABEL_DAYS} AS days_in_label
@@ -71,7 +52,7 @@ FROM pit_data d JOIN windows w ON d.visit_date < w.end_date AND d.visit_date > w
 def pit_sql(body: str, extra: dict | None = None) -> str:
     ctes = dict(PIT_CTES)
     ctes.update(extra or {})
-    return with_ctes(body, "visits_nation", "stores", "date_info", extra=ctes)
+    return with_ctes(body, "visits_customer", "customers_as_stores", "visits_nation", "date_info", extra=ctes)
 
 
 def summary_sql(keys: list[str], prefix: str, horizons, src: str = "hist", where: str = "",
@@ -109,7 +90,7 @@ def exp_sql(keys: list[str], prefix: str, horizon: int = 1000, rate: float = 0.9
 
 # ---------------------------------------------------------------- registered queries
 def q_windows(spark, sf_dir):
-    ctx = context(spark, sf_dir, materialize=False)
+    ctx = context(spark, sf_dir)
     return ctx.windows
 
 
@@ -259,7 +240,7 @@ def _reserve_ctes():
 
 def q_reserve(spark, sf_dir):
     ctx = context(spark, sf_dir)
-    return rounded(pit.reserve_feat(ctx, A.reservations(spark, sf_dir)))
+    return rounded(pit.reserve_store_day(pit.reserve_feat(ctx, A.reservations(spark, sf_dir))))
 
 
 def sql_reserve():
@@ -270,16 +251,14 @@ def sql_reserve():
                  f"count(reserve_visitors) {f} AS {s}_reserve_count",
                  f"{r(f'avg(diff_time) {f}')} AS {s}_store_diff_time_mean"]
     body = f"SELECT end_date, store_id, visit_date, {', '.join(cols)} FROM rw GROUP BY end_date, store_id, visit_date"
-    return with_ctes(body, "visits_nation", "stores", "date_info", "reservations",
+    return with_ctes(body, "visits_customer", "customers_as_stores", "visits_nation", "stores", "date_info", "reservations",
                      extra={**PIT_CTES, **_reserve_ctes()})
 
 
 def q_reserve_date(spark, sf_dir):
     ctx = context(spark, sf_dir)
     res = A.reservations(spark, sf_dir)
-    tot = pit.reserve_date_feat(pit.reserve_feat(ctx, res))
-    lead = pit.reserve_date_lead(ctx, res)
-    return rounded(tot.join(lead, ["end_date", "visit_date"], "full"))
+    return rounded(pit.reserve_date_feat(pit.reserve_feat(ctx, res)))
 
 
 def sql_reserve_date():
@@ -290,7 +269,7 @@ def sql_reserve_date():
                  f"CAST(count(reserve_visitors) {f} AS BIGINT) AS {s}_date_count",
                  f"{r(f'avg(diff_time) {f}')} AS {s}_diff_time_mean"]
     body = f"SELECT end_date, visit_date, {', '.join(cols)} FROM rw GROUP BY end_date, visit_date"
-    return with_ctes(body, "visits_nation", "stores", "date_info", "reservations",
+    return with_ctes(body, "visits_customer", "customers_as_stores", "visits_nation", "stores", "date_info", "reservations",
                      extra={**PIT_CTES, **_reserve_ctes()})
 
 

@@ -48,7 +48,8 @@ VOCAB_SQL = f"""(SELECT token, CAST(row_number() OVER (ORDER BY freq DESC, token
 LONG_IDS = f"""(SELECT t.doc_id, t.pos, CAST(coalesce(v.id, 0) AS BIGINT) AS id FROM
   (SELECT doc_id, unnest(tokens) AS token, unnest(range(0, len(tokens))) AS pos FROM {TOK_L}) t
   LEFT JOIN {VOCAB_SQL} v ON t.token = v.token)"""
-IDS_SQL = f"(SELECT doc_id, list(id ORDER BY pos) AS ids FROM {LONG_IDS} GROUP BY doc_id)"
+IDS_SQL = f"""(SELECT d.doc_id, coalesce(i.ids, CAST([] AS BIGINT[])) AS ids FROM documents d LEFT JOIN
+  (SELECT doc_id, list(id ORDER BY pos) AS ids FROM {LONG_IDS} GROUP BY doc_id) i ON d.doc_id = i.doc_id)"""
 
 
 def _ids(spark, sf):
@@ -199,8 +200,7 @@ def q_nb(spark, sf):
 SELECT doc_id, class, {r('score')} AS score, {r('e / sum(e) OVER (PARTITION BY doc_id)')} AS prob FROM (
 SELECT doc_id, CAST(class AS INTEGER) AS class, score, exp(score - max(score) OVER (PARTITION BY doc_id)) AS e
 FROM (SELECT doc_id, class, sum(r) AS score FROM
-       (SELECT doc_id, term FROM (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY term DESC) AS k
-                                  FROM {BOW_SQL}) WHERE k <= 2000) t
+       (SELECT doc_id, term FROM {BOW_SQL}) t
        JOIN {NB_SQL} n ON t.term = n.term GROUP BY 1, 2))""")
 def q_nbscore(spark, sf):
     _, lab, ratios = _nb(spark, sf)

@@ -167,37 +167,57 @@ def _customer_visits(spark, sf):
 
 
 def q_roll_store(spark, sf):
-    return rounded(RO.rolling_stats(A.visits_nation(spark, sf), ["store_id"], "60d"))
+    return rounded(RO.rolling_stats(A.visits_customer(spark, sf), ["store_id"]))
 
 
 def q_roll_store_dow(spark, sf):
-    v = A.visits_nation(spark, sf).withColumn("dow", F.weekday("visit_date"))
-    return rounded(RO.rolling_stats(v, ["store_id", "dow"], "360d"))
+    v = A.visits_customer(spark, sf).withColumn("dow", F.weekday("visit_date"))
+    return rounded(RO.rolling_stats(v, ["store_id", "dow"]))
 
 
 def q_roll_genre(spark, sf):
-    return rounded(RO.rolling_stats(_customer_visits(spark, sf), ["genre", "area", "dow"], "30d"))
+    return rounded(RO.rolling_stats(_customer_visits(spark, sf), ["genre", "area", "dow"]))
 
 
-def sql_rolling(src: str, keys: list[str], period: str, ctes: tuple) -> str:
-    n = int(period.rstrip("d"))
+ASSEMBLY = (["store_id"], ["store_id", "dow"])
+
+
+def q_roll_assembly(spark, sf):
+    v = _customer_visits(spark, sf).select("store_id", "visit_date", "dow", "visitors")
+    return rounded(RO.rolling_assembly(v, list(ASSEMBLY), ("30d", "360d")))
+
+
+def sql_rolling(src: str, keys: list[str], ctes: tuple | None, periods=RO.PERIODS) -> str:
     k = ", ".join(keys)
-    fr = f"PARTITION BY {k} ORDER BY day RANGE BETWEEN {n - 1} PRECEDING AND CURRENT ROW"
-    exprs = {"max": "max(v) OVER w", "min": "min(v) OVER w", "median": "median(v) OVER w",
-             "std": "stddev_samp(v) OVER w", "cnt": "CAST(count(v) OVER w AS DOUBLE)", "mean": "avg(v) OVER w",
-             "skew": "CASE WHEN count(v) OVER w < 3 THEN NULL WHEN max(v) OVER w = min(v) OVER w THEN 0.0 "
-                     "ELSE skewness(v) OVER w END"}
-    inner = ", ".join(f"{e} AS s_{s}" for s, e in exprs.items())
-    outer = ", ".join(f"{r(f'lag(s_{s}) OVER o')} AS {RO.rolling_name(keys, period, s)}" for s in RO.ROLL_STATS)
+    inner, outer, frames = [], [], []
+    for period in periods:
+        n = int(period.rstrip("d"))
+        w = f"w{n}"
+        frames.append(f"{w} AS (PARTITION BY {k} ORDER BY day RANGE BETWEEN {n - 1} PRECEDING AND CURRENT ROW)")
+        exprs = {"max": f"max(v) OVER {w}", "min": f"min(v) OVER {w}", "median": f"median(v) OVER {w}",
+                 "std": f"stddev_samp(v) OVER {w}", "cnt": f"CAST(count(v) OVER {w} AS DOUBLE)", "mean": f"avg(v) OVER {w}",
+                 "skew": f"CASE WHEN count(v) OVER {w} < 3 THEN NULL WHEN max(v) OVER {w} = min(v) OVER {w} THEN 0.0 "
+                         f"ELSE skewness(v) OVER {w} END"}
+        inner += [f"{e} AS s_{s}_{n}" for s, e in exprs.items()]
+        outer += [f"{r(f'lag(s_{s}_{n}) OVER o')} AS {RO.rolling_name(keys, period, s)}" for s in RO.ROLL_STATS]
     body = f"""
-SELECT {k}, visit_date, {outer}
-FROM (SELECT {k}, visit_date, day, {inner}
+SELECT {k}, visit_date, {', '.join(outer)}
+FROM (SELECT {k}, visit_date, day, {', '.join(inner)}
       FROM (SELECT {k}, visit_date, avg(CAST(visitors AS DOUBLE)) AS v,
                    CAST(visit_date - DATE '1970-01-01' AS INTEGER) AS day
             FROM {src} GROUP BY {k}, visit_date)
-      WINDOW w AS ({fr}))
+      WINDOW {', '.join(frames)})
 WINDOW o AS (PARTITION BY {k} ORDER BY day)"""
-    return with_ctes(body, *ctes)
+    return with_ctes(body, *ctes) if ctes else body
+
+
+def sql_roll_assembly() -> str:
+    parts = [sql_rolling(CUSTOMER_VISITS_SQL, k, None, ("30d", "360d")) for k in ASSEMBLY]
+    body = f"""SELECT v.store_id, v.visit_date, v.dow, v.visitors, a.* EXCLUDE (store_id, visit_date),
+       b.* EXCLUDE (store_id, dow, visit_date)
+FROM {CUSTOMER_VISITS_SQL} v LEFT JOIN ({parts[0]}) a ON v.store_id = a.store_id AND v.visit_date = a.visit_date
+LEFT JOIN ({parts[1]}) b ON v.store_id = b.store_id AND v.dow = b.dow AND v.visit_date = b.visit_date"""
+    return with_ctes(body, "visits_customer", "customers_as_stores")
 
 
 CUSTOMER_VISITS_SQL = """(SELECT v.*, c.genre, c.area, CAST(isodow(v.visit_date) - 1 AS INTEGER) AS dow
@@ -249,6 +269,7 @@ QUERIES = {
     "rolling_store_stats": q_roll_store,
     "rolling_store_dow_stats": q_roll_store_dow,
     "rolling_genre_area_dow_stats": q_roll_genre,
+    "rolling_assembly": q_roll_assembly,
     "rolling_lag_diff": q_lag_diff,
     "rolling_calendar_weight": q_cal_weight,
     "rolling_max_minus": q_max_minus,
@@ -267,12 +288,11 @@ def oracle() -> dict[str, str]:
         "events_duration": sql_duration(f"({SERIES_SQL})", ["user_id"], "flag", "date"),
         "events_calendar": sql_calendar_events(),
         "events_duplicate_keys": SQL_DUPLICATES,
-        "rolling_store_stats": sql_rolling("visits_nation", ["store_id"], "60d", ("visits_nation",)),
-        "rolling_store_dow_stats": sql_rolling(
-            "(SELECT *, CAST(isodow(visit_date) - 1 AS INTEGER) AS dow FROM visits_nation)",
-            ["store_id", "dow"], "360d", ("visits_nation",)),
-        "rolling_genre_area_dow_stats": sql_rolling(CUSTOMER_VISITS_SQL, ["genre", "area", "dow"], "30d",
+        "rolling_store_stats": sql_rolling("visits_customer", ["store_id"], ("visits_customer",)),
+        "rolling_store_dow_stats": sql_rolling(CUSTOMER_VISITS_SQL, ["store_id", "dow"], ("visits_customer", "customers_as_stores")),
+        "rolling_genre_area_dow_stats": sql_rolling(CUSTOMER_VISITS_SQL, ["genre", "area", "dow"],
                                                     ("visits_customer", "customers_as_stores")),
+        "rolling_assembly": sql_roll_assembly(),
         "rolling_lag_diff": SQL_LAG_DIFF,
         "rolling_calendar_weight": SQL_CAL_WEIGHT,
         "rolling_max_minus": SQL_MAX_MINUS,

@@ -71,12 +71,6 @@ def decay_sums(x, age, rate: float) -> tuple[Column, Column]:
     return F.sum(_c(x) * w), F.sum(F.when(_c(x).isNotNull(), w))
 
 
-def decay_mean(x, age, rate: float = DEFAULT_DECAY) -> Column:
-    """sum(v*a^age)/sum(a^age)."""
-    num, den = decay_sums(x, age, rate)
-    return num / den
-
-
 def weighted_mean(w, x) -> Column:
     """O176 custom aggregate: sum(w*x)/sum(w) over rows where both are present."""
     w, x = _c(w), _c(x)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ordering import global_prefix_sum
+
 
 # ---------------------------------------------------------------- projections / filters
 def drop_if_present(df: DataFrame, cols) -> DataFrame:
@@ -16,16 +18,27 @@ def drop_if_present(df: DataFrame, cols) -> DataFrame:
 def split_by_prefix(df: DataFrame, id_col: str = "_id", target_prefixes=("AF_", "TRANS_"),
                     feature_prefix: str = "BE_", extra_targets=("RBC_LOSS",),
                     ignore=("dt_data", "dt_now"), feature_target: str = "TRANS_RBC"):
-    """(targets, features): AF_/TRANS_ + extras vs BE_ + the rest, ignoring some columns."""
-    cols = df.columns
-    y = [c for c in cols if c.startswith(target_prefixes[0])] + [id_col]
-    y += [c for c in cols if any(c.startswith(p) for p in target_prefixes[1:])]
-    y += [c for c in extra_targets if c in cols]
-    x = [c for c in cols if c.startswith(feature_prefix)] + [id_col]
-    x += sorted(set(cols) - set(x) - set(y) - set(ignore))
-    if feature_target in cols:
-        x.append(feature_target)
-    return df.select(*dict.fromkeys(y)), df.select(*dict.fromkeys(x))
+    """(targets, features).  Each column has a rank on either side, by its prefix or name, or none:
+    targets are the first prefix, the id, the other prefixes, the extras; features their prefix, the id, the
+    columns no rule names (by name), and one target that is a feature too."""
+    first, *others = target_prefixes
+
+    def target_rank(c):
+        return (0 if c.startswith(first) else 1 if c == id_col else 2 if c.startswith(tuple(others))
+                else 3 + extra_targets.index(c) if c in extra_targets else None)
+
+    def feature_rank(c):
+        if c == feature_target:
+            return (3, "")
+        if c.startswith(feature_prefix) or c == id_col:
+            return (int(c == id_col), "")
+        return None if target_rank(c) is not None or c in ignore else (2, c)
+
+    def side(rank):
+        ranked = [(rank(c), i, c) for i, c in enumerate(df.columns) if rank(c) is not None]
+        return df.select(*[c for _, _, c in sorted(ranked)])
+
+    return side(target_rank), side(feature_rank)
 
 
 def soft_delete_filter(df: DataFrame, flag: str = "is_delete") -> DataFrame:
@@ -55,27 +68,26 @@ def column_kinds(df: DataFrame) -> dict[str, str]:
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """One row per column: kind, rows, non-null, distinct, missing (one aggregation pass).
+    """One row per column: kind, rows, non-null, distinct, missing, from one long (column, value) form.
 
     A column with at most one distinct value is 'constant'.
     """
     kinds = column_kinds(df)
-    aggs = [F.count(F.lit(1)).alias("__rows")]
-    for c in df.columns:
-        aggs += [F.count(F.col(f"`{c}`")).alias(f"n__{c}"), F.count_distinct(F.col(f"`{c}`")).alias(f"d__{c}")]
-    one = df.agg(*aggs)
-    stack = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.lit(kinds[c]).alias("declared"),
-                 F.col(f"n__{c}").alias("n_non_null"), F.col(f"d__{c}").alias("n_distinct")) for c in df.columns]))
-    s = one.select(F.col("__rows").alias("n_rows"), stack.alias("s")).select("n_rows", "s.*")
+    value = lambda c: F.md5(F.col(f"`{c}`").cast("string").cast("binary"))  # noqa: E731  a short stand-in for the value
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), value(c).alias("v")) for c in df.columns]))
+    counts = df.select(pairs.alias("p")).select("p.*").groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
+    per = counts.groupBy("column").agg(F.sum("n").alias("n_rows"), F.sum(F.when(F.col("v").isNotNull(), F.col("n"))).alias("n_non_null"),
+                                       F.count("v").alias("n_distinct"))
+    declared = df.sparkSession.createDataFrame(list(kinds.items()), "column string, declared string")
+    s = declared.join(per, "column", "left").na.fill(0, subset=["n_rows", "n_non_null", "n_distinct"])
     return s.select("column", F.when(F.col("n_distinct") <= 1, "constant").otherwise(F.col("declared")).alias("kind"),
                     "n_rows", "n_non_null", "n_distinct", (F.col("n_rows") - F.col("n_non_null")).alias("n_missing"))
 
 
 def constant_columns(df: DataFrame) -> list[str]:
-    """O15 (planning step): names of columns with <= 1 distinct value (one small aggregate)."""
-    row = df.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(c) for c in df.columns]).first()
-    return [c for c in df.columns if row[c] <= 1]
+    """O15 (planning step): names of columns with <= 1 distinct value: least and greatest are equal (or both null)."""
+    row = df.agg(*[F.min(f"`{c}`").eqNullSafe(F.max(f"`{c}`")).alias(c) for c in df.columns]).first()
+    return [c for c in df.columns if row[c]]
 
 
 def drop_constant(df: DataFrame) -> DataFrame:
@@ -96,7 +108,8 @@ def substring_flag(col: str, needle: str) -> Column:
 
 def date_slice(df: DataFrame, col: str, start: str, end_inclusive: str) -> DataFrame:
     """Inclusive partial-date slice, e.g. '2017-01-10' .. end of '2017-08'."""
-    return df.where(F.to_date(F.col(col)).between(F.lit(start).cast("date"), F.lit(end_inclusive).cast("date")))
+    # the column itself is compared, so the filter reaches the scan
+    return df.where((F.col(col) >= F.lit(start).cast("date")) & (F.col(col) < F.date_add(F.lit(end_inclusive).cast("date"), 1)))
 
 
 def binary_target(col: str, threshold: float) -> Column:
@@ -177,9 +190,33 @@ def row_backfill(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(*[F.col(x) for x in cols[i:]]) for i, c in enumerate(cols)})
 
 
+def quantiles(df: DataFrame, cols: list[str], at: dict[str, float]) -> DataFrame:
+    """Exact quantiles with linear interpolation: (column, count, one column per name of `at`).
+
+    Counts per (column, value) first, with map-side sums; positions come from a prefix sum over range partitions, so no
+    task holds all values of a column.  A column without values has count 0 and null quantiles."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for c in cols]))
+    counts = (df.select(pairs.alias("p")).select("p.*").where("value is not null")
+              .groupBy("column", "value").agg(F.count(F.lit(1)).alias("__c")))
+    placed = global_prefix_sum(counts, ["value"], "__c", ["column"], out="__b")
+    sizes = placed.groupBy("column").agg(F.sum("__c").alias("__n"))
+    j = placed.join(sizes, "column")
+    aggs = [F.max("__n").alias("count")]
+    for name, q in at.items():
+        pos = (F.col("__n") - 1) * F.lit(q)
+        low, high = F.floor(pos), F.ceil(pos)
+        held = lambda p: F.sum(F.when((F.col("__b") <= p) & (p < F.col("__b") + F.col("__c")), F.col("value")))
+        part = F.max(pos - low)
+        aggs.append((held(low) * (1 - part) + held(high) * part).alias(name))
+    found = j.groupBy("column").agg(*aggs)
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    return names.join(found, "column", "left").na.fill(0, subset=["count"])
+
+
 def fit_medians(df: DataFrame, cols: list[str]) -> DataFrame:
-    """O115 fit: one-row table of medians (the reusable na_dict), computed by one aggregation."""
-    return df.agg(*[F.percentile(c, 0.5).alias(c) for c in cols])
+    """O115 fit: one-row table of medians (the reusable na_dict)."""
+    m = quantiles(df, cols, {"median": 0.5})
+    return m.agg(*[F.max(F.when(F.col("column") == c, F.col("median"))).alias(c) for c in cols])
 
 
 def apply_median_fill(df: DataFrame, medians: DataFrame, cols: list[str],

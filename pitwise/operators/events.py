@@ -20,7 +20,7 @@ def assert_unique(df: DataFrame, keys: list[str], date_col: str) -> None:
     """Refuse a series with repeated dates (an eager, distributed check)."""
     dup = df.groupBy(*keys, date_col).count().where(F.col("count") > 1).limit(1).collect()
     if dup:
-        raise ValueError(f"Please check the uniqueness of {date_col}.")
+        raise ValueError(f"a series holds the same {date_col} more than once")
 
 
 def duplicate_keys(df: DataFrame, keys: list[str], date_col: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .clean import quantiles
 from .ordering import global_prefix_sum
 
 
@@ -26,17 +27,10 @@ def top_n(df: DataFrame, score: str, n: int, tie: str) -> DataFrame:
 
 
 def top_k_per_group(df: DataFrame, group_cols: list[str], order: list[Column], k: int) -> DataFrame:
-    """Exact top-k per group that a hot group cannot funnel into one task.
-
-    Phase 1 ranks inside (group, input partition) - a hot group is spread over
-    all input partitions - and keeps k rows each; phase 2 ranks the at most
-    k x partitions survivors per group.
-    """
-    tagged = df.withColumn("__pid", F.spark_partition_id())
-    w1 = Window.partitionBy(*group_cols, "__pid").orderBy(*order)
-    local = tagged.withColumn("__r", F.row_number().over(w1)).where(F.col("__r") <= k).drop("__r", "__pid")
-    w2 = Window.partitionBy(*group_cols).orderBy(*order)
-    return local.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k)
+    """Exact top-k per group: a plain rank with a limit, for which Spark keeps at most k rows of each group in
+    every task before the shuffle, so a hot group brings k rows per task."""
+    w = Window.partitionBy(*group_cols).orderBy(*order)
+    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def argmax(arr) -> Column:
@@ -68,29 +62,33 @@ def threshold_select(imp: DataFrame, t: float, exclude: DataFrame, col: str = "c
     return imp.where(F.col("importance") > t).join(exclude, col, "left_anti")
 
 
-def average_ranks(df: DataFrame, col: str) -> DataFrame:
-    """Average rank of each value (ties share the mean rank), from a prefix sum over distinct values."""
-    vc = df.groupBy(col).agg(F.count(F.lit(1)).alias("__c"))
-    ps = global_prefix_sum(vc, [col], "__c", out="__before")
-    return ps.select(col, (F.col("__before") + (F.col("__c") + 1) / 2.0).alias(f"{col}__rank"))
-
-
-def spearman_pairs(df: DataFrame, cols: list[str], threshold: float = 0.0, key: str | None = None) -> DataFrame:
-    """O161: Spearman correlation of every column pair (Pearson of average ranks), pairs above |threshold|."""
-    ranked = df
-    for c in cols:
-        ranked = ranked.join(average_ranks(df, c), c)
-    aggs = []
-    for i, a in enumerate(cols):
-        for b in cols[i + 1:]:
-            aggs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
-                                 F.corr(f"{a}__rank", f"{b}__rank").alias("rho")))
-    out = ranked.agg(F.array(*aggs).alias("__p")).select(F.explode("__p").alias("x")).select("x.*")
-    return out.where(F.abs("rho") >= threshold)
+def spearman_pairs(df: DataFrame, cols: list[str], threshold: float = 0.0) -> DataFrame:
+    """O161: Spearman correlation of every column pair over the rows where both are present, |rho| >= threshold.
+
+    Rows become counts per (pair, value, value); a value's average rank in its pair follows from a prefix sum of
+    counts over range partitions, and rho is the weighted correlation of the ranks.  Frequent values are one
+    count each, so the fact rows are never joined."""
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    struct = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}`").cast("double").alias("x"),
+                       F.col(f"`{b}`").cast("double").alias("y")) for a, b in pairs]
+    cells = (df.select(F.explode(F.array(*struct)).alias("p")).select("p.*").where("x is not null and y is not null")
+             .groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).alias("n")))
+    sides = cells.select("a", "b", "n", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("v")) for s in "xy"])).alias("e"))
+    values = sides.groupBy("a", "b", "e.side", "e.v").agg(F.sum("n").alias("c"))
+    placed = global_prefix_sum(values, ["v"], "c", ["a", "b", "side"], out="before")
+    rank = placed.select("a", "b", "side", "v", (F.col("before") + (F.col("c") + 1) / 2.0).alias("rank"))
+    for s in "xy":
+        cells = cells.join(rank.where(F.col("side") == s).select("a", "b", F.col("v").alias(s), F.col("rank").alias(f"r{s}")), ["a", "b", s])
+    totals = cells.groupBy("a", "b").agg(F.sum("n").alias("total"))
+    centre = (F.col("total") + 1) / 2.0  # the mean of all ranks
+    dx, dy = F.col("rx") - centre, F.col("ry") - centre
+    rho = cells.join(totals, ["a", "b"]).groupBy("a", "b").agg(
+        (F.sum(F.col("n") * dx * dy) / F.sqrt(F.sum(F.col("n") * dx * dx) * F.sum(F.col("n") * dy * dy))).alias("rho"))
+    return rho.where(F.abs("rho") >= threshold)
 
 
 def column_summary(df: DataFrame, cols: list[str]) -> DataFrame:
-    """O162: count, mean, std, min, max per column (one pass, long form)."""
+    """O162: count, mean, std, min, quartiles, max per column (long form)."""
     one = df.agg(*[x for c in cols for x in (F.count(c).alias(f"{c}__n"), F.avg(c).alias(f"{c}__mean"),
                                              F.stddev_samp(c).alias(f"{c}__std"),
                                              F.min(c).cast("double").alias(f"{c}__min"),
@@ -99,7 +97,8 @@ def column_summary(df: DataFrame, cols: list[str]) -> DataFrame:
                                       F.col(f"{c}__mean").alias("mean"), F.col(f"{c}__std").alias("std"),
                                       F.col(f"{c}__min").alias("min"), F.col(f"{c}__max").alias("max"))
                              for c in cols]))
-    return one.select(st.alias("s")).select("s.*")
+    quarters = quantiles(df, cols, {"q25": 0.25, "q50": 0.5, "q75": 0.75}).drop("count")
+    return one.select(st.alias("s")).select("s.*").join(quarters, "column")
 
 
 def blend(a: DataFrame, b: DataFrame, key: str, col_a: str, col_b: str, weight_b: float = 1.1) -> DataFrame:
@@ -185,8 +184,3 @@ def compare_tables(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     diffs = F.filter(F.array(*[F.when(~F.col(f"a__{c}").eqNullSafe(F.col(f"b__{c}")), F.lit(c)) for c in shared]),
                      lambda x: x.isNotNull())
     return j.select(*keys, diffs.alias("diff_columns")).where(F.size("diff_columns") > 0)
-
-
-def column_set_difference(a: DataFrame, b: DataFrame) -> tuple[list[str], list[str]]:
-    """O171: columns only in a, only in b (schema-level)."""
-    return sorted(set(a.columns) - set(b.columns)), sorted(set(b.columns) - set(a.columns))

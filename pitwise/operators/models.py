@@ -15,12 +15,12 @@ from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..session import checkpoint_dir, cut_lineage
 
-# Largest training side (rows) the exact k-NN ships to every task.
-KNN_BROADCAST_ROWS = 200_000
+# Rows of a slice of either side of the exact k-NN.
+KNN_BLOCK = 2048
 SEED = 42
 
 
@@ -56,44 +56,66 @@ def linear_multi(train: DataFrame, test: DataFrame, features: list[str], label:
     return fit_predict(LinearRegression(labelCol=label, featuresCol="features"), train, test, features)
 
 
-def knn_regress(query: DataFrame, train: DataFrame, key: str, vec: str, label: str, k: int = 4) -> DataFrame:
+def knn_regress(query: DataFrame, train: DataFrame, key: str, vec: str, label: str, k: int = 4,
+                block: int = KNN_BLOCK) -> DataFrame:
     """O152: mean label of the k nearest training vectors (Euclidean, ties by training id).
 
-    Exact: the training side is shipped to every task once its row count has
-    been checked against KNN_BROADCAST_ROWS; each Arrow batch of queries keeps
-    only its k best neighbours (no pair rows are produced).
+    Exact, in blocks: both sides are dealt to slices of about `block` rows by a hash of the key, each pair of slices is
+    one group, which gives the k best neighbours of its queries; the best of all slices are merged by query.  No
+    side passes through the driver or one task.
     """
-    n = train.count()
-    if n > KNN_BROADCAST_ROWS:
-        raise ValueError(f"training side has {n} rows > {KNN_BROADCAST_ROWS}; partition the search space first")
-    pdf = train.select(key, vec, label).toPandas()  # bounded by the check above
-    order = np.argsort(pdf[key].to_numpy(), kind="stable")
-    mat = np.stack(pdf[vec].to_numpy()[order]).astype(np.float64)
-    labels = pdf[label].to_numpy()[order].astype(np.float64)
-    bc = query.sparkSession.sparkContext.broadcast((mat, labels))
-
-    def score(batches):
-        m, lab = bc.value
-        for b in batches:
-            q = np.stack(b[vec].to_numpy()).astype(np.float64)
-            d = ((q[:, None, :] - m[None, :, :]) ** 2).sum(-1)
-            idx = np.argsort(d, axis=1, kind="stable")[:, :k]
-            yield pd.DataFrame({key: b[key].to_numpy(), "knn_pred": lab[idx].mean(axis=1)})
-
-    schema = T.StructType([query.schema[key], T.StructField("knn_pred", T.DoubleType())])
-    return query.select(key, vec).mapInPandas(score, schema)
+    slices = [max(1, -(-df.count() // block)) for df in (query, train)]
+    sides = []
+    for i, (df, value) in enumerate(((query, F.lit(None).cast("double")), (train, F.col(label).cast("double")))):
+        mine = F.pmod(F.xxhash64(F.col(key)), F.lit(slices[i])).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.lit(slices[1 - i] - 1)))
+        cut = df.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec"), value.alias("y"),
+                        F.lit(i).alias("side"), mine.alias("mine"), other.alias("other"))
+        sides.append(cut.withColumnsRenamed({"mine": "tq"[1 - i] + "_no", "other": "tq"[i] + "_no"}).select("id", "vec", "y", "side", "q_no", "t_no"))
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, t = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1].sort_values("id")
+        out = []
+        if len(q) and len(t):
+            m = np.stack(t["vec"].to_numpy())
+            for i, v in zip(q["id"].to_numpy(), q["vec"].to_numpy()):
+                d = ((m - v) ** 2).sum(-1)
+                at = np.argsort(d, kind="stable")[:k]
+                out.append(pd.DataFrame({"id": i, "t": t["id"].to_numpy()[at], "d": d[at], "y": t["y"].to_numpy()[at]}))
+        return pd.concat(out) if out else pd.DataFrame({"id": [], "t": [], "d": [], "y": []})
+
+    near = sides[0].unionByName(sides[1]).groupBy("q_no", "t_no").applyInPandas(best, "id long, t long, d double, y double")
+    nearest = Window.partitionBy("id").orderBy("d", "t")
+    kept = near.withColumn("__r", F.row_number().over(nearest)).where(F.col("__r") <= k)
+    return kept.groupBy(F.col("id").cast(query.schema[key].dataType).alias(key)).agg(F.avg("y").alias("knn_pred"))
 
 
 def als_fit_predict(ratings: DataFrame, user: str, item: str, rating: str, rank: int = 10,
-                    max_iter: int = 10, reg: float = 0.1):
-    """O153: factor model on dense ids (O134), scores bounded to [min, max] of the ratings."""
+                    max_iter: int = 10, reg: float = 0.1, scored: DataFrame | None = None, damping: float = 5.0):
+    """O153: mean + user bias + item bias + factor product on dense ids (O134), scores bounded to the ratings' range.
+
+    The biases are damped means of what the parts before leave; the factors fit the rest.  `scored` are the rows to
+    predict, hold-out rows as a rule (default: the training rows); an unknown user or item has bias and product 0."""
     checkpoint_dir(ratings.sparkSession)
-    als = ALS(rank=rank, maxIter=max_iter, regParam=reg, userCol=user, itemCol=item, ratingCol=rating,
-              coldStartStrategy="drop", seed=SEED, checkpointInterval=5)
-    model = als.fit(ratings)
-    lo, hi = ratings.agg(F.min(rating)).scalar(), ratings.agg(F.max(rating)).scalar()
-    pred = model.transform(ratings).withColumn("prediction", F.least(F.greatest("prediction", lo), hi))
-    return model, pred
+    state = ratings.agg(F.avg(rating).alias("mean"), F.min(rating).alias("lo"), F.max(rating).alias("hi"))
+    mean, lo, hi = (state.select(c).scalar() for c in ("mean", "lo", "hi"))
+
+    def bias(df: DataFrame, key: str, rest) -> DataFrame:
+        return df.groupBy(key).agg((F.sum(rest) / (F.count(F.lit(1)) + damping)).alias(f"{key}_bias"))
+
+    users = bias(ratings, user, F.col(rating) - mean)
+    with_user = ratings.join(users, user)
+    items = bias(with_user, item, F.col(rating) - mean - F.col(f"{user}_bias"))
+    left = with_user.join(items, item).select(
+        user, item, (F.col(rating) - mean - F.col(f"{user}_bias") - F.col(f"{item}_bias")).alias("rest"))
+    als = ALS(rank=rank, maxIter=max_iter, regParam=reg, userCol=user, itemCol=item, ratingCol="rest",
+              coldStartStrategy="nan", seed=SEED, checkpointInterval=5)
+    model = als.fit(left)
+    target = (scored if scored is not None else ratings).join(users, user, "left").join(items, item, "left")
+    p = model.transform(target)
+    total = mean + F.coalesce(f"{user}_bias", F.lit(0.0)) + F.coalesce(f"{item}_bias", F.lit(0.0)) + F.nanvl(
+        F.col("prediction").cast("double"), F.lit(0.0))
+    return model, p.withColumn("prediction", F.least(F.greatest(total, lo), hi))
 
 
 def importance_table(model, features: list[str]) -> DataFrame:
@@ -111,8 +133,6 @@ def rmse(pred: DataFrame, label: str = "label") -> float:
 def drop_column_importance(est_factory, train: DataFrame, valid: DataFrame, features: list[str],
                            label: str = "label") -> DataFrame:
     """O157: refit without each column; importance = hold-out RMSE increase (the hold-out replaces OOB)."""
-    train = train.cache()
-    valid = valid.cache()
     _, p = fit_predict(est_factory(), train, valid, features)
     base = p.agg(F.sqrt(F.avg(F.pow(F.col("prediction") - F.col(label), 2))).alias("e"))
     parts = []
@@ -144,13 +164,20 @@ def tree_spread(model, df: DataFrame, features: list[str], keep: list[str]) -> D
 
 
 def partial_dependence(model, df: DataFrame, features: list[str], feature: str, grid: list[float],
-                       key: str, n_sample: int = 500) -> DataFrame:
-    """O159: a hash sample of rows, the feature swept over a grid (a bounded generator), mean prediction."""
+                       key: str, n_sample: int | None = None) -> DataFrame:
+    """O159: the feature swept over a grid for every row (or a hash sample of `n_sample`), mean prediction."""
+    return partial_dependence_pair(model, df, features, (feature,), (grid,), key, n_sample)
+
+
+def partial_dependence_pair(model, df: DataFrame, features: list[str], swept: tuple[str, ...], grids: tuple[list[float], ...],
+                            key: str, n_sample: int | None = None) -> DataFrame:
+    """O159 for several features at once: mean prediction at each point of the product of the grids."""
     from .split import sample_n
-    s = sample_n(df, key, n_sample)
-    sweep = s.withColumn(feature, F.explode(F.array(*[F.lit(float(g)) for g in grid])))
-    p = model.transform(assemble(sweep, features))
-    return p.groupBy(feature).agg(F.avg("prediction").alias("pd_mean"), F.count(F.lit(1)).alias("n"))
+    s = df if n_sample is None else sample_n(df, key, n_sample)
+    for feature, grid in zip(swept, grids):
+        s = s.withColumn(feature, F.explode(F.array(*[F.lit(float(g)) for g in grid])))
+    p = model.transform(assemble(s, features))
+    return p.groupBy(*swept).agg(F.avg("prediction").alias("pd_mean"), F.count(F.lit(1)).alias("n"))
 
 
 def drift_classifier(train: DataFrame, valid: DataFrame, features: list[str]):

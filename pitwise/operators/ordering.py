@@ -11,6 +11,9 @@ bounded by the partition count and broadcast.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,6 +23,16 @@ from ..session import cut_lineage
 _LOCAL_MASK = (1 << 33) - 1
 
 
+def join_groups(df: DataFrame, side: DataFrame, group_cols: list, plain_cols: list | None = None) -> DataFrame:
+    """Inner join on group columns where a null group meets the null group of the other side (an equi-join all the
+    same), and on never-null `plain_cols`; the key columns come once."""
+    plain_cols = plain_cols or []
+    keys = [*group_cols, *plain_cols]
+    right = side.withColumnsRenamed({c: f"__r_{c}" for c in keys})
+    same = [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in group_cols] + [F.col(c) == F.col(f"__r_{c}") for c in plain_cols]
+    return df.join(right, reduce(and_, same)).drop(*[f"__r_{c}" for c in keys])
+
+
 def global_row_number(df: DataFrame, order_cols: list, group_cols: list | None = None,
                       out: str = "rn", num_partitions: int | None = None) -> DataFrame:
     """Add `out` = 1-based position of each row in `order_cols` order within `group_cols`.
@@ -48,58 +61,31 @@ def global_row_number(df: DataFrame, order_cols: list, group_cols: list | None =
     offsets = offsets.fillna(0, subset=["__off"])
     # without groups: one row per partition (bounded by the partition count) -> broadcast;
     # with groups it grows with the number of groups, so the planner/AQE decides
-    j = tagged.join(offsets if group_cols else F.broadcast(offsets), [*group_cols, "__pid"])
+    j = join_groups(tagged, offsets if group_cols else F.broadcast(offsets), group_cols, ["__pid"])
     return j.withColumn(out, (F.col("__off") + F.col("__pos") - F.col("__p0") + 1).cast("long")).drop(
         "__pid", "__pos", "__p0", "__off")
 
 
-def group_sizes(df: DataFrame, group_cols: list, out: str = "n") -> DataFrame:
-    """Row count per group (partial aggregation, joined back by key)."""
-    return df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias(out))
-
-
 def global_prefix_sum(df: DataFrame, order_cols: list, value_col: str, group_cols: list | None = None,
                       out: str = "offset", num_partitions: int | None = None) -> DataFrame:
     """Add `out` = sum of `value_col` over all earlier rows (exclusive prefix sum) within `group_cols`.
 
-    Two levels: a per-partition running sum over range-partitioned, sorted rows
-    (Arrow batches in `mapInPandas`), then per-partition totals whose prefix
-    over partitions (one row per partition) is broadcast back.
+    Two levels: a window over each (range partition, group), then the totals of the partitions before (one row per
+    partition and group), joined back.  A hot group is spread over as many range partitions as its rows fill.
     """
-    import pandas as pd
-    from pyspark.sql import types as T
-
     group_cols = group_cols or []
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [*group_cols, *order_cols]
-    ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-              .withColumn("__pid", F.spark_partition_id()))
-    schema = T.StructType(ranged.schema.fields + [T.StructField("__local", T.LongType())])
-    gcols = list(group_cols)
-
-    def local_excl(batches):
-        carry: dict = {}
-        for pdf in batches:
-            v = pdf[value_col].fillna(0).astype("int64")
-            if gcols:
-                gkey = pdf[gcols].astype(str).agg("\x1f".join, axis=1)
-                base = gkey.map(lambda k: carry.get(k, 0)).astype("int64")
-                cs = v.groupby(gkey.values).cumsum() - v + base
-                for k, tot in (v.groupby(gkey.values).sum()).items():
-                    carry[k] = carry.get(k, 0) + int(tot)
-            else:
-                b = carry.get(None, 0)
-                cs = v.cumsum() - v + b
-                carry[None] = b + int(v.sum())
-            yield pdf.assign(__local=cs.values)
-
-    tagged = cut_lineage(ranged.mapInPandas(local_excl, schema))
-    totals = tagged.groupBy(*group_cols, "__pid").agg(F.sum(F.coalesce(F.col(value_col), F.lit(0)))
-                                                      .cast("long").alias("__t"))
+    # range bounds are sampled, so the partition of a row is fixed once, in a reliable checkpoint
+    tagged = cut_lineage(df.repartitionByRange(n, *keys).withColumn("__pid", F.spark_partition_id()))
+    value = F.coalesce(F.col(value_col), F.lit(0))
+    earlier = Window.partitionBy("__pid", *group_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    local = tagged.withColumn("__local", F.coalesce(F.sum(value).over(earlier), F.lit(0)))
+    totals = tagged.groupBy(*group_cols, "__pid").agg(F.sum(value).cast("long").alias("__t"))
     w = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()).orderBy("__pid")
     offs = totals.select(*group_cols, "__pid",
                          F.coalesce(F.sum("__t").over(w.rowsBetween(Window.unboundedPreceding, -1)),
                                     F.lit(0)).alias("__poff"))
-    j = tagged.join(offs if group_cols else F.broadcast(offs), [*group_cols, "__pid"])
+    j = join_groups(local, offs if group_cols else F.broadcast(offs), group_cols, ["__pid"])
     return j.withColumn(out, (F.col("__poff") + F.col("__local")).cast("long")).drop("__pid", "__local", "__poff")

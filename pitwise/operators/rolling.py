@@ -26,33 +26,40 @@ def rolling_name(keys: list[str], period: str, stat: str) -> str:
     return f"rolling_{'_'.join(keys)}_{period}_{stat}"
 
 
-def rolling_stats(df: DataFrame, keys: list[str], period: str, value: str = "visitors",
+def rolling_stats(df: DataFrame, keys: list[str], periods=PERIODS, value: str = "visitors",
                   date_col: str = "visit_date", stats=ROLL_STATS) -> DataFrame:
-    """Per (keys, date): rolling statistics of the daily mean of `value`, shifted by one row."""
-    n = int(period.rstrip("d"))
+    """Per (keys, date): rolling statistics of the daily mean of `value` over every period, shifted by one row.
+
+    All periods are frames over one partitioning and order, so a key set costs one shuffle and one sort."""
+    periods = (periods,) if isinstance(periods, str) else tuple(periods)
     daily = df.groupBy(*keys, date_col).agg(F.avg(F.col(value).cast("double")).alias("__v"))
     daily = daily.withColumn("__day", day_number(date_col))
     order = Window.partitionBy(*keys).orderBy("__day")
-    fr = order.rangeBetween(-(n - 1), 0)
-    v = F.col("__v")
-    cnt = F.count(v).over(fr)
-    exprs = {
-        "max": F.max(v).over(fr), "min": F.min(v).over(fr),
-        "median": F.percentile(v, 0.5).over(fr), "std": F.stddev_samp(v).over(fr),
-        "cnt": cnt.cast("double"), "mean": F.avg(v).over(fr),
-        "skew": (F.when(cnt < 3, F.lit(None).cast("double"))
-                 .when(F.max(v).over(fr) == F.min(v).over(fr), F.lit(0.0))
-                 .otherwise(F.skewness(v).over(fr) * F.sqrt(cnt * (cnt - 1)) / (cnt - 2))),
-    }
-    framed = daily.select(*keys, date_col, "__day", *[exprs[s].alias(f"__{s}") for s in stats])
-    return framed.select(*keys, date_col,
-                         *[F.lag(f"__{s}", 1).over(order).alias(rolling_name(keys, period, s)) for s in stats])
-
-
-def add_rolling_stat(dataset: DataFrame, period: str, keys: list[str], value: str = "visitors",
+    v, framed = F.col("__v"), []
+    for period in periods:
+        fr = order.rangeBetween(-(int(period.rstrip("d")) - 1), 0)
+        cnt = F.count(v).over(fr)
+        exprs = {
+            "max": F.max(v).over(fr), "min": F.min(v).over(fr),
+            "median": F.percentile(v, 0.5).over(fr), "std": F.stddev_samp(v).over(fr),
+            "cnt": cnt.cast("double"), "mean": F.avg(v).over(fr),
+            "skew": (F.when(cnt < 3, F.lit(None).cast("double"))
+                     .when(F.max(v).over(fr) == F.min(v).over(fr), F.lit(0.0))
+                     .otherwise(F.skewness(v).over(fr) * F.sqrt(cnt * (cnt - 1)) / (cnt - 2))),
+        }
+        framed += [exprs[s].alias(rolling_name(keys, period, s)) for s in stats]
+    names = [rolling_name(keys, p, s) for p in periods for s in stats]
+    wide = daily.select(*keys, date_col, "__day", *framed)
+    return wide.select(*keys, date_col, *[F.lag(c, 1).over(order).alias(c) for c in names])
+
+
+def rolling_assembly(dataset: DataFrame, key_sets: list[list[str]], periods=PERIODS, value: str = "visitors",
                      date_col: str = "visit_date") -> DataFrame:
-    """The rolling table joined back to every row of the dataset (left join on keys+date)."""
-    return dataset.join(rolling_stats(dataset, keys, period, value, date_col), [*keys, date_col], "left")
+    """The rolling tables of all key sets joined back to every row of the dataset (left joins on keys + date)."""
+    out = dataset
+    for keys in key_sets:
+        out = out.join(rolling_stats(dataset, keys, periods, value, date_col), [*keys, date_col], "left")
+    return out
 
 
 def add_lag_diff(df: DataFrame, keys: list[str], date_col: str, value: str) -> DataFrame:

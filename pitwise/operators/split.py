@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import global_row_number
+from .ordering import global_row_number, join_groups
 
 DEFAULT_SEED = 42
 
@@ -22,7 +22,7 @@ def hash_key(id_col: str, seed: int = DEFAULT_SEED) -> Column:
 def _with_n(df: DataFrame, group_cols: list[str]) -> DataFrame:
     if group_cols:
         n = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__n"))
-        return df.join(n, group_cols)
+        return join_groups(df, n, group_cols)
     return df.withColumn("__n", df.agg(F.count(F.lit(1))).scalar())
 
 

@@ -4,7 +4,7 @@ Data model
 ----------
 * `data`     one row per (store_id, visit_date): visitors = log1p(count), dow (Mon=0),
              genre, holiday flags.  Daily pre-aggregation bounds every statistic
-             group (pivot, store) by the horizon length, so no key can be hot there.
+             group (pivot, store) by the horizon length, so no store can be hot.
 * `windows`  (end_date, days_in_label): weekly pivots (O146).  Its size is bounded
              by calendar span / step, never by data volume.
 * statistic calendar  windows x age 1..H-1 -> (visit_date, end_date, age)
@@ -13,10 +13,12 @@ Data model
 Both calendars turn the range join "visit inside the window of a pivot" (O38)
 into an equi-join on visit_date.  They are broadcast when their row count,
 checked against `BROADCAST_ROWS`, allows it; otherwise the planner shuffles on
-visit_date and AQE splits hot dates.  The joined rows stream into Spark's
-partial aggregation, so the fan-out (about H/7 pivots per visit) never crosses
-the shuffle: only (pivot, key) aggregation buffers do.  All horizons of one key
-family are conditional aggregates of one `agg`: one shuffle per family.
+visit_date and AQE splits hot dates.  The daily rows are partitioned by store
+before the join, so the fan-out (about H/7 pivots per visit) and the aggregation of every
+store-keyed family stay in the partition of their store: only the daily rows are shuffled.
+Genre families, whose few groups span all stores, first count the days of each (pivot,
+genre, value) and take all statistics, the exact median too, from these counts.
+All horizons of one key family are conditional aggregates of one `agg`.
 """
 
 from __future__ import annotations
@@ -28,7 +30,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import stats as S
-from ..session import cut_lineage
 
 # Largest calendar map (rows) we broadcast; beyond it the join shuffles on the date.
 BROADCAST_ROWS = 4_000_000
@@ -40,7 +41,7 @@ DIFF_HORIZONS = (58, 1000)
 AHEAD_SHIFTS = (3, 2, 1, -1)
 RATIO_SMOOTHING = 0.01
 # (name, numerator column, denominator column) of the second-order rates.
-RATIOS = (
+RATIOS = (  # fixed values
     ("store_mean_14_28_rate", "store_mean14", "store_mean28"),
     ("store_mean_28_56_rate", "store_mean28", "store_mean56"),
     ("store_mean_56_1000_rate", "store_mean56", "store_mean1000"),
@@ -108,12 +109,13 @@ def label_calendar(windows: DataFrame) -> DataFrame:
 
 @dataclass
 class PitContext:
-    """Materialised inputs shared by all feature families of one build."""
+    """Inputs shared by all feature families of one build; `data` is partitioned by store."""
 
     data: DataFrame
     windows: DataFrame
     n_windows: int
     calendar: DataFrame | None = None
+    max_label_days: int = 39
 
     def history(self, max_horizon: int = 1000, data: DataFrame | None = None) -> DataFrame:
         """Every (pivot, visit) pair with 1 <= age <= max_horizon-1, as an equi-join."""
@@ -123,37 +125,22 @@ class PitContext:
 
     def label_rows(self, data: DataFrame | None = None) -> DataFrame:
         cal = label_calendar(self.windows)
-        cal = _maybe_broadcast(cal, self.n_windows * 64)
+        cal = _maybe_broadcast(cal, self.n_windows * self.max_label_days)
         return (data if data is not None else self.data).join(cal, "visit_date")
 
 
-# Target exploded (pivot, visit) rows per task of the history scan.
-ROWS_PER_TASK = 2_000_000
-
-
 def make_context(data: DataFrame, pivot_date: str, end_date: str, step: int = 7,
                  days_in_label: int = 39, min_stat_days: int = 37,
-                 calendar: DataFrame | None = None, materialize: bool = True,
-                 max_horizon: int = 1000) -> PitContext:
-    """Checkpoint `data` once (it feeds every family) and build the windows.
-
-    The daily table is small next to its fan-out (about max_horizon/step pivots
-    per row), and AQE would coalesce it to a handful of partitions.  It is
-    therefore re-partitioned by its unique key (store_id, visit_date) - which no
-    store can make hot - into enough partitions for the exploded rows.
-    """
+                 calendar: DataFrame | None = None) -> PitContext:
+    """Partition `data` by store and build the windows.
+
+    The partition count is the session's shuffle setting and is kept by AQE, since the rows fan out
+    after the exchange."""
     w = pivot_windows(data, pivot_date, end_date, step, days_in_label, min_stat_days)
-    if not materialize:
-        return PitContext(data=data, windows=w, n_windows=w.count(), calendar=calendar)
-    w = cut_lineage(w)
+    parts = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = w.count()  # bounded by calendar span / step; sizes the broadcast decision
-    rows = data.count()
-    fan = min(n, max_horizon // max(step, 1) + 1)
-    spark = data.sparkSession
-    floor_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(floor_parts, -(-rows * fan // ROWS_PER_TASK))
-    data = cut_lineage(data.repartition(parts, "store_id", "visit_date"))
-    return PitContext(data=data, windows=w, n_windows=n, calendar=calendar)
+    return PitContext(data=data.repartition(parts, "store_id"), windows=w, n_windows=n, calendar=calendar,
+                      max_label_days=max(days_in_label, 1))
 
 
 # ----------------------------------------------------------------------------- labels
@@ -178,11 +165,6 @@ def labels(ctx: PitContext, calendar: DataFrame | None = None) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------- families
-def _fill0(df: DataFrame, keys) -> DataFrame:
-    cols = [c for c in df.columns if c not in keys]
-    return df.na.fill(0, subset=cols)
-
-
 def summary_aggs(prefix: str, horizons) -> list[Column]:
     """Seven statistics for every horizon, as conditional aggregates."""
     aggs: list[Column] = []
@@ -210,6 +192,36 @@ def summary_family(hist: DataFrame, keys: list[str], prefix: str, horizons) -> D
     return hist.groupBy("end_date", *keys).agg(*summary_aggs(prefix, horizons))
 
 
+def counted_family(hist: DataFrame, keys: list[str], prefix: str, horizons) -> DataFrame:
+    """The statistics of `summary_family` for groups that span many stores, from counts per value.
+
+    The first aggregation leaves one row per (pivot, group, value), with partial sums on the map side; the
+    order statistics and central moments then come from windows over the values of a group, so no group keeps a buffer
+    of its days."""
+    group = ["end_date", *keys]
+    v = F.col("visitors")
+    counts = hist.groupBy(*group, "visitors").agg(
+        *[F.count(F.when((F.col("age") < n) & v.isNotNull(), 1)).alias(f"c{n}") for n in horizons])
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy("visitors").rowsBetween(Window.unboundedPreceding, -1)
+    parts, aggs = {}, []
+    for n in horizons:
+        c = F.col(f"c{n}")
+        parts |= {f"n{n}": F.sum(c).over(whole), f"b{n}": F.coalesce(F.sum(c).over(before), F.lit(0)),
+                  f"m{n}": F.try_divide(F.sum(c * v).over(whole), F.sum(c).over(whole))}
+        size, mean, at = F.max(f"n{n}"), F.max(f"m{n}"), F.col(f"b{n}")
+        here = F.when(c > 0, v)
+        middle = [F.sum(F.when((at <= p) & (p < at + c), v)) for p in (F.floor((F.col(f"n{n}") - 1) / 2), F.ceil((F.col(f"n{n}") - 1) / 2))]
+        square, cube = (F.sum(c * F.pow(v - F.col(f"m{n}"), k)) for k in (2, 3))
+        skew = F.try_divide(F.sqrt(size * (size - 1)) * F.try_divide(cube, size), (size - 2) * F.pow(F.try_divide(square, size), 1.5))
+        values = {"min": F.min(here).cast("double"), "mean": mean, "median": (middle[0] + middle[1]) / 2,
+                  "max": F.max(here).cast("double"), "count": size,
+                  "std": F.when(size > 1, F.sqrt(F.try_divide(square, size - 1))),
+                  "skew": F.when(size < 3, F.lit(None).cast("double")).when(F.max(here) == F.min(here), 0.0).otherwise(skew)}
+        aggs += [values[name].alias(f"{prefix}_{name}{n}") for name in S.SUMMARY7]
+    return counts.withColumns(parts).groupBy(*group).agg(*aggs)
+
+
 def store_visitor_feat(ctx: PitContext, horizons=STORE_HORIZONS) -> DataFrame:
     return summary_family(ctx.history(max(horizons)), ["store_id"], "store", horizons)
 
@@ -220,12 +232,12 @@ def store_week_feat(ctx: PitContext, horizons=STORE_HORIZONS) -> DataFrame:
 
 def genre_visitor_feat(ctx: PitContext, horizons=GENRE_HORIZONS) -> DataFrame:
     h = ctx.history(max(horizons)).where(F.col("air_genre_name").isNotNull())
-    return summary_family(h, ["air_genre_name"], "genre", horizons)
+    return counted_family(h, ["air_genre_name"], "genre", horizons)
 
 
 def genre_week_feat(ctx: PitContext, horizons=GENRE_HORIZONS) -> DataFrame:
     h = ctx.history(max(horizons)).where(F.col("air_genre_name").isNotNull())
-    return summary_family(h, ["air_genre_name", "dow"], "genre_dow", horizons)
+    return counted_family(h, ["air_genre_name", "dow"], "genre_dow", horizons)
 
 
 def store_holiday_feat(ctx: PitContext, horizon: int = 1000) -> tuple[DataFrame, DataFrame]:
@@ -257,35 +269,14 @@ def genre_week_exp_feat(ctx: PitContext, horizon: int = 1000) -> DataFrame:
 
 def store_week_exp_feat(ctx: PitContext, horizon: int = 1000, rates=S.DECAY_RATES) -> DataFrame:
     """For each rate, the decayed mean and the cumulative-product variant (mean2)."""
-    h = ctx.history(horizon)
-    x = S.within("age", horizon, F.col("visitors"))
-    age = F.col("age").cast("double")
-    aggs = []
-    cum = F.lit(1.0)
-    for r in rates:
-        w = F.pow(F.lit(r), age)
-        cum = cum * w
-        den = F.sum(F.when(x.isNotNull(), w))
-        tag = f"{horizon}_{S.rate_name(r)}"
-        aggs += [(F.sum(x * w) / den).alias(f"store_dow_exp_mean{tag}"),
-                 den.alias(f"store_dow_exp_weight_sum{tag}"),
-                 (F.sum(x * cum) / den).alias(f"store_dow_exp_mean2{tag}")]
-    return h.groupBy("end_date", "store_id", "dow").agg(*aggs)
+    return ctx.history(horizon).groupBy("end_date", "store_id", "dow").agg(*dow_exp_aggs(horizon, rates))
 
 
 def store_all_week_feat(ctx: PitContext, horizon: int = 1000) -> DataFrame:
     """Per store a wide weekday profile: {i}store_dow_{mean,median,sum(=max),count}, {i}dow."""
-    h = ctx.history(horizon)
-    x = S.within("age", horizon, F.col("visitors"))
-    aggs = []
-    for i in range(7):
-        xi = F.when(F.col("dow") == i, x)
-        aggs += [F.avg(xi).alias(f"{i}store_dow_mean{horizon}"),
-                 F.percentile(xi, 0.5).alias(f"{i}store_dow_median{horizon}"),
-                 F.max(xi).alias(f"{i}store_dow_sum{horizon}"),
-                 F.count(xi).alias(f"{i}store_dow_count{horizon}"),
-                 F.max(F.when(xi.isNotNull(), F.lit(i))).alias(f"{i}dow")]
-    return h.groupBy("end_date", "store_id").agg(*aggs)
+    week = summary_family(ctx.history(horizon), ["store_id", "dow"], "store_dow", [horizon])
+    out = profile_from_week_feat(week, horizon)
+    return out.withColumns({f"{i}store_dow_count{horizon}": F.coalesce(F.col(f"`{i}store_dow_count{horizon}`"), F.lit(0)) for i in range(7)})
 
 
 def with_previous_date(data: DataFrame) -> DataFrame:
@@ -307,15 +298,8 @@ def with_previous_date(data: DataFrame) -> DataFrame:
 
 def store_week_diff_feat(ctx: PitContext, horizons=DIFF_HORIZONS) -> DataFrame:
     """Mean |diff|, std, max, min of consecutive-date differences per horizon."""
-    d = with_previous_date(ctx.data)
-    h = ctx.history(max(horizons), data=d)
-    prev_age = F.datediff("end_date", "prev_date")
-    aggs = []
-    for n in horizons:
-        x = F.when((F.col("age") < n) & (prev_age < n), F.col("diff"))
-        aggs += [F.avg(F.abs(x)).alias(f"store_diff_mean{n}"), F.stddev_samp(x).alias(f"store_diff_std{n}"),
-                 F.max(x).alias(f"store_diff_max{n}"), F.min(x).alias(f"store_diff_min{n}")]
-    return h.groupBy("end_date", "store_id").agg(*aggs)
+    h = ctx.history(max(horizons), data=with_previous_date(ctx.data))
+    return h.groupBy("end_date", "store_id").agg(*diff_aggs(horizons))
 
 
 def first_last_time_feat(ctx: PitContext, horizon: int = 1000) -> DataFrame:
@@ -342,29 +326,24 @@ def reserve_feat(ctx: PitContext, reserves: DataFrame) -> DataFrame:
         dt = F.when(F.col("system") == s, F.col("diff_time"))
         aggs += [F.sum(rv).cast("double").alias(f"{s}_reserve_visitors"),
                  F.count(rv).alias(f"{s}_reserve_count"),
-                 F.avg(dt).alias(f"{s}_store_diff_time_mean")]
+                 F.avg(dt).alias(f"{s}_store_diff_time_mean"),
+                 F.sum(dt).alias(f"__{s}_lead"), F.count(dt).alias(f"__{s}_leads")]
     return r.groupBy("end_date", "store_id", "visit_date").agg(*aggs)
 
 
 def reserve_date_feat(store_day: DataFrame) -> DataFrame:
-    """Per (end_date, visit_date) totals from the per-store table (additive re-aggregation)."""
+    """Per (end_date, visit_date) totals and mean lead times from the parts of the per-store table."""
     aggs = []
     for s in ("air", "hpg"):
         aggs += [F.sum(f"{s}_reserve_visitors").alias(f"{s}_date_visitors"),
-                 F.sum(f"{s}_reserve_count").alias(f"{s}_date_count")]
+                 F.sum(f"{s}_reserve_count").alias(f"{s}_date_count"),
+                 F.try_divide(F.sum(f"__{s}_lead"), F.sum(f"__{s}_leads")).alias(f"{s}_diff_time_mean")]
     return store_day.groupBy("end_date", "visit_date").agg(*aggs)
 
 
-def reserve_date_lead(ctx: PitContext, reserves: DataFrame) -> DataFrame:
-    """Per (end_date, visit_date) mean lead time per system (a mean is not re-aggregable)."""
-    r = reserves.select("system", F.to_date("visit_datetime").alias("visit_date"),
-                        F.to_date("reserve_datetime").alias("reserve_date"),
-                        F.floor((F.unix_timestamp("visit_datetime") - F.unix_timestamp("reserve_datetime"))
-                                / 86400).cast("int").alias("diff_time"))
-    r = ctx.label_rows(data=r).where(F.col("reserve_date") < F.col("end_date"))
-    return r.groupBy("end_date", "visit_date").agg(
-        *[F.avg(F.when(F.col("system") == s, F.col("diff_time"))).alias(f"{s}_diff_time_mean")
-          for s in ("air", "hpg")])
+def reserve_store_day(parts: DataFrame) -> DataFrame:
+    """The per-store table without the sums that only the per-day table needs."""
+    return parts.drop(*[f"__{s}_{x}" for s in ("air", "hpg") for x in ("lead", "leads")])
 
 
 # ----------------------------------------------------------------------------- assembly
@@ -401,7 +380,7 @@ def training_set(ctx: PitContext, families: list | None = None) -> DataFrame:
     return second_feat(lab)
 
 
-def _diff_aggs(horizons=DIFF_HORIZONS) -> list[Column]:
+def diff_aggs(horizons=DIFF_HORIZONS) -> list[Column]:
     prev_age = F.datediff("end_date", "prev_date")
     aggs = []
     for n in horizons:
@@ -411,19 +390,6 @@ def _diff_aggs(horizons=DIFF_HORIZONS) -> list[Column]:
     return aggs
 
 
-def _profile_aggs(horizon: int = 1000) -> list[Column]:
-    x = S.within("age", horizon, F.col("visitors"))
-    aggs = []
-    for i in range(7):
-        xi = F.when(F.col("dow") == i, x)
-        aggs += [F.avg(xi).alias(f"{i}store_dow_mean{horizon}"),
-                 F.percentile(xi, 0.5).alias(f"{i}store_dow_median{horizon}"),
-                 F.max(xi).alias(f"{i}store_dow_sum{horizon}"),
-                 F.count(xi).alias(f"{i}store_dow_count{horizon}"),
-                 F.max(F.when(xi.isNotNull(), F.lit(i))).alias(f"{i}dow")]
-    return aggs
-
-
 def profile_from_week_feat(store_dow: DataFrame, horizon: int = 1000) -> DataFrame:
     """O48 from the store x weekday family: one row per (pivot, store), seven weekday blocks.
 
@@ -440,7 +406,7 @@ def profile_from_week_feat(store_dow: DataFrame, horizon: int = 1000) -> DataFra
     return store_dow.groupBy("end_date", "store_id").agg(*aggs)
 
 
-def _dow_exp_aggs(horizon: int = 1000, rates=S.DECAY_RATES) -> list[Column]:
+def dow_exp_aggs(horizon: int = 1000, rates=S.DECAY_RATES) -> list[Column]:
     x = S.within("age", horizon, F.col("visitors"))
     age = F.col("age").cast("double")
     aggs, cum = [], F.lit(1.0)
@@ -465,27 +431,20 @@ def full_training_set(ctx: PitContext, reserves: DataFrame | None = None) -> Dat
     """
     hd = ctx.history(max(STORE_HORIZONS), data=with_previous_date(ctx.data))
     store = hd.groupBy("end_date", "store_id").agg(
-        *summary_aggs("store", STORE_HORIZONS), *exp_aggs("store", 1000), *first_last_aggs(1000), *_diff_aggs())
+        *summary_aggs("store", STORE_HORIZONS), *exp_aggs("store", 1000), *first_last_aggs(1000), *diff_aggs())
     h = ctx.history(max(STORE_HORIZONS))
     store_dow = h.groupBy("end_date", "store_id", "dow").agg(
-        *summary_aggs("store_dow", STORE_HORIZONS), *_dow_exp_aggs(1000))
+        *summary_aggs("store_dow", STORE_HORIZONS), *dow_exp_aggs(1000))
     # O48's weekday profile = the 1000-day store x weekday statistics laid out wide: pivot the
     # small family table instead of re-aggregating the exploded history
     profile = profile_from_week_feat(store_dow, 1000)
     hol1 = summary_family(h, ["store_id", "holiday_flg"], "store_holiday", [1000])
     hol2 = summary_family(h, ["store_id", "holiday_flg2"], "store_holiday2", [1000])
-    hg = h.where(F.col("air_genre_name").isNotNull())
-    genre = hg.groupBy("end_date", "air_genre_name").agg(*summary_aggs("genre", GENRE_HORIZONS),
-                                                         *exp_aggs("genre", 1000))
-    genre_dow = hg.groupBy("end_date", "air_genre_name", "dow").agg(*summary_aggs("genre_dow", GENRE_HORIZONS),
-                                                                    *exp_aggs("genre_dow", 1000))
     fams = [(store, ["store_id"]), (profile, ["store_id"]), (store_dow, ["store_id", "dow"]),
-            (hol1, ["store_id", "holiday_flg"]),
-            (hol2, ["store_id", "holiday_flg2"]), (genre, ["air_genre_name"]),
-            (genre_dow, ["air_genre_name", "dow"])]
+            (hol1, ["store_id", "holiday_flg"]), (hol2, ["store_id", "holiday_flg2"]),
+            (genre_visitor_feat(ctx), ["air_genre_name"]), (genre_exp_feat(ctx), ["air_genre_name"]),
+            (genre_week_feat(ctx), ["air_genre_name", "dow"]), (genre_week_exp_feat(ctx), ["air_genre_name", "dow"])]
     if reserves is not None:
         rs = reserve_feat(ctx, reserves)
-        fams += [(rs, ["store_id", "visit_date"]),
-                 (reserve_date_feat(rs).join(reserve_date_lead(ctx, reserves), ["end_date", "visit_date"], "full"),
-                  ["visit_date"])]
+        fams += [(reserve_store_day(rs), ["store_id", "visit_date"]), (reserve_date_feat(rs), ["visit_date"])]
     return training_set(ctx, fams)

@@ -3,7 +3,7 @@
 `build_session` is for tests, benches and local runs.  Library code never
 creates a session; it takes the caller's.  `checkpoint_dir` reads the shared
 folder the cluster names in ``spark.checkpoint.dir`` and only sets one when
-the setting is absent (tests / local mode).
+the setting is absent and the master is local (tests); on a cluster it raises.
 """
 
 from __future__ import annotations
@@ -48,7 +48,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         spark.sparkContext.setCheckpointDir(conf_dir)
         return spark.sparkContext.getCheckpointDir() or conf_dir
-    # Unset: only happens in tests and local runs.
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
     local = tempfile.mkdtemp(prefix="pitwise-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)

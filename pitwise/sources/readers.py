@@ -45,13 +45,6 @@ def labelled_paths(paths: DataFrame, path_col: str = "path") -> DataFrame:
     return d.join(classes, "label")
 
 
-def list_labelled_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """O6 on a real folder tree: binaryFile listing with only the path read (content pruned)."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", pattern).load(root).select("path"))
-    return labelled_paths(files)
-
-
 def multi_label(df: DataFrame, name: str, labels: str, sep: str = " "):
     """`name,"a b c"` -> class list (sorted), n-hot arrays, and a single index when every row has one label.
 
@@ -65,7 +58,10 @@ def multi_label(df: DataFrame, name: str, labels: str, sep: str = " "):
     n_cls = classes.agg(F.count(F.lit(1))).first()[0]
     idx = (ex.join(classes, "lab").groupBy(name)
            .agg(F.array_sort(F.collect_set("idx")).alias("labels_idx")))  # per row: bounded by its labels
-    single = idx.agg(F.max(F.size("labels_idx"))).first()[0] == 1
+    idx = df.select(name).distinct().join(idx, name, "left").withColumn(  # rows without a label stay
+        "labels_idx", F.coalesce("labels_idx", F.array().cast("array<int>")))
+    sizes = idx.agg(F.min(F.size("labels_idx")), F.max(F.size("labels_idx"))).first()
+    single = sizes[0] == sizes[1] == 1
     enc = idx.withColumn("nhot", F.transform(F.sequence(F.lit(0), F.lit(n_cls - 1)),
                                              lambda k: F.when(F.array_contains("labels_idx", k), 1.0).otherwise(0.0)))
     enc = enc.withColumn("label_idx", F.element_at("labels_idx", 1) if single else F.lit(None).cast("int"))
@@ -88,11 +84,13 @@ def read_word_vectors(spark: SparkSession, path: str) -> DataFrame:
 
     The index is the line position (0-based, header excluded) from the driver-free numbering.
     """
+    full = F.col("_metadata.file_path")
     lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_name").alias("__f"), F.col("_metadata.file_block_start").alias("__b"),
-        F.monotonically_increasing_id().alias("__m"))
-    # line order = (file name, block offset, position inside the block)
-    numbered = global_row_number(lines, ["__f", "__b", "__m"]).drop("__f", "__b", "__m")
+        "value", F.regexp_extract(full, "^(.*)/[^/]*$", 1).alias("__d"), F.length(full).alias("__l"), full.alias("__f"),
+        F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__m"))
+    # line order = (folder, file name with part numbers by value, block offset, position inside the block)
+    keys = ["__d", "__l", "__f", "__b", "__m"]
+    numbered = global_row_number(lines, keys).drop(*keys)
     body = numbered.where(F.col("rn") > 1)
     parts = F.split("value", " ", 2)
     return body.select((F.col("rn") - 2).alias("idx"), parts[0].alias("word"),

@@ -28,7 +28,7 @@ def test_label_join_keeps_every_label_row(spark, small_dir):
 
 
 def test_windows_follow_the_grid(spark, small_dir):
-    w = PQ.context(spark, small_dir, materialize=False).windows.toPandas()
+    w = PQ.context(spark, small_dir).windows.toPandas()
     before = w[w.days_in_label == PQ.LABEL_DAYS].end_date.sort_values()
     assert (before.diff().dropna().map(lambda x: x.days) == PQ.STEP).all()
     after = w[w.end_date > pd.Timestamp(PQ.PIVOT_DATE).date()]
