@@ -17,13 +17,18 @@ END_DATE = "2001-08-01"
 STEP, LABEL_DAYS, MIN_STAT = 7, 39, 37
 
 
-def context(spark: SparkSession, sf_dir: str) -> pit.PitContext:
-    """Inputs of one build: customers are the stores, so they grow with the data."""
+def inputs(spark: SparkSession, sf_dir: str):
+    """Daily rows and calendar of the builds: customers are the stores, so they grow with the data."""
     v = A.visits_customer(spark, sf_dir).select("store_id", "visit_date", "visitors")
     cal = A.date_info(v)
     c = A.customers_as_stores(spark, sf_dir)
     stores = c.select("store_id", F.col("genre").alias("air_genre_name"), F.col("area").alias("air_area_name"))
-    return pit.make_context(pit.pit_data(v, stores, cal), PIVOT_DATE, END_DATE, STEP, LABEL_DAYS, MIN_STAT, calendar=cal)
+    return pit.pit_data(v, stores, cal), cal
+
+
+def context(spark: SparkSession, sf_dir: str) -> pit.PitContext:
+    data, cal = inputs(spark, sf_dir)
+    return pit.make_context(data, PIVOT_DATE, END_DATE, STEP, LABEL_DAYS, MIN_STAT, calendar=cal)
 
 
 # ---------------------------------------------------------------- DuckDB building blocks
@@ -273,9 +278,6 @@ def sql_reserve_date():
                      extra={**PIT_CTES, **_reserve_ctes()})
 
 
-TRAIN_COLS = None
-
-
 def q_training_set(spark, sf_dir):
     ctx = context(spark, sf_dir)
     ts = pit.training_set(ctx)
@@ -286,38 +288,59 @@ def q_training_set(spark, sf_dir):
     return rounded(ts.select(*keep, *feats))
 
 
-def sql_training_set():
+def q_test_set(spark, sf_dir):
+    ts = pit.test_set(inputs(spark, sf_dir)[0], LABEL_DAYS)
+    keep = ["end_date", "store_id", "visit_date", "dow", "air_genre_name", "diff_of_day"]
+    feats = [c for c in ts.columns if c not in keep and c.startswith(("store_", "genre_", "sgenre_", "first_", "last_"))]
+    return rounded(ts.select(*keep, *feats))
+
+
+def _training_parts() -> tuple[dict, list[str], list[str]]:
+    """CTEs of the four feature families, their columns with missing ones as 0, and the ratios."""
     horizons_s, horizons_g = pit.STORE_HORIZONS, pit.GENRE_HORIZONS
-    extra = {
+    ctes = {
         "fs": summary_sql(["store_id"], "store", horizons_s, raw=True),
         "fe": exp_sql(["store_id"], "store", raw=True),
         "ffl": "SELECT end_date, store_id, max(age) AS first_time, min(age) AS last_time FROM hist GROUP BY 1, 2",
         "fg": summary_sql(["air_genre_name"], "genre", horizons_g, where="air_genre_name IS NOT NULL", raw=True),
-        "lab": """SELECT d.*, w.end_date FROM pit_data d JOIN windows w
-                  ON d.visit_date >= w.end_date AND d.visit_date < w.end_date + w.days_in_label""",
     }
-    feat_cols = []
-    for n in horizons_s:
-        feat_cols += [f"store_{s}{n}" for s in S.SUMMARY7]
-    feat_cols += ["store_exp_mean1000", "store_exp_weight_sum1000", "first_time", "last_time"]
-    for n in horizons_g:
-        feat_cols += [f"genre_{s}{n}" for s in S.SUMMARY7]
-    sel = []
-    for c in feat_cols:
-        if "count" in c or c in ("first_time", "last_time"):
-            sel.append(f"coalesce({c}, 0) AS {c}")
-        else:
-            sel.append(f"{r(f'coalesce({c}, 0)')} AS {c}")
+    names = [f"store_{s}{n}" for n in horizons_s for s in S.SUMMARY7]
+    names += ["store_exp_mean1000", "store_exp_weight_sum1000", "first_time", "last_time"]
+    names += [f"genre_{s}{n}" for n in horizons_g for s in S.SUMMARY7]
+    whole = lambda c: "count" in c or c in ("first_time", "last_time")
+    cols = [f"coalesce({c}, 0) AS {c}" if whole(c) else f"{r(f'coalesce({c}, 0)')} AS {c}" for c in names]
     ratios = [f"{r(f'coalesce({a}, 0) / (coalesce({b}, 0) + 0.01)')} AS {n}" for n, a, b in pit.RATIOS]
+    return ctes, cols, ratios
+
+
+FAMILY_JOINS = """FROM lab LEFT JOIN fs USING (end_date, store_id) LEFT JOIN fe USING (end_date, store_id)
+LEFT JOIN ffl USING (end_date, store_id) LEFT JOIN fg USING (end_date, air_genre_name)"""
+
+
+def sql_training_set():
+    ctes, cols, ratios = _training_parts()
+    lab = """SELECT d.*, w.end_date FROM pit_data d JOIN windows w
+                  ON d.visit_date >= w.end_date AND d.visit_date < w.end_date + w.days_in_label"""
     body = f"""
 SELECT lab.end_date, lab.store_id, lab.visit_date, {r('lab.visitors')} AS visitors, lab.dow, lab.air_genre_name,
        CAST(lab.visit_date - lab.end_date AS INTEGER) AS diff_of_day,
        (SELECT holiday_flg FROM date_info c WHERE c.visit_date = lab.visit_date - 1) AS ahead_holiday_1,
        (SELECT holiday_flg2 FROM date_info c WHERE c.visit_date = lab.visit_date + 1) AS ahead_holiday2_m1,
-       {', '.join(sel)}, {', '.join(ratios)}
-FROM lab LEFT JOIN fs USING (end_date, store_id) LEFT JOIN fe USING (end_date, store_id)
-LEFT JOIN ffl USING (end_date, store_id) LEFT JOIN fg USING (end_date, air_genre_name)"""
-    return pit_sql(body, extra)
+       {', '.join(cols)}, {', '.join(ratios)}
+{FAMILY_JOINS}"""
+    return pit_sql(body, {**ctes, "lab": lab})
+
+
+def sql_test_set():
+    ctes, cols, ratios = _training_parts()
+    window = f"SELECT CAST(max(visit_date) + 1 AS DATE) AS end_date, {LABEL_DAYS} AS days_in_label FROM pit_data"
+    lab = f"""SELECT s.store_id, s.air_genre_name, w.end_date, CAST(w.end_date + CAST(k AS INTEGER) AS DATE) AS visit_date
+              FROM (SELECT DISTINCT store_id, air_genre_name FROM pit_data) s, windows w, range(0, {LABEL_DAYS}) t(k)"""
+    body = f"""
+SELECT lab.end_date, lab.store_id, lab.visit_date, CAST(isodow(lab.visit_date) - 1 AS INTEGER) AS dow, lab.air_genre_name,
+       CAST(lab.visit_date - lab.end_date AS INTEGER) AS diff_of_day, {', '.join(cols)}, {', '.join(ratios)}
+{FAMILY_JOINS}"""
+    return pit_sql(body, {"windows": window, **ctes, "lab": lab})
 
 
 def q_training_set_full(spark, sf_dir):
@@ -344,6 +367,7 @@ QUERIES = {
     "pit_reserve_store_day": q_reserve,
     "pit_reserve_day": q_reserve_date,
     "pit_training_set": q_training_set,
+    "pit_test_set": q_test_set,
     "pit_training_set_full": q_training_set_full,
 }
 
@@ -371,4 +395,5 @@ def oracle() -> dict[str, str]:
         "pit_reserve_store_day": sql_reserve(),
         "pit_reserve_day": sql_reserve_date(),
         "pit_training_set": sql_training_set(),
+        "pit_test_set": sql_test_set(),
     }

@@ -380,6 +380,23 @@ def training_set(ctx: PitContext, families: list | None = None) -> DataFrame:
     return second_feat(lab)
 
 
+def test_set(data: DataFrame, days: int = 39, families: list | None = None) -> DataFrame:
+    """O147 for the days after the history: every store's next `days` days as label rows (visitors unknown), with the
+    features that the history gives at the first of them.
+
+    The future rows are unioned with the history, so they take the same path as training labels; statistic
+    windows end before them."""
+    last = data.agg(F.max("visit_date")).scalar()
+    store = [c for c in data.columns if c in ("store_id", "air_genre_name", "air_area_name")]
+    future = data.select(*store).distinct().select(
+        *store, F.explode(F.sequence(F.date_add(last, 1), F.date_add(last, days))).alias("visit_date"))
+    both = data.unionByName(future.withColumn("dow", F.weekday("visit_date")), allowMissingColumns=True)
+    window = data.agg(F.date_add(F.max("visit_date"), 1).alias("end_date"), F.lit(days).alias("days_in_label"))
+    parts = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ctx = PitContext(data=both.repartition(parts, "store_id"), windows=window, n_windows=1, max_label_days=days)
+    return training_set(ctx, families)
+
+
 def diff_aggs(horizons=DIFF_HORIZONS) -> list[Column]:
     prev_age = F.datediff("end_date", "prev_date")
     aggs = []

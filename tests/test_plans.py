@@ -9,10 +9,12 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_family_is_one_aggregation_shuffle_and_broadcast_calendar(spark, small_dir):
+def test_store_family_shuffles_only_the_daily_rows(spark, small_dir):
+    """The fan-out happens after the exchange by store, and no exchange follows it."""
     ctx = PQ.context(spark, small_dir)
     p = _plan(pit.store_visitor_feat(ctx))
-    assert p.count("Exchange hashpartitioning(end_date") == 1
+    assert "Exchange hashpartitioning(end_date" not in p
+    assert p.count("REPARTITION_BY_NUM") == 1 and p.index("REPARTITION_BY_NUM") > p.index("age")
     assert "BroadcastHashJoin" in p or "BroadcastExchange" in p
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
 
@@ -40,3 +42,15 @@ def test_no_cross_or_nested_loop_joins(spark, small_dir):
     for n in names:
         p = _plan(qs[n](spark, small_dir))
         assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, n
+
+
+def test_no_python_in_text_and_ordering_plans(spark, small_dir):
+    import __spark_entry__ as E
+    for n in ("text_marked_tokens", "text_token_stream", "eval_spearman"):
+        p = _plan(E.queries()[n](spark, small_dir))
+        assert "Python" not in p and "Arrow" not in p and "Pandas" not in p, n
+
+
+def test_profile_needs_no_expand(spark, small_dir):
+    import __spark_entry__ as E
+    assert "Expand" not in _plan(E.queries()["clean_profile"](spark, small_dir))
