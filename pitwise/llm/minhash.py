@@ -9,8 +9,8 @@ sets: 100 * intersection >= 75 * union.
 
 Skew: rows with equal sets are one class from the start, so a group of exact copies costs one row.  In a key shared by
 many classes each class is first compared with the smallest one alone (a star).  Classes whose keys are then still
-split over components are tied to families wherever two of them are within the signature distance, and the members of
-a family that are in different components are compared on full sets.  Both go block by block, the largest component of a
+split over components are looked at in blocks: components with two classes within the signature distance are tied to a
+family, and the members of a family that are in different components are compared on full sets.  Both go block by block, the largest component of a
 group against the rest only, and a block gives a spanning forest, never its pairs.  No pair that can link two
 components is left out.
 
@@ -156,16 +156,17 @@ _CELL = ["block_i", "block_j"]
 
 
 def _tie(key: str, max_distance: int, percent: int):
-    """A spanning forest of the open pairs of each block: at most one row per class."""
+    """Components (a, b) of each block that open pairs tie, as a spanning forest: at most one row per component."""
     def run(batches):
         cell = [key, *_CELL]
         for t in segments(batches, cell):
-            sig, nid, comp, found = _sigs(t["sig"]), t["nid"].to_numpy(), t["comp"].to_numpy(), []
+            sig, comp, found = _sigs(t["sig"]), t["comp"].to_numpy(), []
             bounds = group_bounds(t, cell)
             for lo, hi in zip(bounds[:-1], bounds[1:]):
                 forest = _Forest()
                 for i, js in _open_pairs(t, lo, hi, sig, comp, max_distance, percent):
-                    found += [(nid[i], nid[j]) for j in js.tolist() if forest.join(i, j)]
+                    x = int(comp[i])
+                    found += [(x, y) for y in np.unique(comp[js]).tolist() if forest.join(x, y)]
             if found:
                 yield _pairs_batch(found)
     return run
@@ -286,9 +287,9 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     slim = classes.select("nid", "sig", "n")
     ties = _dealt(_blocked(open_rows, "key", BLOCK).join(slim, "nid"), "key").mapInArrow(
         _tie("key", max_distance, percent), "a long, b long")
-    family = components(ties).select(F.col("node").alias("nid"), F.col("comp").alias("family"))
+    family = components(ties).select(F.col("comp").alias("family"), F.col("node").alias("comp"))
     # ... whose members of different components are compared on full sets, block by block
-    members = family.join(open_rows.select("nid", "comp").distinct(), "nid")
+    members = family.join(open_rows.select("nid", "comp").distinct(), "comp")
     met = _dealt(_blocked(members, "family", SET_BLOCK).join(slim, "nid").join(sets, "nid"), "family")
     links = links.unionByName(staged(met.mapInArrow(_link("family", max_distance, percent), "a long, b long")))
 
