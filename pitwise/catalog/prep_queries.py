@@ -45,12 +45,11 @@ def q_label_apply(spark, sf):
 @reg("encode_category_codes", """
 SELECT p.p_partkey, CAST(coalesce(d.code + 1, 0) AS INTEGER) AS p_name FROM part p
 LEFT JOIN (SELECT p_name, row_number() OVER (ORDER BY p_name) - 1 AS code
-           FROM (SELECT DISTINCT p_name FROM part WHERE p_partkey % 10 = 0)) d ON p.p_name = d.p_name
-WHERE p.p_partkey % 10 <> 0""")
+           FROM (SELECT DISTINCT p_name FROM part WHERE p_partkey % 10 = 0)) d ON p.p_name = d.p_name""")
 def q_codes(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", "p_name")
     d = EN.fit_dictionary(p.where(F.col("p_partkey") % 10 == 0), "p_name")
-    return EN.apply_category_codes(p.where(F.col("p_partkey") % 10 != 0), d, "p_name")
+    return EN.apply_category_codes(p, d, "p_name")
 
 
 @reg("encode_first_appearance", """
@@ -83,9 +82,9 @@ def q_onehot_arr(spark, sf):
 SELECT user_id, list_transform(range(0, 5), lambda k: CASE WHEN list_contains(idx, k) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS nhot
 FROM (SELECT user_id, list(DISTINCT CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2
                                      WHEN 'signup' THEN 3 ELSE 4 END) AS idx
-      FROM events WHERE value > 90 GROUP BY user_id)""")
+      FROM events GROUP BY user_id)""")
 def q_nhot(spark, sf):
-    e = table(spark, sf, "events").where(F.col("value") > 90)
+    e = table(spark, sf, "events")
     idx = F.array_position(F.array(*[F.lit(t) for t in A.EVENT_TYPES]), F.col("event_type")) - 1
     g = e.groupBy("user_id").agg(F.collect_set(idx.cast("int")).alias("idx"))
     return g.select("user_id", EN.n_hot_array("idx", 5).alias("nhot"))

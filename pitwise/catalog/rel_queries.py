@@ -483,12 +483,12 @@ def q_backfill(spark, sf):
 @reg("clean_median_fill", with_ctes(f"""
 SELECT _id, TRANS_RBC IS NULL AS TRANS_RBC_na, OP_CODE IS NULL AS OP_CODE_na,
        {r('coalesce(TRANS_RBC, m1)')} AS TRANS_RBC, {r('coalesce(CAST(OP_CODE AS DOUBLE), m2)')} AS OP_CODE
-FROM (SELECT * FROM clinical WHERE _id % 5 = 0) t,
+FROM clinical t,
      (SELECT median(TRANS_RBC) AS m1, median(OP_CODE) AS m2 FROM clinical WHERE _id % 5 <> 0) m""", "clinical"))
 def q_median_fill(spark, sf):
     c = A.clinical(spark, sf).select("_id", "TRANS_RBC", "OP_CODE")
     med = C.fit_medians(c.where(F.col("_id") % 5 != 0), ["TRANS_RBC", "OP_CODE"])
-    return rounded(C.apply_median_fill(c.where(F.col("_id") % 5 == 0), med, ["TRANS_RBC", "OP_CODE"]))
+    return rounded(C.apply_median_fill(c, med, ["TRANS_RBC", "OP_CODE"]))
 
 
 QUERIES = Q

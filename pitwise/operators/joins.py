@@ -87,16 +87,13 @@ def dual_calendar(res: DataFrame, cal: DataFrame) -> DataFrame:
 
 
 def two_system_union(res: DataFrame, stores: DataFrame) -> DataFrame:
-    """Per-system store join, tag src, rename to common names, outer-schema union."""
-    air = (res.where(F.col("system") == "air").join(stores, "store_id", "left")
-           .withColumnsRenamed({"air_genre_name": "genre_name", "air_area_name": "area_name"})
-           .withColumn("src", F.lit("air")))
-    hpg = (res.where(F.col("system") == "hpg")
-           .join(stores.select("store_id", F.col("air_genre_name").alias("genre_name"),
-                               F.col("latitude").alias("hpg_latitude"), F.col("longitude").alias("hpg_longitude")),
-                 "store_id", "left")
-           .withColumn("src", F.lit("hpg")))
-    return air.unionByName(hpg, allowMissingColumns=True)
+    """The rows of both systems with a common schema, one pass: the columns of one system are null in the other's rows."""
+    air = F.col("system") == "air"
+    j = res.where(F.col("system").isin("air", "hpg")).join(stores, "store_id", "left")
+    places = {f"hpg_{c}": F.when(~air, F.col(c)) for c in ("latitude", "longitude")}
+    only_air = {c: F.when(air, F.col(c)) for c in ("air_area_name", "latitude", "longitude")}
+    return (j.withColumns(places).withColumns(only_air).withColumn("src", F.col("system"))
+            .withColumnsRenamed({"air_genre_name": "genre_name", "air_area_name": "area_name"}))
 
 
 def last_writer_wins(base: DataFrame, keys: list[str], *tables: DataFrame) -> DataFrame:
@@ -154,14 +151,13 @@ def reserve_sum_mean(res: DataFrame) -> DataFrame:
 
 def cross_system_totals(per_system: DataFrame) -> DataFrame:
     """Air (x) and hpg (y) side by side; totals null when either side is missing."""
-    x = per_system.where(F.col("system") == "air").drop("system")
-    y = per_system.where(F.col("system") == "hpg").drop("system")
-    k = ["store_id", "visit_date"]
-    j = x.select(*k, *[F.col(c).alias(c + "_x") for c in ("rs1", "rv1", "rs2", "rv2")]).join(
-        y.select(*k, *[F.col(c).alias(c + "_y") for c in ("rs1", "rv1", "rs2", "rv2")]), k, "full")
-    return j.select(*k, (F.col("rv1_x") + F.col("rv1_y")).alias("total_reserv_sum"),
-                    ((F.col("rv2_x") + F.col("rv2_y")) / 2).alias("total_reserv_mean"),
-                    ((F.col("rs2_x") + F.col("rs2_y")) / 2).alias("total_reserv_dt_diff_mean"))
+    names = ("rs1", "rv1", "rs2", "rv2")
+    side = lambda c, s: F.max(F.when(F.col("system") == s, F.col(c))).alias(f"{c}_{s}")  # noqa: E731  one row per system
+    j = per_system.where(F.col("system").isin("air", "hpg")).groupBy("store_id", "visit_date").agg(
+        *[side(c, s) for c in names for s in ("air", "hpg")])
+    both = lambda c: F.col(f"{c}_air") + F.col(f"{c}_hpg")
+    return j.select("store_id", "visit_date", both("rv1").alias("total_reserv_sum"), (both("rv2") / 2).alias("total_reserv_mean"),
+                    (both("rs2") / 2).alias("total_reserv_dt_diff_mean"))
 
 
 def attr_static(rows: DataFrame, stats_src: DataFrame, key: str, value: str = "visitors",
