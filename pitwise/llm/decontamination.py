@@ -2,11 +2,12 @@
 
 Words are lower-cased runs of letters and digits.  Every run of `SEED` words of an item is a possible seed; a
 bitmap of fixed size over the seeds' hashes (two bits each) goes to all tasks and thins out the texts' runs, whatever
-the size of the benchmark.  Of the runs left the document frequency is counted over all texts, and each stretch of
-`STRETCH` words of an item keeps its `PER_STRETCH` rarest seeds; none is cut off by a frequency, so a leak that is
-in a third of all texts is still found.  Seeds and texts meet in an equi-join, and each text is aligned with each
-item it shares a seed with, around the seeds: local alignment with match, mismatch and gap scores, so edited and paraphrased copies align as well.  The
-score is the alignment's share of the item's perfect score.
+the size of the benchmark.  Of the runs left the document frequency is counted over all texts, and the `PER_STRETCH`
+rarest seeds of each stretch of `STRETCH` words of an item meet the texts first, in an equi-join.  The other seeds follow,
+for all pairs of text and item but those that already align perfectly; none is cut off by a frequency, so a leak that is
+in a third of all texts is still found, and so are the edited copies next to it that kept frequent seeds only.  Each text is
+aligned with each item it shares a seed with, around the seeds: local alignment with match, mismatch and gap scores, so
+edited and paraphrased copies align as well.  The score is the alignment's share of the item's perfect score, the best over both passes.
 
 Defined results: null or empty texts and items match nothing; items shorter than a seed use all their words as one
 seed; repeated rows are matched one by one; an empty benchmark gives an empty result.
@@ -126,8 +127,10 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int]:
     return best, end
 
 
-def best_alignment(item: np.ndarray, text: np.ndarray, hits: np.ndarray) -> tuple[float, int]:
-    """Best alignment over the stretches of `text` that lie within an item's length (and some gaps) of a seed."""
+def best_alignment(item: np.ndarray, text: np.ndarray, hits: np.ndarray, threshold: float = 0.0) -> tuple[float, int]:
+    """Best alignment over the stretches of `text` that lie within an item's length (and some gaps) of a seed.
+
+    Stretches that hold too few of the item's words to reach the threshold, or to beat the best so far, are not aligned."""
     reach = len(item) + len(item) // 2 + SEED
     best, end = 0.0, 0
     spans: list[list[int]] = []
@@ -138,23 +141,30 @@ def best_alignment(item: np.ndarray, text: np.ndarray, hits: np.ndarray) -> tupl
         else:
             spans.append([lo, hi])
     for lo, hi in spans:
+        most = MATCH * int(np.isin(item, text[lo:hi]).sum())  # no alignment there scores more
+        if most / (MATCH * len(item)) < threshold or most <= best:
+            continue
         score, at = align(item, text[lo:hi])
         if score > best:
             best, end = score, lo + at
     return best, end
 
 
-def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        scores, ends = [], []
-        for i in range(batch.num_rows):
-            item, text, hits = (batch.column(c)[i].values.to_numpy() for c in ("item_words", "words", "hits"))
-            s, end = best_alignment(item, text, hits)
-            scores.append(s / (MATCH * len(item)))
-            ends.append(end)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("rk"), batch.column("id"), batch.column("item_id"), pa.array(scores, pa.float64()), pa.array(ends, pa.int64())],
-            names=["rk", "id", "item_id", "score", "end_word"])
+def _score(threshold: float):
+    """Pairs to (rk, item_id, score, end_word) of those that reach the threshold."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores, ends = [], []
+            for i in range(batch.num_rows):
+                item, text, hits = (batch.column(c)[i].values.to_numpy() for c in ("item_words", "words", "hits"))
+                s, end = best_alignment(item, text, hits, threshold)
+                scores.append(s / (MATCH * len(item)))
+                ends.append(end)
+            ok = pa.array([s >= threshold for s in scores], pa.bool_())
+            yield pa.RecordBatch.from_arrays(
+                [x.filter(ok) for x in (batch.column("rk"), batch.column("item_id"), pa.array(scores, pa.float64()), pa.array(ends, pa.int64()))],
+                names=["rk", "item_id", "score", "end_word"])
+    return run
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
@@ -172,13 +182,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     places = hits.select("rk", F.explode(F.arrays_zip("seeds", "pos")).alias("h")).select("rk", F.col("h.seeds").alias("seed"), "h.pos")
     frequency = hits.select(F.explode(F.array_distinct("seeds")).alias("seed")).groupBy("seed").agg(F.count(F.lit(1)).alias("df"))
     rarest = Window.partitionBy("item_id", "stretch").orderBy("df", "pos")
-    chosen = (seeds.join(frequency, "seed").withColumn("stretch", F.floor(F.col("pos") / STRETCH))
-              .withColumn("r", F.row_number().over(rarest)).where(F.col("r") <= PER_STRETCH).select("seed", "item_id").distinct())
-    pairs = places.join(chosen, "seed").groupBy("rk", "item_id").agg(F.collect_set("pos").alias("hits"))
-    scored = (pairs.join(items.select("item_id", "item_words"), "item_id").join(hits.select("rk", "id", "words"), "rk")
-              .select("rk", "id", "item_id", "item_words", "words", "hits")
-              .mapInArrow(_score, "rk long, id long, item_id long, score double, end_word long"))
-    return scored.where(F.col("score") >= threshold).withColumnRenamed("id", id_col)
+    ranked = staged(seeds.join(frequency, "seed").withColumn("stretch", F.floor(F.col("pos") / STRETCH))
+                    .withColumn("r", F.row_number().over(rarest)).groupBy("seed", "item_id").agg((F.min("r") <= PER_STRETCH).alias("rare")))
+
+    def aligned(pairs: DataFrame) -> DataFrame:
+        met = pairs.groupBy("rk", "item_id").agg(F.collect_set("pos").alias("hits"))
+        return (met.join(items.select("item_id", "item_words"), "item_id").join(hits.select("rk", "words"), "rk")
+                .select("rk", "item_id", "item_words", "words", "hits")
+                .mapInArrow(_score(threshold), "rk long, item_id long, score double, end_word long"))
+
+    # first the rare seeds; then the others, for the pairs whose score can still grow
+    first = staged(aligned(places.join(ranked.where("rare"), "seed")))
+    perfect = first.where("score >= 1").select("rk", "item_id").distinct()
+    others = places.join(ranked.where("not rare"), "seed").join(perfect, ["rk", "item_id"], "left_anti")
+    best = (first.unionByName(aligned(others)).groupBy("rk", "item_id")
+            .agg(F.max(F.struct("score", (-F.col("end_word")).alias("back"))).alias("top"))
+            .select("rk", "item_id", F.col("top.score").alias("score"), (-F.col("top.back")).alias("end_word")))
+    return hits.select("rk", F.col("id").alias(id_col)).join(best, "rk").select("rk", id_col, "item_id", "score", "end_word")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

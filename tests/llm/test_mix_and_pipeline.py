@@ -103,6 +103,26 @@ def test_leaks_exact_and_edited(spark, docs, small_dir, edge_docs, no_docs):
     assert decontamination.drop_leaks(edge_docs, benchmark).columns == edge_docs.columns
 
 
+def test_edited_copies_of_items_that_also_stand_verbatim(spark):
+    rng = random.Random(8)
+    items = {i: [f"w{i}x{k}" for k in range(rng.randint(15, 59))] for i in range(40)}
+    texts = [(100 * i + n, " ".join(w)) for i, w in items.items() for n in range(3)]
+    expected = {(a, a // 100) for a, _ in texts}
+    for i, w in items.items():
+        for n, share in enumerate((0.2, 0.25, 0.3)):
+            at = set(rng.sample(range(len(w)), round(share * len(w))))
+            copy = [f"changed{k}" if k in at else x for k, x in enumerate(w)]
+            runs = [at.isdisjoint(range(k, k + decontamination.SEED)) for k in range(len(w) - decontamination.SEED + 1)]
+            score = brute_alignment(w, copy) / (decontamination.MATCH * len(w))
+            if any(runs) and score >= decontamination.THRESHOLD:
+                expected.add((100 * i + 50 + n, i))
+            texts.append((100 * i + 50 + n, " ".join(copy)))
+    assert len(expected) > 200
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = decontamination.find_leaks(spark.createDataFrame(texts, "doc_id long, text string"), benchmark).collect()
+    assert len(got) == len(expected) and {(r["doc_id"], r["item_id"]) for r in got} == expected
+
+
 def test_pipeline_stages(spark, docs, small_dir):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "secrets", "mixing"]
     now, seen = docs, [docs.count()]
