@@ -10,7 +10,9 @@ aligned with each item it shares a seed with, around the seeds: local alignment
 edited and paraphrased copies align as well.  The score is the alignment's share of the item's perfect score, the best over both passes.
 
 Defined results: null or empty texts and items match nothing; items shorter than a seed use all their words as one
-seed; repeated rows are matched one by one; an empty benchmark gives an empty result.
+seed; repeated rows of the texts are matched one by one; an item is a distinct pair of id and text, so each text of a
+repeated id is looked for, a repeated row of the benchmark counts once, and an item with a null id is looked for like the
+others; an empty benchmark gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,18 +46,20 @@ def hashes_of(words: list[str]) -> np.ndarray:
 
 
 def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Items to (item_id, words, seeds, pos)."""
+    """Items to (ik, item_id, words, seeds)."""
     for batch in batches:
-        ids, words, seeds = [], [], []
-        for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
+        keys, ids, words, seeds = [], [], [], []
+        for key, item, text in zip(*(batch.column(c).to_pylist() for c in ("ik", "item_id", "text"))):
             w = hashes_of(words_of(text or ""))
             if len(w):
+                keys.append(key)
                 ids.append(item)
                 words.append(w)
                 seeds.append(gram_hashes(w, min(SEED, len(w))))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), lists(_flat(words), [len(w) for w in words]), lists(_flat(seeds), [len(s) for s in seeds])],
-            names=["item_id", "item_words", "seeds"])
+            [pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), lists(_flat(words), [len(w) for w in words]),
+             lists(_flat(seeds), [len(s) for s in seeds])],
+            names=["ik", "item_id", "item_words", "seeds"])
 
 
 def _flat(parts: list[np.ndarray]) -> np.ndarray:
@@ -151,7 +155,7 @@ def best_alignment(item: np.ndarray, text: np.ndarray, hits: np.ndarray, thresho
 
 
 def _score(threshold: float):
-    """Pairs to (rk, item_id, score, end_word) of those that reach the threshold."""
+    """Pairs to (rk, ik, score, end_word) of those that reach the threshold."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores, ends = [], []
@@ -162,43 +166,44 @@ def _score(threshold: float):
                 ends.append(end)
             ok = pa.array([s >= threshold for s in scores], pa.bool_())
             yield pa.RecordBatch.from_arrays(
-                [x.filter(ok) for x in (batch.column("rk"), batch.column("item_id"), pa.array(scores, pa.float64()), pa.array(ends, pa.int64()))],
-                names=["rk", "item_id", "score", "end_word"])
+                [x.filter(ok) for x in (batch.column("rk"), batch.column("ik"), pa.array(scores, pa.float64()), pa.array(ends, pa.int64()))],
+                names=["rk", "ik", "score", "end_word"])
     return run
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
-    """One row per (text, item) whose alignment reaches the threshold: id, rk (row hash), item_id, score (0 to 1) and
-    end_word (where the best alignment ends in the text, in words)."""
+    """One row per (text, item) whose alignment reaches the threshold, an item being a distinct pair of item_id and text:
+    id, rk (row hash), item_id, score (0 to 1) and end_word (where the best alignment ends in the text, in words)."""
     spark = docs.sparkSession
-    items = staged(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null")
-                   .mapInArrow(_item_seeds, "item_id long, item_words array<long>, seeds array<long>"))
-    seeds = staged(items.select("item_id", F.least(F.lit(SEED), F.size("item_words")).alias("length"), F.posexplode("seeds").alias("pos", "seed")))
+    items = staged(benchmark.select(row_hash("item_id").alias("ik"), F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+                   .mapInArrow(_item_seeds, "ik long, item_id long, item_words array<long>, seeds array<long>"))
+    seeds = staged(items.select("ik", F.least(F.lit(SEED), F.size("item_words")).alias("length"), F.posexplode("seeds").alias("pos", "seed")))
     shared = spark.sparkContext.broadcast(seed_bitmap(seeds))  # 2 ** BITMAP_BITS bits
     texts = docs.select(row_hash(id_col, text_col).alias("rk"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     hits = staged(texts.mapInArrow(_text_seeds(shared), "rk long, id long, words array<long>, seeds array<long>, pos array<long>"))
 
     places = hits.select("rk", F.explode(F.arrays_zip("seeds", "pos")).alias("h")).select("rk", F.col("h.seeds").alias("seed"), "h.pos")
     frequency = hits.select(F.explode(F.array_distinct("seeds")).alias("seed")).groupBy("seed").agg(F.count(F.lit(1)).alias("df"))
-    rarest = Window.partitionBy("item_id", "stretch").orderBy("df", "pos")
+    rarest = Window.partitionBy("ik", "stretch").orderBy("df", "pos")
     ranked = staged(seeds.join(frequency, "seed").withColumn("stretch", F.floor(F.col("pos") / STRETCH))
-                    .withColumn("r", F.row_number().over(rarest)).groupBy("seed", "item_id").agg((F.min("r") <= PER_STRETCH).alias("rare")))
+                    .withColumn("r", F.row_number().over(rarest)).groupBy("seed", "ik").agg((F.min("r") <= PER_STRETCH).alias("rare")))
 
     def aligned(pairs: DataFrame) -> DataFrame:
-        met = pairs.groupBy("rk", "item_id").agg(F.collect_set("pos").alias("hits"))
-        return (met.join(items.select("item_id", "item_words"), "item_id").join(hits.select("rk", "words"), "rk")
-                .select("rk", "item_id", "item_words", "words", "hits")
-                .mapInArrow(_score(threshold), "rk long, item_id long, score double, end_word long"))
+        met = pairs.groupBy("rk", "ik").agg(F.collect_set("pos").alias("hits"))
+        return (met.join(items.select("ik", "item_words"), "ik").join(hits.select("rk", "words"), "rk")
+                .select("rk", "ik", "item_words", "words", "hits")
+                .mapInArrow(_score(threshold), "rk long, ik long, score double, end_word long"))
 
     # first the rare seeds; then the others, for the pairs whose score can still grow
     first = staged(aligned(places.join(ranked.where("rare"), "seed")))
-    perfect = first.where("score >= 1").select("rk", "item_id").distinct()
-    others = places.join(ranked.where("not rare"), "seed").join(perfect, ["rk", "item_id"], "left_anti")
-    best = (first.unionByName(aligned(others)).groupBy("rk", "item_id")
+    perfect = first.where("score >= 1").select("rk", "ik").distinct()
+    others = places.join(ranked.where("not rare"), "seed").join(perfect, ["rk", "ik"], "left_anti")
+    best = (first.unionByName(aligned(others)).groupBy("rk", "ik")
             .agg(F.max(F.struct("score", (-F.col("end_word")).alias("back"))).alias("top"))
-            .select("rk", "item_id", F.col("top.score").alias("score"), (-F.col("top.back")).alias("end_word")))
-    return hits.select("rk", F.col("id").alias(id_col)).join(best, "rk").select("rk", id_col, "item_id", "score", "end_word")
+            .select("rk", "ik", F.col("top.score").alias("score"), (-F.col("top.back")).alias("end_word")))
+    named = best.join(items.select("ik", "item_id"), "ik")
+    return hits.select("rk", F.col("id").alias(id_col)).join(named, "rk").select("rk", id_col, "item_id", "score", "end_word")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -123,6 +123,20 @@ def test_edited_copies_of_items_that_also_stand_verbatim(spark):
     assert len(got) == len(expected) and {(r["doc_id"], r["item_id"]) for r in got} == expected
 
 
+def test_items_with_repeated_and_null_ids(spark):
+    passage = {k: " ".join(f"{k}{i}" for i in range(24)) for k in "abcdefg"}
+    rows = [(1, passage[k]) for k in "abcd"] + [(2, passage["e"])] * 6 + [(None, passage["f"]), (None, passage["g"]), (None, None)]
+    benchmark = spark.createDataFrame(rows, "item_id long, text string")
+    half = " ".join(w if i % 8 < 5 else f"changed{i}" for i, w in enumerate(passage["e"].split()))
+    texts = [(n, passage["a"] + f" more{n}") for n in range(9)] + [(20 + i, f"before {passage[k]}") for i, k in enumerate("bcdefg")]
+    texts += [(40, "start " + half), (41, passage["b"]), (41, passage["b"]), (None, passage["g"])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(docs, benchmark).collect())
+    assert got == Counter([(n, 1) for n in range(9)] + [(20, 1), (21, 1), (22, 1), (23, 2), (24, None), (25, None), (40, 2),
+                                                        (41, 1), (41, 1), (None, None)])
+    assert decontamination.drop_leaks(docs, benchmark).count() == 0
+
+
 def test_pipeline_stages(spark, docs, small_dir):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "secrets", "mixing"]
     now, seen = docs, [docs.count()]
