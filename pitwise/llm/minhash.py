@@ -4,15 +4,17 @@ Each distinct shingle set gets a signature of `POSITIONS` b-bit MinHash values.
 the number of positions that differ; sets with Jaccard similarity s differ in about (1 - s) of the positions.
 All pairs of signatures within `max_distance` share, by the pigeonhole principle, at least one of the signature's
 chunks with at most ``max_distance // chunks`` errors, so each chunk is indexed once for every allowed set of wrong
-positions (those left out of the key) and an equi-join on the keys finds every such pair.  Candidates are confirmed on the full
-sets: 100 * intersection >= 75 * union.
+positions (those left out of the key) and an equi-join on the keys finds every such pair.  Pairs that share a key are confirmed on
+the full sets up to `confirm_distance`, well beyond the guaranteed distance: 100 * intersection >= 75 * union.
 
 Skew: rows with equal sets are one class from the start, so a group of exact copies costs one row.  In a key shared by
 many classes each class is first compared with the smallest one alone (a star).  Classes whose keys are then still
 split over components are looked at in blocks: components with two classes within the signature distance are tied to a
 family, and the members of a family that are in different components are compared on full sets.  Both go block by block, the largest component of a
-group against the rest only, and a block gives a spanning forest, never its pairs.  No pair that can link two
-components is left out.
+group against the rest only, and a block gives a spanning forest, never its pairs.
+
+Recall: a pair at a similarity of exactly 0.75 is within distance 26 with probability 0.998; counting the pairs beyond it,
+it shares no key with probability 1.1e-7 and is beyond distance 34 with 3.8e-7 (pairs of more similar sets more rarely).
 
 Defined results: a null or empty text has no set, is linked with nothing, and is its own component; null ids never
 name a component unless a component has no other id; repeated rows are equal sets, hence one component.
@@ -35,6 +37,8 @@ from .common import (_U, as_bytes, components, group_bounds, in_blocks, lists, l
 POSITIONS = 64
 #: A pair at exactly 0.75 differs in Binomial(64, 0.25) positions: at most 26 with probability 0.998.
 MAX_DISTANCE = 26
+#: Pairs that share a key are confirmed up to here: a pair at exactly 0.75 is beyond it with probability 3.8e-7.
+CONFIRM_DISTANCE = 34
 CHUNKS = 14
 WORDS = 5
 BLOCK, SET_BLOCK = 1024, 256
@@ -250,10 +254,12 @@ def _apart(shared: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS,
-                       percent: int = 75, max_distance: int = MAX_DISTANCE, chunks: int = CHUNKS) -> DataFrame:
+                       percent: int = 75, max_distance: int = MAX_DISTANCE, chunks: int = CHUNKS,
+                       confirm_distance: int = CONFIRM_DISTANCE) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id reachable, itself included), kept (id =
     component_id), row_hash, and stays (true for the rows of one text of each component)."""
     spark = docs.sparkSession
+    confirm_distance = max(confirm_distance, max_distance)
     parts = n_parts(spark)
     rows = docs.select(row_key(id_col, text_col).alias("rk"), row_hash(id_col, text_col).alias("row"),
                        F.col(id_col).cast("long").alias("id"), as_bytes(text_col).alias("text"))
@@ -273,7 +279,7 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def near(pairs: DataFrame) -> DataFrame:
         a, b = (classes.select(F.col("nid").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-        return staged(pairs.join(a, "a").join(b, "b").mapInArrow(_near(max_distance, percent), "a long, b long"))
+        return staged(pairs.join(a, "a").join(b, "b").mapInArrow(_near(confirm_distance, percent), "a long, b long"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         sa, sb = (sets.select(F.col("nid").alias(x), F.col("grams").alias(f"grams_{x}")) for x in "ab")
@@ -286,12 +292,12 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     open_rows = _apart(shared, components(links))
     slim = classes.select("nid", "sig", "n")
     ties = _dealt(_blocked(open_rows, "key", BLOCK).join(slim, "nid"), "key").mapInArrow(
-        _tie("key", max_distance, percent), "a long, b long")
+        _tie("key", confirm_distance, percent), "a long, b long")
     family = components(ties).select(F.col("comp").alias("family"), F.col("node").alias("comp"))
     # ... whose members of different components are compared on full sets, block by block
     members = family.join(open_rows.select("nid", "comp").distinct(), "comp")
     met = _dealt(_blocked(members, "family", SET_BLOCK).join(slim, "nid").join(sets, "nid"), "family")
-    links = links.unionByName(staged(met.mapInArrow(_link("family", max_distance, percent), "a long, b long")))
+    links = links.unionByName(staged(met.mapInArrow(_link("family", confirm_distance, percent), "a long, b long")))
 
     label = components(links)
     known = classes.join(label, classes["nid"] == label["node"], "left").select("cls", "rk", "least_id", F.coalesce("comp", "nid").alias("comp"))

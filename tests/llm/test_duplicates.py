@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from pitwise.llm.embeddings import Plan, near_vectors
-from pitwise.llm.minhash import CHUNKS, MAX_DISTANCE, chunk_positions, drop_near_duplicates, index_keys, minhash_components
+from pitwise.llm.minhash import CHUNKS, MAX_DISTANCE, chunk_positions, drop_near_duplicates, index_keys, minhash_components, shingle_set, signature
 from pitwise.llm.substrings import drop_repeated_passages
 
 
@@ -79,6 +79,19 @@ def test_family_of_edited_copies(spark):
     assert not wrong
 
 
+def test_similar_pairs_beyond_the_guaranteed_distance(spark):
+    rows, seed = [], 0
+    while len(rows) < 6:  # 28 shingles each, 24 of them shared: exactly 0.75
+        words = [f"v{seed}u{i}" for i in range(36)]
+        a, b = " ".join(words[:32]), " ".join(words[4:])
+        x, y = (signature(shingle_set(t.encode())) for t in (a, b))
+        if (x != y).sum() > MAX_DISTANCE:
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+        seed += 1
+    got = minhash_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - i % 2 for i in range(6)}
+
+
 def test_one_row_of_each_component_stays(edge_docs, no_docs):
     kept = drop_near_duplicates(edge_docs)
     assert kept.columns == edge_docs.columns
