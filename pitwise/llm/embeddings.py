@@ -2,9 +2,10 @@
 
 Unit vectors are projected on random directions.  For a pair with cosine s the difference of a projection is normal
 with variance 2 (1 - s), so near pairs stay close on most projections and others do not.  Vectors are dealt to cells
-(several tables of cells, each cell a tuple of coarse projection intervals), in a cell sorted by a projection, and around each vector,
-as the query, a window is laid on every counting projection; a pair's collisions are counted over all of them, and only pairs with at
-least `least_count` are verified with the cosine in double precision.  Width, count and number of tables
+(several tables of cells, each cell a tuple of coarse projection intervals), and in a cell sorted by each of the first
+`COUNTING - least_count + 1` counting projections; around each vector, as the query, a window is laid on them.  A pair with at least
+`least_count` collisions over all counting projections collides on one of the sorted ones, so the windows lose none; the collisions of
+the pairs found are counted over all of them, and only pairs with at least `least_count` are verified with the cosine in double precision.  Width, count and number of tables
 follow from the binomial and normal distributions for the wanted recall at the similarity threshold itself; pairs
 above it are found more surely.  Intervals per cell grow with the logarithm of the table, so that a cell of unrelated vectors keeps its size.
 
@@ -61,6 +62,7 @@ class Plan:
         p = math.erf(2 / math.sqrt(2))
         self.least_count = max(c for c in range(COUNTING + 1) if sum(
             math.comb(COUNTING, k) * p**k * (1 - p) ** (COUNTING - k) for k in range(c, COUNTING + 1)) >= COUNT_RECALL)
+        self.sorted = COUNTING - self.least_count + 1  # a pair with enough collisions has one on these
 
     def cells(self, unit: np.ndarray) -> np.ndarray:
         """Cell of each vector in each table (rows x tables)."""
@@ -128,10 +130,13 @@ def _window_pairs(key: np.ndarray, window: float) -> tuple[np.ndarray, np.ndarra
 
 def linked_pairs(unit: np.ndarray, side: np.ndarray, cell: int, plan: Plan, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Verified pairs of one block that share no earlier table's cell than this one."""
-    points = plan.counting(unit)
-    a, b = _window_pairs(points[:, 0], 1.5 * plan.window)
-    keep = (side[a] == 0) | (side[a] != side[b])
-    a, b = a[keep], b[keep]
+    points, n = plan.counting(unit), len(unit)
+    found = np.empty(0, np.int64)
+    for j in range(plan.sorted):
+        a, b = _window_pairs(points[:, j], plan.window)
+        keep = (side[a] == 0) | (side[a] != side[b])
+        found = np.union1d(found, np.minimum(a, b)[keep] * n + np.maximum(a, b)[keep])
+    a, b = found // n, found % n
     count = np.zeros(len(a), np.int16)
     for j in range(COUNTING):
         count += np.abs(points[a, j] - points[b, j]) <= plan.window

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from pitwise.llm.embeddings import Plan, near_vectors
+from pitwise.llm.embeddings import Plan, _directions, linked_pairs, near_vectors
 from pitwise.llm.minhash import CHUNKS, MAX_DISTANCE, chunk_positions, drop_near_duplicates, index_keys, minhash_components, shingle_set, signature
 from pitwise.llm.substrings import drop_repeated_passages
 
@@ -161,6 +161,23 @@ def test_near_vectors_recall_and_exactness(spark):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
 
 
+def test_pairs_far_apart_on_one_projection():
+    plan, rng, found = Plan(100), np.random.default_rng(3), 0
+    first = _directions(32, plan.tables, plan.intervals)[2][:, 0]
+    for _ in range(50):
+        v = rng.standard_normal(32)
+        v -= first * (v @ first) / (first @ first)
+        v /= np.linalg.norm(v)
+        unit = np.stack([v, 0.96 * v + 0.28 * first / np.linalg.norm(first)])
+        points = plan.counting(unit)
+        assert abs(points[0, 0] - points[1, 0]) > 1.5 * plan.window
+        if (np.abs(points[0] - points[1]) <= plan.window).sum() >= plan.least_count:
+            found += 1
+            a, _ = linked_pairs(unit, np.zeros(2, int), 0, plan, np.zeros((2, plan.tables), np.uint64))
+            assert len(a) == 1
+    assert found >= 40
+
+
 def test_near_vectors_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 2.0]), (2, [2.0, 4.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]),
