@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -22,6 +23,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of one Arrow batch on its way to a Python worker (a row is never cut).
+BATCH_BYTES = 8 << 20
+
+
+def limit_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to `BATCH_BYTES`, so that rows with long texts or lists go to a worker in small
+    lots instead of 10,000 at once.  The setting holds when a plan runs, so it stays; a lower one of the user is kept."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?[0-9]+)([a-z]?)[a-z]*", spark.conf.get(key).strip().lower()).groups()
+    if not 0 < int(number) << {"k": 10, "m": 20, "g": 30}.get(unit, 0) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -69,6 +83,7 @@ def row_hash(id_col: str = "doc_id", text_col: str = "text"):
 
 
 def as_bytes(col: str):
+    """A text column as bytes, null as empty."""
     return F.coalesce(F.col(col).cast("binary"), F.lit(b"").cast("binary"))
 
 
@@ -108,6 +123,15 @@ def shingle_set(text: bytes, k: int = 5) -> np.ndarray:
     return np.unique(gram_hashes(words, min(k, len(words))))
 
 
+#: Every byte but a-z, A-Z, 0-9 and those beyond ASCII becomes a space.
+_PARTS = bytes(c if chr(c).isalnum() or c >= 0x80 else 0x20 for c in range(256))
+
+
+def plain_words(text: bytes) -> list[bytes]:
+    """Runs of ASCII letters, digits and characters beyond ASCII, with A-Z lower-cased."""
+    return text.lower().translate(_PARTS).split()
+
+
 def lowered(text: bytes) -> bytes:
     """A-Z lower-cased (bytes.lower changes ASCII letters only)."""
     return text.lower()

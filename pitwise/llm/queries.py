@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import language, licenses, mixing, secrets, toxicity, urls
+from . import importance, language, licenses, mixing, ranking, secrets, tokens, toxicity, urls
 from .common import table
 from .decontamination import find_leaks
 from .embeddings import near_vectors
@@ -58,6 +58,19 @@ def op7_urls(spark, sf_dir):
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_importance(spark, sf_dir):
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_ranking(spark, sf_dir):
+    return ranking.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_tokens(spark, sf_dir):
+    import public_tokenizers
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), tokens.load_model(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_secrets": op2_secrets,
@@ -69,9 +82,14 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op4_substrings": op4_substrings,
     "op10_minhash": op10_minhash,
+    "op11_importance": op11_importance,
+    "op12_ranking": op12_ranking,
+    "op13_tokens": op13_tokens,
 }
 
 ORACLES: dict[str, str] = {
     "op2_secrets": secrets.oracle_sql(),
     "op7_urls": urls.ORACLE,
+    "op11_importance": importance.ORACLE,
+    "op12_ranking": ranking.ORACLE,
 }
