@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -34,24 +34,25 @@ MORE = {
 TAG = b"spdx-license-identifier:"
 _TO_WORDS = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20
                   for c in range(256))
-_TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
+_TOKEN = re.compile(rb"[()]|[a-z0-9][a-z0-9.+:-]*")
 #: Precedence of the operators, higher binds closer (a fixed value of the expression language).
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 
-def to_postfix(expression: str) -> list[str]:
-    """Shunting-yard: the expression's tokens in postfix order; ValueError where it doesn't parse."""
+def to_postfix(expression: str | Iterable[str]) -> list[str]:
+    """Shunting-yard: an expression's tokens, lower-cased, in postfix order, up to the first that can't belong to it;
+    ValueError where it doesn't parse."""
+    tokens = (t[0].decode() for t in _TOKEN.finditer(expression.lower().encode())) if isinstance(expression, str) else expression
     out: list[str] = []
     waiting: list[str] = []
     want_id = True
-    for t in _TOKEN.findall(expression):
-        low = t.lower()
-        if low in PRECEDENCE:
+    for t in tokens:
+        if t in PRECEDENCE:
             if want_id:
                 raise ValueError("an operator without a left side")
-            while waiting and waiting[-1] != "(" and PRECEDENCE[waiting[-1]] >= PRECEDENCE[low]:
+            while waiting and waiting[-1] != "(" and PRECEDENCE[waiting[-1]] >= PRECEDENCE[t]:
                 out.append(waiting.pop())
-            waiting.append(low)
+            waiting.append(t)
             want_id = True
         elif t == "(":
             if not want_id:
@@ -68,7 +69,7 @@ def to_postfix(expression: str) -> list[str]:
         else:
             if not want_id:
                 break  # plain text after the expression
-            out.append(low)
+            out.append(t)
             want_id = False
     if want_id or "(" in waiting:
         raise ValueError("an expression cut short")
@@ -76,7 +77,8 @@ def to_postfix(expression: str) -> list[str]:
 
 
 def evaluate(postfix: list[str]) -> list[frozenset[str]]:
-    """The choices that fulfil an expression, each the set of ids it needs (an exception belongs to its id)."""
+    """The choices that fulfil an expression, each the set of ids it needs (an exception belongs to its id).  Every
+    (a OR b) AND doubles them; labels, which need only their ids, come from `needed_ids`."""
     stack: list[list[frozenset[str]]] = []
     for t in postfix:
         if t not in PRECEDENCE:
@@ -93,14 +95,58 @@ def evaluate(postfix: list[str]) -> list[frozenset[str]]:
     return stack[0]
 
 
-def expression_labels(expression: str) -> set[str]:
+def needed_ids(postfix: list[str]) -> set[str]:
+    """The ids of all choices of an expression, in one pass; an exception must stand between two ids (else ValueError)."""
+    ids: set[str] = set()
+    stack: list[str | None] = []  # an id that an exception may still follow, or None
+    for t in postfix:
+        if t not in PRECEDENCE:
+            stack.append(t)
+            continue
+        right, left = stack.pop(), stack.pop()
+        if t == "with":
+            if left is None or right is None:
+                raise ValueError("an exception stands between two ids")
+            ids.add(f"{left}-with-{right}")
+        else:
+            ids.update(x for x in (left, right) if x is not None)
+        stack.append(None)
+    return ids | {x for x in stack if x is not None}
+
+
+def expression_labels(expression: str | Iterable[str]) -> set[str]:
     """Every id of an expression's choices; none if it doesn't parse."""
     try:
-        return set().union(*evaluate(to_postfix(expression)))
+        return needed_ids(to_postfix(expression))
     except ValueError:
         return set()
 
 
+def tagged_expressions(low: bytes) -> Iterator[set[str]]:
+    """The ids of the expression after each tag of a lower-cased text.
+
+    Expressions are read token by token and end at the line's end, the next tag, or the first token that can't belong
+    to them; the search for tags goes on there, so a text is read once however many tags share a line."""
+    tag, stop = low.find(TAG), -1
+    while tag >= 0:
+        start = tag + len(TAG)
+        if stop < start:
+            stop = low.find(b"\n", start)
+            stop = stop if stop >= 0 else len(low)
+        read = start
+
+        def tokens() -> Iterator[str]:
+            nonlocal read
+            for t in _TOKEN.finditer(low, start, stop):
+                if t[0] == TAG:
+                    return
+                read = t.end()
+                yield t[0].decode()
+
+        yield expression_labels(tokens())
+        tag = low.find(TAG, read)
+
+
 @lru_cache(maxsize=1)
 def machine() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
@@ -124,15 +170,10 @@ def scan(text: bytes) -> tuple[int, int, int | None, int | None, list[str], list
             places.append(word)
             base.add(BASE[phrase])
         labels.add(BASE.get(phrase) or MORE[phrase])
-    low, found = text.lower(), 0
-    tag = low.find(TAG)
-    while tag >= 0:
-        stop = low.find(b"\n", tag)
-        expression = low[tag + len(TAG) : stop if stop >= 0 else len(low)]
-        ids = expression_labels(expression.decode("utf-8", "replace"))
+    found = 0
+    for ids in tagged_expressions(text.lower()):
         labels |= ids
         found += bool(ids)
-        tag = low.find(TAG, tag + 1)
     evidence = len(places) + 2 * found + 0.5 * len(labels - base)
     score = 1 - math.exp(-evidence) if evidence else 0.0
     return (len(words), len(places), min(places, default=None), max(places, default=None), sorted(base), sorted(base | labels), score)
