@@ -30,6 +30,8 @@ _NOT_LETTERS = re.compile(r"[\W\d_]+")
 def trigrams(text: str) -> np.ndarray:
     """Bucket of every trigram of the lower-cased letters, words apart by one blank; empty without a letter."""
     line = _NOT_LETTERS.sub(" ", text.lower()).strip()
+    if not line.replace(" ", "").isalpha():  # numerals like ½ or ② are words to the pattern, but no letters
+        line = " ".join("".join(c if c.isalpha() else " " for c in line).split())
     if not line:
         return np.empty(0, np.int64)
     c = np.frombuffer(f" {line} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
