@@ -1,7 +1,7 @@
 """URL filters by host-suffix and path-prefix expressions, matched on short hash prefixes.
 
-Each URL is cut into host and path, and expanded into expressions: every suffix of the host at a dot, joined with
-every folder of the path (the path up to and with one of its slashes; the empty folder too).  A rule (host, path) has the key
+Each URL is cut into host and path, and expanded into expressions: suffixes of the host at a dot, joined with
+folders of the path (the path up to and with one of its slashes; the empty folder too), of the lengths that rules have.  A rule (host, path) has the key
 expression host + folder of its path.  Expressions and rules meet in an equi-join on the first 4 bytes of the
 expression's SHA-256; a match then needs the whole digest and the rule's path at the start of the url's path.  Of a
 url's matches the longest host + path wins, of equal ones the longer host, then block over allow.
@@ -41,12 +41,14 @@ def folder(path: Column) -> Column:
     return F.regexp_extract(path, r"(?s)^(.*/)?", 0)
 
 
-def expressions(host: Column, path: Column) -> Column:
-    """Array of (suffix, folder) of a url."""
+def expressions(host: Column, path: Column, lengths: list[int], depths: list[int]) -> Column:
+    """Array of (suffix, folder) of a url: suffixes of as many labels, and folders of as many slashes, as rules have, so
+    a url costs its length times the kinds of rules, however many dots and slashes it has."""
     labels = F.split(host, r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda i: i <= F.size(labels)),
+                           lambda i: F.array_join(F.slice(labels, F.size(labels) - i + 1, i), "."))
     parts = F.split(path, "/", -1)
-    folders = F.transform(F.sequence(F.lit(0), F.size(parts) - 1),
+    folders = F.transform(F.filter(F.array(*map(F.lit, depths)), lambda i: i < F.size(parts)),
                           lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/"))))
     return F.flatten(F.transform(suffixes, lambda s: F.transform(folders, lambda f: F.struct(s.alias("suffix"), f.alias("folder")))))
 
@@ -68,8 +70,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     cut = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
     keyed = with_digest(rules.withColumn("rule_folder", folder(F.col("rule_path"))), "rule_host", "rule_folder").withColumnsRenamed(
         {"digest": "rule_digest"})
+    shapes = keyed.select(F.size(F.split("rule_host", r"\.", -1)).alias("n"), (F.size(F.split("rule_folder", "/", -1)) - 1).alias("d"))
+    lengths, depths = ([r[0] for r in shapes.select(c).distinct().orderBy(c).collect()] for c in ("n", "d"))  # small numbers, distinct
+    if not lengths:
+        return cut.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     urls = cut.select("host", "path").where("host <> ''").distinct()
-    expanded = with_digest(urls.select("host", "path", F.explode(expressions(F.col("host"), F.col("path"))).alias("e"))
+    expanded = with_digest(urls.select("host", "path", F.explode(expressions(F.col("host"), F.col("path"), lengths, depths)).alias("e"))
                            .select("host", "path", "e.suffix", "e.folder"), "suffix", "folder")
     hits = (expanded.join(keyed, "prefix")
             .where((F.col("digest") == F.col("rule_digest")) & (F.col("suffix") == F.col("rule_host"))
