@@ -20,18 +20,22 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import shingle_set, staged
+from .common import limit_batches, shingle_set, staged
 
 FIT_ROWS = 20_000
+ROWS_PER_ID = 4
 MAX_PATTERNS = 2_000
 #: A pattern occurs in at least this many toxic rows of the sample, and in this share of them.
 MIN_SUPPORT, MIN_SHARE = 3.0, 0.02
@@ -108,23 +112,23 @@ class Grammar:
         return self._machine
 
     def clauses(self, text: str) -> list[float]:
-        """Weights of the matched clauses, strongest first."""
-        line = " " + " ".join("." if t in ".!?;:\n" else t for t in WORD.findall(text.lower())) + " "
-        at: dict[tuple[int, int], dict[int, float]] = {}
-        lo = hi = 0
-        for end, (length, w) in self.machine().iter(line):
-            start = end - length + 1
-            if not lo <= start < hi:
-                lo = line.rfind(" . ", 0, start + 1) + 2 if " . " in line[:start + 1] else 0
-                hi = line.find(" . ", start)
-                hi = len(line) if hi < 0 else hi + 1
-            found = at.setdefault((lo, hi), {})
+        """Weights of the matched clauses, strongest first.  One pass over the text, whatever the number of matches."""
+        words = ["." if t in ".!?;:\n" else t for t in WORD.findall(text.lower())]
+        matches = [(end - length + 1, w) for end, (length, w) in self.machine().iter(" " + " ".join(words) + " ")]
+        if not matches:
+            return []
+        begins = list(accumulate((len(t) + 1 for t in words), initial=0))  # a match begins at the blank before its word
+        stops = [i for i, t in enumerate(words) if t == "."] + [len(words)]
+        found: dict[int, dict[int, float]] = {}
+        for start, w in matches:
+            word = bisect_left(begins, start)
+            insults = found.setdefault(bisect_left(stops, word), {})
             if w:
-                found[start] = max(found.get(start, 0.0), w)
+                insults[word] = max(insults.get(word, 0.0), w)
         out = []
-        for (lo, hi), found in at.items():
-            words = line[lo:hi].split()
-            out.append(clause_weight(words, {line.count(" ", lo + 1, s + 1): w for s, w in found.items()}))
+        for c, insults in found.items():
+            lo = stops[c - 1] + 1 if c else 0
+            out.append(clause_weight(words[lo:stops[c]], {i - lo: w for i, w in insults.items()}))
         return sorted(out, reverse=True)
 
     def evidence(self, text: str) -> list[float]:
@@ -189,12 +193,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Grammar:
-    """Learn the insult acceptor from labelled rows whose crc32(id as text) mod 3 is not 1."""
+    """Learn the insult acceptor from labelled rows whose crc32(id as text) mod 3 is not 1.
+
+    The sample holds at most `fit_rows` ids with at most `ROWS_PER_ID` rows each."""
+    limit_batches(docs.sparkSession)
     usable = (labels.where("doc_id is not null and toxic is not null").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
               .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
     sample = usable.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(fit_rows)
-    texts = (docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")  # at most fit_rows ids
-             .mapInArrow(_copies, "text string, toxic int, m1 long, m2 long"))
+    # at most fit_rows ids; of an id with many texts a few, so the sample is bounded in rows
+    one_id = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    rows = (docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").withColumn("k", F.row_number().over(one_id))
+            .where(F.col("k") <= ROWS_PER_ID).select("text", "toxic"))
+    texts = (rows.mapInArrow(_copies, "text string, toxic int, m1 long, m2 long"))
     texts = staged(texts)
     n1, n2 = (texts.groupBy(m).agg(F.count(F.lit(1)).alias(f"c_{m}")) for m in ("m1", "m2"))
     weighed = staged(texts.join(n1, "m1").join(n2, "m2").select("text", "toxic", (1.0 / F.greatest("c_m1", "c_m2")).alias("w")))
@@ -208,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Grammar
             .orderBy(F.desc(F.round(F.col("weight") * F.col("pos"), 6)), "form").limit(MAX_PATTERNS))
     patterns = {r["form"]: round(r["weight"], 6) for r in best.collect()}
     grammar = Grammar(patterns, [])
-    rows = np.asarray([list(r) for r in weighed.mapInArrow(_evidence(grammar), _EVIDENCE).collect()])  # at most fit_rows
+    rows = np.asarray([list(r) for r in weighed.mapInArrow(_evidence(grammar), _EVIDENCE).collect()])  # at most fit_rows * ROWS_PER_ID
     rows = rows if len(rows) else np.array([[1.0, 0, 0, 0, 0, 0, 1]])
     grammar.coefficients = [round(float(v), 6) for v in logistic(rows[:, :5], rows[:, 5], rows[:, 6])]
     return grammar
