@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import (_U, as_bytes, components, group_bounds, in_blocks, lists, longs, lowered, mix, n_parts, pair_hash,
+from .common import (_U, as_bytes, components, group_bounds, in_blocks, limit_batches, lists, longs, lowered, mix, n_parts, pair_hash,
                      row_hash, row_key, segments, shingle_set, staged)
 
 POSITIONS = 64
@@ -259,6 +259,7 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per input row: id, n_shingles, component_id (smallest id reachable, itself included), kept (id =
     component_id), row_hash, and stays (true for the rows of one text of each component)."""
     spark = docs.sparkSession
+    limit_batches(spark)
     confirm_distance = max(confirm_distance, max_distance)
     parts = n_parts(spark)
     rows = docs.select(row_key(id_col, text_col).alias("rk"), row_hash(id_col, text_col).alias("row"),
@@ -266,15 +267,16 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     read = staged(rows.mapInArrow(lambda b: _read(b, k), "rk long, row long, id long, n long, cls binary, sig binary"))
 
     classes = (read.where("cls is not null").groupBy("cls")
-               .agg(F.min("rk").alias("rk"), F.min("id").alias("least_id"), F.first("n").alias("n"), F.first("sig").alias("sig")))
-    classes = staged(classes.withColumn("nid", F.monotonically_increasing_id()))
+               .agg(F.min(F.struct("rk", "row")).alias("at"), F.min("id").alias("least_id"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+    classes = staged(classes.select("*", "at.*").drop("at").withColumn("nid", F.monotonically_increasing_id()))
     keys = classes.select("nid", "sig").repartition(parts, "nid").mapInArrow(_keys(max_distance, chunks), "key long, nid long")
 
     # only keys that several classes share, and the sets of their classes, matter from here on
     shared = keys.groupBy("key").agg(F.min("nid").alias("hub"), F.max("nid").alias("__top")).where("hub < __top").drop("__top")
     shared = staged(keys.join(shared, "key"))
-    want = shared.select("nid").distinct().join(classes.select("nid", "rk", "cls"), "nid")
-    sets = staged(rows.select("rk", "text").join(want, "rk").mapInArrow(_sets(k), "nid long, grams array<long>")
+    # (one row of each, by id and text: the texts of one id are as many rows, not all met with all of its classes)
+    want = shared.select("nid").distinct().join(classes.select("nid", "rk", "row", "cls"), "nid")
+    sets = staged(rows.select("rk", "row", "text").join(want, ["rk", "row"]).mapInArrow(_sets(k), "nid long, grams array<long>")
                   .groupBy("nid").agg(F.first("grams").alias("grams")))
 
     def near(pairs: DataFrame) -> DataFrame:
