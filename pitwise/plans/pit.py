@@ -14,22 +14,23 @@ Both calendars turn the range join "visit inside the window of a pivot" (O38)
 into an equi-join on visit_date.  They are broadcast when their row count,
 checked against `BROADCAST_ROWS`, allows it; otherwise the planner shuffles on
 visit_date and AQE splits hot dates.  The daily rows are partitioned by store
-before the join, so the fan-out (about H/7 pivots per visit) and the aggregation of every
-store-keyed family stay in the partition of their store: only the daily rows are shuffled.
+once; store-keyed families form their windows as ranges of the sorted series (plans.pivots),
+so only the daily rows are shuffled and none is copied once per pivot that sees it.
 Genre families, whose few groups span all stores, first count the days of each (pivot,
 genre, value) and take all statistics, the exact median too, from these counts.
-All horizons of one key family are conditional aggregates of one `agg`.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import stats as S
+from .pivots import pivot_features
 
 # Largest calendar map (rows) we broadcast; beyond it the join shuffles on the date.
 BROADCAST_ROWS = 4_000_000
@@ -117,6 +118,15 @@ class PitContext:
     calendar: DataFrame | None = None
     max_label_days: int = 39
 
+    @cached_property
+    def pivots(self) -> list:
+        """The pivot dates; as many as the calendar has steps, whatever the data."""
+        return [r[0] for r in self.windows.where("end_date is not null").select("end_date").distinct().collect()]
+
+    def family(self, keys: list[str], *features, data: DataFrame | None = None) -> DataFrame:
+        """Features (plans.pivots) of one key family; its first key is the store."""
+        return pivot_features(data if data is not None else self.data, self.pivots, keys, features)
+
     def history(self, max_horizon: int = 1000, data: DataFrame | None = None) -> DataFrame:
         """Every (pivot, visit) pair with 1 <= age <= max_horizon-1, as an equi-join."""
         cal = stat_calendar(self.windows, max_horizon)
@@ -165,15 +175,6 @@ def labels(ctx: PitContext, calendar: DataFrame | None = None) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------- families
-def summary_aggs(prefix: str, horizons) -> list[Column]:
-    """Seven statistics for every horizon, as conditional aggregates."""
-    aggs: list[Column] = []
-    for n in horizons:
-        x = S.within("age", n, F.col("visitors"))
-        aggs += S.summary7(x, prefix, str(n))
-    return aggs
-
-
 def exp_aggs(prefix: str, horizon: int, rate: float = S.DEFAULT_DECAY) -> list[Column]:
     """Decayed mean and its weight sum."""
     x = S.within("age", horizon, F.col("visitors"))
@@ -181,19 +182,23 @@ def exp_aggs(prefix: str, horizon: int, rate: float = S.DEFAULT_DECAY) -> list[C
     return [(num / den).alias(f"{prefix}_exp_mean{horizon}"), den.alias(f"{prefix}_exp_weight_sum{horizon}")]
 
 
-def first_last_aggs(horizon: int = 1000) -> list[Column]:
-    """Pivot - first and pivot - last visit date in the window."""
-    a = F.when(F.col("age") < horizon, F.col("age"))
-    return [F.max(a).alias("first_time"), F.min(a).alias("last_time")]
+def decayed(prefix: str, horizon: int, rate: float = S.DEFAULT_DECAY) -> tuple:
+    """Decayed mean and its weight sum."""
+    return "decay", horizon, ((f"{prefix}_exp_mean{horizon}", f"{prefix}_exp_weight_sum{horizon}", None, rate, rate),)
 
 
-def summary_family(hist: DataFrame, keys: list[str], prefix: str, horizons) -> DataFrame:
-    """One aggregation (one shuffle) for all horizons of a key family."""
-    return hist.groupBy("end_date", *keys).agg(*summary_aggs(prefix, horizons))
+def dow_decayed(horizon: int = 1000, rates=S.DECAY_RATES) -> tuple:
+    """For each rate the decayed mean, its weight sum, and mean2, weighed by the product of the rates so far."""
+    specs, product = [], 1.0
+    for r in rates:
+        product *= r
+        tag = f"{horizon}_{S.rate_name(r)}"
+        specs.append((f"store_dow_exp_mean{tag}", f"store_dow_exp_weight_sum{tag}", f"store_dow_exp_mean2{tag}", r, product))
+    return "decay", horizon, tuple(specs)
 
 
 def counted_family(hist: DataFrame, keys: list[str], prefix: str, horizons) -> DataFrame:
-    """The statistics of `summary_family` for groups that span many stores, from counts per value.
+    """The seven statistics for groups that span many stores, from counts per value.
 
     The first aggregation leaves one row per (pivot, group, value), with partial sums on the map side; the
     order statistics and central moments then come from windows over the values of a group, so no group keeps a buffer
@@ -223,11 +228,11 @@ def counted_family(hist: DataFrame, keys: list[str], prefix: str, horizons) -> D
 
 
 def store_visitor_feat(ctx: PitContext, horizons=STORE_HORIZONS) -> DataFrame:
-    return summary_family(ctx.history(max(horizons)), ["store_id"], "store", horizons)
+    return ctx.family(["store_id"], ("summary", "store", tuple(horizons)))
 
 
 def store_week_feat(ctx: PitContext, horizons=STORE_HORIZONS) -> DataFrame:
-    return summary_family(ctx.history(max(horizons)), ["store_id", "dow"], "store_dow", horizons)
+    return ctx.family(["store_id", "dow"], ("summary", "store_dow", tuple(horizons)))
 
 
 def genre_visitor_feat(ctx: PitContext, horizons=GENRE_HORIZONS) -> DataFrame:
@@ -242,10 +247,8 @@ def genre_week_feat(ctx: PitContext, horizons=GENRE_HORIZONS) -> DataFrame:
 
 def store_holiday_feat(ctx: PitContext, horizon: int = 1000) -> tuple[DataFrame, DataFrame]:
     """Two families, keyed by the two holiday-flag definitions."""
-    h = ctx.history(horizon)
-    f1 = summary_family(h, ["store_id", "holiday_flg"], "store_holiday", [horizon])
-    f2 = summary_family(h, ["store_id", "holiday_flg2"], "store_holiday2", [horizon])
-    return f1, f2
+    return (ctx.family(["store_id", "holiday_flg"], ("summary", "store_holiday", (horizon,))),
+            ctx.family(["store_id", "holiday_flg2"], ("summary", "store_holiday2", (horizon,))))
 
 
 def exp_family(hist: DataFrame, keys: list[str], prefix: str, horizon: int,
@@ -254,7 +257,7 @@ def exp_family(hist: DataFrame, keys: list[str], prefix: str, horizon: int,
 
 
 def store_exp_feat(ctx: PitContext, horizon: int = 1000) -> DataFrame:
-    return exp_family(ctx.history(horizon), ["store_id"], "store", horizon)
+    return ctx.family(["store_id"], decayed("store", horizon))
 
 
 def genre_exp_feat(ctx: PitContext, horizon: int = 1000) -> DataFrame:
@@ -269,12 +272,12 @@ def genre_week_exp_feat(ctx: PitContext, horizon: int = 1000) -> DataFrame:
 
 def store_week_exp_feat(ctx: PitContext, horizon: int = 1000, rates=S.DECAY_RATES) -> DataFrame:
     """For each rate, the decayed mean and the cumulative-product variant (mean2)."""
-    return ctx.history(horizon).groupBy("end_date", "store_id", "dow").agg(*dow_exp_aggs(horizon, rates))
+    return ctx.family(["store_id", "dow"], dow_decayed(horizon, rates))
 
 
 def store_all_week_feat(ctx: PitContext, horizon: int = 1000) -> DataFrame:
     """Per store a wide weekday profile: {i}store_dow_{mean,median,sum(=max),count}, {i}dow."""
-    week = summary_family(ctx.history(horizon), ["store_id", "dow"], "store_dow", [horizon])
+    week = ctx.family(["store_id", "dow"], ("summary", "store_dow", (horizon,)))
     out = profile_from_week_feat(week, horizon)
     return out.withColumns({f"{i}store_dow_count{horizon}": F.coalesce(F.col(f"`{i}store_dow_count{horizon}`"), F.lit(0)) for i in range(7)})
 
@@ -298,14 +301,12 @@ def with_previous_date(data: DataFrame) -> DataFrame:
 
 def store_week_diff_feat(ctx: PitContext, horizons=DIFF_HORIZONS) -> DataFrame:
     """Mean |diff|, std, max, min of consecutive-date differences per horizon."""
-    h = ctx.history(max(horizons), data=with_previous_date(ctx.data))
-    return h.groupBy("end_date", "store_id").agg(*diff_aggs(horizons))
+    return ctx.family(["store_id"], ("diff", tuple(horizons)), data=with_previous_date(ctx.data))
 
 
 def first_last_time_feat(ctx: PitContext, horizon: int = 1000) -> DataFrame:
     """Pivot - first and pivot - last visit date in the window."""
-    h = ctx.history(horizon)
-    return h.groupBy("end_date", "store_id").agg(*first_last_aggs(horizon))
+    return ctx.family(["store_id"], ("first_last", horizon))
 
 
 def reserve_feat(ctx: PitContext, reserves: DataFrame) -> DataFrame:
@@ -370,10 +371,8 @@ def training_set(ctx: PitContext, families: list | None = None) -> DataFrame:
     """
     lab = labels(ctx)
     if families is None:
-        hist = ctx.history(max(STORE_HORIZONS))
-        # store-keyed families fused: one explode, one shuffle
-        store = hist.groupBy("end_date", "store_id").agg(
-            *summary_aggs("store", STORE_HORIZONS), *exp_aggs("store", 1000), *first_last_aggs(1000))
+        # store-keyed families fused: one pass over the sorted series
+        store = ctx.family(["store_id"], ("summary", "store", STORE_HORIZONS), decayed("store", 1000), ("first_last", 1000))
         families = [(store, ["store_id"]), (genre_visitor_feat(ctx), ["air_genre_name"])]
     for f, keys in families:
         lab = attach(lab, f, keys)
@@ -397,16 +396,6 @@ def test_set(data: DataFrame, days: int = 39, families: list | None = None) -> D
     return training_set(ctx, families)
 
 
-def diff_aggs(horizons=DIFF_HORIZONS) -> list[Column]:
-    prev_age = F.datediff("end_date", "prev_date")
-    aggs = []
-    for n in horizons:
-        x = F.when((F.col("age") < n) & (prev_age < n), F.col("diff"))
-        aggs += [F.avg(F.abs(x)).alias(f"store_diff_mean{n}"), F.stddev_samp(x).alias(f"store_diff_std{n}"),
-                 F.max(x).alias(f"store_diff_max{n}"), F.min(x).alias(f"store_diff_min{n}")]
-    return aggs
-
-
 def profile_from_week_feat(store_dow: DataFrame, horizon: int = 1000) -> DataFrame:
     """O48 from the store x weekday family: one row per (pivot, store), seven weekday blocks.
 
@@ -423,40 +412,20 @@ def profile_from_week_feat(store_dow: DataFrame, horizon: int = 1000) -> DataFra
     return store_dow.groupBy("end_date", "store_id").agg(*aggs)
 
 
-def dow_exp_aggs(horizon: int = 1000, rates=S.DECAY_RATES) -> list[Column]:
-    x = S.within("age", horizon, F.col("visitors"))
-    age = F.col("age").cast("double")
-    aggs, cum = [], F.lit(1.0)
-    for r in rates:
-        w = F.pow(F.lit(r), age)
-        cum = cum * w
-        den = F.sum(F.when(x.isNotNull(), w))
-        tag = f"{horizon}_{S.rate_name(r)}"
-        aggs += [(F.sum(x * w) / den).alias(f"store_dow_exp_mean{tag}"),
-                 den.alias(f"store_dow_exp_weight_sum{tag}"),
-                 (F.sum(x * cum) / den).alias(f"store_dow_exp_mean2{tag}")]
-    return aggs
-
-
 def full_training_set(ctx: PitContext, reserves: DataFrame | None = None) -> DataFrame:
     """O147 with every family of the reference's feature list.
 
-    Families sharing a key are fused into one aggregation over one history
-    scan: store (statistics, decayed mean, first/last, differences, weekday
+    Families sharing a key are fused into one pass over the sorted series: store (statistics, decayed mean, first/last, differences, weekday
     profile), store x weekday (statistics, eight decay rates), store x holiday
     flag (two definitions), genre, genre x weekday, and the reservation tables.
     """
-    hd = ctx.history(max(STORE_HORIZONS), data=with_previous_date(ctx.data))
-    store = hd.groupBy("end_date", "store_id").agg(
-        *summary_aggs("store", STORE_HORIZONS), *exp_aggs("store", 1000), *first_last_aggs(1000), *diff_aggs())
-    h = ctx.history(max(STORE_HORIZONS))
-    store_dow = h.groupBy("end_date", "store_id", "dow").agg(
-        *summary_aggs("store_dow", STORE_HORIZONS), *dow_exp_aggs(1000))
+    store = ctx.family(["store_id"], ("summary", "store", STORE_HORIZONS), decayed("store", 1000), ("first_last", 1000),
+                       ("diff", DIFF_HORIZONS), data=with_previous_date(ctx.data))
+    store_dow = ctx.family(["store_id", "dow"], ("summary", "store_dow", STORE_HORIZONS), dow_decayed(1000))
     # O48's weekday profile = the 1000-day store x weekday statistics laid out wide: pivot the
     # small family table instead of re-aggregating the exploded history
     profile = profile_from_week_feat(store_dow, 1000)
-    hol1 = summary_family(h, ["store_id", "holiday_flg"], "store_holiday", [1000])
-    hol2 = summary_family(h, ["store_id", "holiday_flg2"], "store_holiday2", [1000])
+    hol1, hol2 = store_holiday_feat(ctx)
     fams = [(store, ["store_id"]), (profile, ["store_id"]), (store_dow, ["store_id", "dow"]),
             (hol1, ["store_id", "holiday_flg"]), (hol2, ["store_id", "holiday_flg2"]),
             (genre_visitor_feat(ctx), ["air_genre_name"]), (genre_exp_feat(ctx), ["air_genre_name"]),

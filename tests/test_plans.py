@@ -10,13 +10,14 @@ def _plan(df):
 
 
 def test_store_family_shuffles_only_the_daily_rows(spark, small_dir):
-    """The fan-out happens after the exchange by store, and no exchange follows it."""
+    """Windows are formed after the exchange by store; no exchange follows it, and no row is copied once per pivot."""
     ctx = PQ.context(spark, small_dir)
-    p = _plan(pit.store_visitor_feat(ctx))
-    assert "Exchange hashpartitioning(end_date" not in p
-    assert p.count("REPARTITION_BY_NUM") == 1 and p.index("REPARTITION_BY_NUM") > p.index("age")
-    assert "BroadcastHashJoin" in p or "BroadcastExchange" in p
-    assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
+    for df in (pit.store_visitor_feat(ctx), pit.store_week_feat(ctx), pit.store_week_exp_feat(ctx), *pit.store_holiday_feat(ctx)):
+        p = _plan(df)
+        assert "Exchange hashpartitioning(end_date" not in p and "percentile" not in p
+        assert p.count("REPARTITION_BY_NUM") == 1 and p.index("REPARTITION_BY_NUM") > p.index("MapInArrow")
+        assert p.index("REPARTITION_BY_NUM") > p.index("Sort") and "explode" not in p[:p.index("REPARTITION_BY_NUM")].lower()
+        assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
 
 
 def test_scan_prunes_columns_and_pushes_filters(spark, small_dir):
