@@ -179,12 +179,12 @@ def q_roll_genre(spark, sf):
     return rounded(RO.rolling_stats(_customer_visits(spark, sf), ["genre", "area", "dow"]))
 
 
-ASSEMBLY = (["store_id"], ["store_id", "dow"])
+ASSEMBLY = (["store_id"], ["store_id", "dow"], ["genre", "area", "dow"])
 
 
 def q_roll_assembly(spark, sf):
-    v = _customer_visits(spark, sf).select("store_id", "visit_date", "dow", "visitors")
-    return rounded(RO.rolling_assembly(v, list(ASSEMBLY), ("30d", "360d")))
+    v = _customer_visits(spark, sf).select("store_id", "genre", "area", "visit_date", "dow", "visitors")
+    return rounded(RO.rolling_assembly(v, list(ASSEMBLY)))
 
 
 def sql_rolling(src: str, keys: list[str], ctes: tuple | None, periods=RO.PERIODS) -> str:
@@ -212,11 +212,12 @@ WINDOW o AS (PARTITION BY {k} ORDER BY day)"""
 
 
 def sql_roll_assembly() -> str:
-    parts = [sql_rolling(CUSTOMER_VISITS_SQL, k, None, ("30d", "360d")) for k in ASSEMBLY]
-    body = f"""SELECT v.store_id, v.visit_date, v.dow, v.visitors, a.* EXCLUDE (store_id, visit_date),
-       b.* EXCLUDE (store_id, dow, visit_date)
-FROM {CUSTOMER_VISITS_SQL} v LEFT JOIN ({parts[0]}) a ON v.store_id = a.store_id AND v.visit_date = a.visit_date
-LEFT JOIN ({parts[1]}) b ON v.store_id = b.store_id AND v.dow = b.dow AND v.visit_date = b.visit_date"""
+    parts, joins = ["v.store_id, v.genre, v.area, v.visit_date, v.dow, v.visitors"], []
+    for i, keys in enumerate(ASSEMBLY):
+        on = [*keys, "visit_date"]
+        parts.append(f"r{i}.* EXCLUDE ({', '.join(on)})")
+        joins.append(f"LEFT JOIN ({sql_rolling(CUSTOMER_VISITS_SQL, keys, None)}) r{i} ON " + " AND ".join(f"v.{k} = r{i}.{k}" for k in on))
+    body = f"SELECT {', '.join(parts)} FROM {CUSTOMER_VISITS_SQL} v " + " ".join(joins)
     return with_ctes(body, "visits_customer", "customers_as_stores")
 
 

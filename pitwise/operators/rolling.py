@@ -1,23 +1,32 @@
 """Rolling statistics on irregular daily series: O67-O69, O77, O78.
 
-`rolling(period)` in the reference is the time frame (t - N days, t] over the
-per-day mean, followed by a one-*row* shift.  Here: one range frame
-`rangeBetween(-(N-1), 0)` on an integer day number, then `lag(stat, 1)` over
-the same order.  Frames are partitioned by the series keys, so every window
-runs in parallel across keys and is bounded by the series length in days.
+A period of N days is the time frame (t - N days, t] over the per-day mean,
+followed by a one-*row* shift.  Series run in parallel; a task takes whole
+series from its sorted rows and finds each frame's ends by binary search.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
+from .sliding import nullable, present, whole_series
+
 # The reference's rolling periods and statistic names (in order).
 PERIODS = ("30d", "45d", "50d", "60d", "90d", "120d", "180d", "360d", "720d")
 ROLL_STATS = ("max", "min", "median", "std", "cnt", "mean", "skew")
 
 
+ROWS = 2_000  #: of the wide result per Arrow batch
+_SPAN = 1 << 40  # days of a series lie well within; places of a lot are ordered by series * _SPAN + day
+
+
 def day_number(d) -> Column:
     return F.datediff(F.col(d) if isinstance(d, str) else d, F.lit("1970-01-01").cast("date"))
 
@@ -26,31 +35,43 @@ def rolling_name(keys: list[str], period: str, stat: str) -> str:
     return f"rolling_{'_'.join(keys)}_{period}_{stat}"
 
 
+def _frames(keys: list[str], date_col: str, days: list[int], stats, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, series in whole_series(batches, keys):
+            if not len(series):
+                continue
+            # a row without a date sorts first and is a frame of its own
+            day = t["__day"].combine_chunks().cast(pa.int64()).fill_null(-_SPAN // 4).to_numpy()
+            place = series.astype(np.int64) * _SPAN + day
+            ranges, before = present(t, "__v", series)
+            first = np.append(True, series[1:] != series[:-1])
+            columns = [t[c].combine_chunks() for c in (*keys, date_col)]
+            for n in days:
+                lo, hi = np.searchsorted(place, place - (n - 1)), np.arange(1, len(place) + 1)
+                found = ranges.summary(before[lo], before[hi])
+                for s in stats:
+                    x = found["count" if s == "cnt" else s].astype(float)
+                    x = np.append(np.nan, x[:-1])  # the row before; a series' first row has none
+                    x[first] = np.nan
+                    columns.append(nullable(x))
+            whole = pa.Table.from_arrays(columns, names=names)
+            yield from whole.to_batches(max_chunksize=ROWS)
+    return run
+
+
 def rolling_stats(df: DataFrame, keys: list[str], periods=PERIODS, value: str = "visitors",
                   date_col: str = "visit_date", stats=ROLL_STATS) -> DataFrame:
     """Per (keys, date): rolling statistics of the daily mean of `value` over every period, shifted by one row.
 
-    All periods are frames over one partitioning and order, so a key set costs one shuffle and one sort."""
+    The daily means are shuffled and sorted once by series; every frame is a range of a series' rows, whose statistics cost
+    the logarithm of its length (operators.sliding), so long periods are as cheap as short ones.  A null key is a series of its own;
+    null values count nowhere, and a frame of nulls alone has count 0 and no other statistic."""
     periods = (periods,) if isinstance(periods, str) else tuple(periods)
     daily = df.groupBy(*keys, date_col).agg(F.avg(F.col(value).cast("double")).alias("__v"))
-    daily = daily.withColumn("__day", day_number(date_col))
-    order = Window.partitionBy(*keys).orderBy("__day")
-    v, framed = F.col("__v"), []
-    for period in periods:
-        fr = order.rangeBetween(-(int(period.rstrip("d")) - 1), 0)
-        cnt = F.count(v).over(fr)
-        exprs = {
-            "max": F.max(v).over(fr), "min": F.min(v).over(fr),
-            "median": F.percentile(v, 0.5).over(fr), "std": F.stddev_samp(v).over(fr),
-            "cnt": cnt.cast("double"), "mean": F.avg(v).over(fr),
-            "skew": (F.when(cnt < 3, F.lit(None).cast("double"))
-                     .when(F.max(v).over(fr) == F.min(v).over(fr), F.lit(0.0))
-                     .otherwise(F.skewness(v).over(fr) * F.sqrt(cnt * (cnt - 1)) / (cnt - 2))),
-        }
-        framed += [exprs[s].alias(rolling_name(keys, period, s)) for s in stats]
+    daily = daily.withColumn("__day", day_number(date_col)).repartition(*keys).sortWithinPartitions(*keys, "__day")
     names = [rolling_name(keys, p, s) for p in periods for s in stats]
-    wide = daily.select(*keys, date_col, "__day", *framed)
-    return wide.select(*keys, date_col, *[F.lag(c, 1).over(order).alias(c) for c in names])
+    schema = StructType([*(daily.schema[c] for c in (*keys, date_col)), *(StructField(n, DoubleType()) for n in names)])
+    return daily.mapInArrow(_frames(keys, date_col, [int(p.rstrip("d")) for p in periods], tuple(stats), schema.names), schema)
 
 
 def rolling_assembly(dataset: DataFrame, key_sets: list[list[str]], periods=PERIODS, value: str = "visitors",
