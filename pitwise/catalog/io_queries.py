@@ -230,6 +230,14 @@ def q_cagg(spark, sf):
         PL.custom_aggregate("last_time")(pivot_d, F.col("visit_date")).alias("last_time")))
 
 
+@reg("plugins_mergeable_aggregate", with_ctes(f"""
+SELECT store_id, {r('sum((isodow(visit_date)) * visitors) / sum(isodow(visit_date))')} AS wmean FROM visits_customer GROUP BY store_id""", "visits_customer"))
+def q_magg(spark, sf):
+    v = A.visits_customer(spark, sf).withColumn("w", (F.weekday("visit_date") + 1).cast("double"))
+    v = v.withColumn("visitors", F.col("visitors").cast("double"))
+    return rounded(PL.mergeable_aggregate(v, ["store_id"], ["w", "visitors"], PL.WEIGHTED_MEAN, "wmean"))
+
+
 @reg("plugins_custom_metric", with_ctes(f"""
 SELECT {r('sqrt(avg(pow(ln(1 + (exp(pred_a) - 1)) - ln(1 + (exp(actual) - 1)), 2)))')} AS rmsle FROM regressions""",
                                         "regressions"))
