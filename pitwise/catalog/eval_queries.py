@@ -106,6 +106,12 @@ def q_spear(spark, sf):
     return rounded(M.spearman_pairs(li, SP_COLS))
 
 
+@reg("eval_feature_groups", None)
+def q_groups(spark, sf):
+    li = table(spark, sf, "lineitem").select(*SP_COLS)
+    return rounded(M.feature_groups(li, SP_COLS))
+
+
 @reg("eval_column_summary", " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", count({c}) AS count, {r(f'avg({c})')} AS mean, {r(f'stddev_samp({c})')} AS std, "
     f"{r(f'min({c})')} AS min, {r(f'max({c})')} AS max, {r(f'quantile_cont({c}, 0.25)')} AS q25, "

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,7 +68,7 @@ def spearman_pairs(df: DataFrame, cols: list[str], threshold: float = 0.0) -> Da
 
     Rows become counts per (pair, value, value); a value's average rank in its pair follows from a prefix sum of
     counts over range partitions, and rho is the weighted correlation of the ranks.  Frequent values are one
-    count each, so the fact rows are never joined."""
+    count each, so the fact rows are never joined.  A pair with a constant column has no correlation and no row."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     struct = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}`").cast("double").alias("x"),
                        F.col(f"`{b}`").cast("double").alias("y")) for a, b in pairs]
@@ -83,10 +84,47 @@ def spearman_pairs(df: DataFrame, cols: list[str], threshold: float = 0.0) -> Da
     centre = (F.col("total") + 1) / 2.0  # the mean of all ranks
     dx, dy = F.col("rx") - centre, F.col("ry") - centre
     rho = cells.join(totals, ["a", "b"]).groupBy("a", "b").agg(
-        (F.sum(F.col("n") * dx * dy) / F.sqrt(F.sum(F.col("n") * dx * dx) * F.sum(F.col("n") * dy * dy))).alias("rho"))
+        F.try_divide(F.sum(F.col("n") * dx * dy), F.sqrt(F.sum(F.col("n") * dx * dx) * F.sum(F.col("n") * dy * dy))).alias("rho"))
     return rho.where(F.abs("rho") >= threshold)
 
 
+def average_linkage(names: list[str], distance: np.ndarray) -> list[tuple]:
+    """Agglomerative clustering with average linkage: (left members, right members, distance) of each merge, nearest
+    first, of equally near ones those named first.  A helper over columns, whose number is the table's width."""
+    groups = {i: [n] for i, n in enumerate(names)}
+    d = distance.astype(float).copy()
+    np.fill_diagonal(d, np.inf)
+    merges = []
+    while len(groups) > 1:
+        i, j = divmod(int(np.argmin(np.round(d, 12))), len(names))
+        i, j = min(i, j), max(i, j)
+        merges.append((sorted(groups[i]), sorted(groups[j]), float(d[i, j])))
+        n, m = len(groups[i]), len(groups[j])
+        near = (n * d[i] + m * d[j]) / (n + m)  # the mean over all pairs of members
+        d[i], d[:, i] = near, near
+        d[i, i] = d[j] = d[:, j] = np.inf
+        groups[i] += groups.pop(j)
+    return merges
+
+
+def feature_groups(df: DataFrame, cols: list[str], limit: float = 0.5, absolute: bool = True, decimals: int = 4) -> DataFrame:
+    """O161: redundant columns.  Average-linkage clustering over 1 - |rho| (or 1 - rho), rho the Spearman correlation
+    rounded to `decimals`; a pair without a correlation (a constant or empty column) is at distance 1.
+
+    One row per merge: step, left and right (arrays of member columns), distance, size, and whether the merge lies within
+    `limit`, so that its members form one group of redundant columns.  The correlations are computed by Spark; one number per
+    pair of columns comes to the driver."""
+    place = {c: i for i, c in enumerate(cols)}
+    distance = np.ones((len(cols), len(cols)))
+    for p in spearman_pairs(df, cols).collect():
+        if p["rho"] is not None and not np.isnan(p["rho"]):
+            rho = round(p["rho"], decimals)
+            a, b = place[p["a"]], place[p["b"]]
+            distance[a, b] = distance[b, a] = 1 - (abs(rho) if absolute else rho)
+    rows = [(step, a, b, d, len(a) + len(b), d <= limit) for step, (a, b, d) in enumerate(average_linkage(cols, distance), 1)]
+    return df.sparkSession.createDataFrame(rows, "step int, left array<string>, right array<string>, distance double, size int, redundant boolean")
+
+
 def column_summary(df: DataFrame, cols: list[str]) -> DataFrame:
     """O162: count, mean, std, min, quartiles, max per column (long form)."""
     one = df.agg(*[x for c in cols for x in (F.count(c).alias(f"{c}__n"), F.avg(c).alias(f"{c}__mean"),
