@@ -9,18 +9,22 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import checkpoint_dir, cut_lineage
 
-# Rows of a slice of either side of the exact k-NN.
+# Rows of a slice of either side of the exact k-NN, and the most pivots that its tasks are given.
 KNN_BLOCK = 2048
+KNN_PIVOTS = 16384
+# Distances to pivots that a task holds at a time.
+KNN_DISTANCES = 1 << 21
 SEED = 42
 
 
@@ -56,38 +60,157 @@ def linear_multi(train: DataFrame, test: DataFrame, features: list[str], label:
     return fit_predict(LinearRegression(labelCol=label, featuresCol="features"), train, test, features)
 
 
-def knn_regress(query: DataFrame, train: DataFrame, key: str, vec: str, label: str, k: int = 4,
-                block: int = KNN_BLOCK) -> DataFrame:
-    """O152: mean label of the k nearest training vectors (Euclidean, ties by training id).
+def _usable(vec: Column) -> Column:
+    """Whether a vector has components, all of them finite numbers."""
+    finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(vec.isNotNull() & (F.size(vec) > 0) & finite, F.lit(False))
 
-    Exact, in blocks: both sides are dealt to slices of about `block` rows by a hash of the key, each pair of slices is
-    one group, which gives the k best neighbours of its queries; the best of all slices are merged by query.  No
-    side passes through the driver or one task.
-    """
-    slices = [max(1, -(-df.count() // block)) for df in (query, train)]
-    sides = []
-    for i, (df, value) in enumerate(((query, F.lit(None).cast("double")), (train, F.col(label).cast("double")))):
-        mine = F.pmod(F.xxhash64(F.col(key)), F.lit(slices[i])).cast("int")
-        other = F.explode(F.sequence(F.lit(0), F.lit(slices[1 - i] - 1)))
-        cut = df.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec"), value.alias("y"),
-                        F.lit(i).alias("side"), mine.alias("mine"), other.alias("other"))
-        sides.append(cut.withColumnsRenamed({"mine": "tq"[1 - i] + "_no", "other": "tq"[i] + "_no"}).select("id", "vec", "y", "side", "q_no", "t_no"))
+
+class Cells:
+    """Pivots of the training vectors with the size and the radius of their cells; bounded by KNN_PIVOTS, so tasks get all."""
+
+    def __init__(self, pivots: np.ndarray):
+        self.pivots, self.norms = pivots, (pivots ** 2).sum(1)
+        self.count, self.radius = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
+
+    def squares(self, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distances of rows to all pivots, and a bound on their rounding errors."""
+        own = (m ** 2).sum(1)
+        return np.maximum(own[:, None] + self.norms - 2 * m @ self.pivots.T, 0), 1e-9 * (own + self.norms.max() + 1e-300)
+
+    def enough(self, far: np.ndarray, k: int) -> np.ndarray:
+        """For each row a distance within which k training rows lie: whole cells, nearest far end first, until k are together."""
+        order = np.argsort(far, axis=1)
+        full = np.cumsum(self.count[order], axis=1) >= k
+        reach = np.take_along_axis(far, order, 1)[np.arange(len(far)), full.argmax(1)]
+        return np.where(full.any(1), reach, np.inf)
+
+    def to_see(self, m: np.ndarray, home: np.ndarray, kth: np.ndarray, k: int) -> list[np.ndarray]:
+        """For each row the cells, its home left out, that can hold one of its k nearest; `kth` is the k-th distance found so far.
+
+        By the triangle inequality no row of a cell is nearer than the pivot's distance less the radius; and since it is no farther from
+        its pivot than from the home's, none is nearer than the plane between the two pivots."""
+        sq, error = self.squares(m)
+        d = np.sqrt(sq)
+        slack = np.sqrt(error)
+        reach = np.fmin(kth, self.enough(d + self.radius + slack[:, None], k))
+        out = []
+        for i, h in enumerate(home):
+            near = np.flatnonzero(~(d[i] - self.radius - 2 * slack[i] > reach[i]) & (self.count > 0))
+            near = near[near != h]
+            between = np.sqrt(((self.pivots[near] - self.pivots[h]) ** 2).sum(1))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                plane = (sq[i, near] - sq[i, h] - 2 * error[i]) / (2 * between)
+            out.append(near[~(plane > reach[i] + slack[i])])
+        return out
+
+
+def _stacked(column) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _lots(batches, cells: Cells):
+    """The batches in pieces whose distances to all pivots are few enough to hold."""
+    step = max(1, KNN_DISTANCES // len(cells.pivots))
+    for b in batches:
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
+def _home(cells: Cells):
+    """Rows (id, vec, y) with the cell of their nearest pivot and their distance to it."""
+    def run(batches):
+        for b in _lots(batches, cells):
+            m = _stacked(b.column("vec"))
+            cell = cells.squares(m)[0].argmin(1)
+            dist = np.sqrt(((m - cells.pivots[cell]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), pa.array(dist)], names=[*b.schema.names, "cell", "dist"])
+    return run
+
+
+def _other(cells: Cells, k: int):
+    """Queries (id, vec, cell, kth) with the other cells that they must see."""
+    def run(batches):
+        for b in _lots(batches, cells):
+            kth = b.column("kth").to_numpy(zero_copy_only=False).astype(float)
+            see = cells.to_see(_stacked(b.column("vec")), b.column("cell").to_numpy(), np.where(np.isnan(kth), np.inf, kth), k)
+            at = np.repeat(np.arange(len(see)), [len(c) for c in see])
+            kept = b.select(["id", "vec"]).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(np.concatenate(see).astype(np.int32))], names=["id", "vec", "cell"])
+    return run
+
+
+def _meet(queries: DataFrame, cells_of: DataFrame, sizes: np.ndarray, k: int, block: int) -> DataFrame:
+    """The k best rows (id, t, d, y) that each slice of its cell gives a query; both sides of a cell are cut into slices of about
+    `block` rows, so a group has a bounded size whatever the cell holds."""
+    spark = queries.sparkSession
+    asked = {c: n for c, n in queries.groupBy("cell").count().collect()}  # at most KNN_PIVOTS rows
+    slices = spark.createDataFrame([(c, -(-n // block), -(-int(sizes[c]) // block)) for c, n in asked.items()], "cell int, q int, t int")
+    slices = F.broadcast(slices)
+
+    def side(rows: DataFrame, no: int) -> DataFrame:
+        mine, other = ("q", "t") if no == 0 else ("t", "q")
+        cut = rows.join(slices, "cell").withColumn(f"{mine}_no", F.pmod(F.xxhash64("id", F.lit(7)), F.col(mine)).cast("int"))
+        y = F.lit(None).cast("double") if no == 0 else F.col("y")
+        return cut.select("id", "vec", y.alias("y"), F.lit(no).alias("side"), "cell", f"{mine}_no",
+                          F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"{other}_no")).select(
+            "id", "vec", "y", "side", "cell", "q_no", "t_no")
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         q, t = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1].sort_values("id")
-        out = []
-        if len(q) and len(t):
-            m = np.stack(t["vec"].to_numpy())
-            for i, v in zip(q["id"].to_numpy(), q["vec"].to_numpy()):
-                d = ((m - v) ** 2).sum(-1)
-                at = np.argsort(d, kind="stable")[:k]
-                out.append(pd.DataFrame({"id": i, "t": t["id"].to_numpy()[at], "d": d[at], "y": t["y"].to_numpy()[at]}))
-        return pd.concat(out) if out else pd.DataFrame({"id": [], "t": [], "d": [], "y": []})
-
-    near = sides[0].unionByName(sides[1]).groupBy("q_no", "t_no").applyInPandas(best, "id long, t long, d double, y double")
-    nearest = Window.partitionBy("id").orderBy("d", "t")
-    kept = near.withColumn("__r", F.row_number().over(nearest)).where(F.col("__r") <= k)
-    return kept.groupBy(F.col("id").cast(query.schema[key].dataType).alias(key)).agg(F.avg("y").alias("knn_pred"))
+        if not len(q) or not len(t):
+            return pd.DataFrame({"id": [], "t": [], "d": [], "y": []})
+        m, ids, y = np.stack(t["vec"].to_numpy()), t["id"].to_numpy(), t["y"].to_numpy()
+        d = [((m - v) ** 2).sum(-1) for v in q["vec"]]
+        at = [np.argsort(x, kind="stable")[:k] for x in d]
+        where = np.concatenate(at)
+        return pd.DataFrame({"id": np.repeat(q["id"].to_numpy(), [len(a) for a in at]), "t": ids[where],
+                             "d": np.concatenate([x[a] for x, a in zip(d, at)]), "y": y[where]})
+
+    met = side(queries, 0).unionByName(side(cells_of, 1)).groupBy("cell", "q_no", "t_no")
+    return met.applyInPandas(best, "id long, t long, d double, y double")
+
+
+def _nearest(near: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("id").orderBy("d", "t")
+    return near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
+
+
+def knn_regress(query: DataFrame, train: DataFrame, key: str, vec: str, label: str, k: int = 4,
+                block: int = KNN_BLOCK, max_pivots: int = KNN_PIVOTS) -> DataFrame:
+    """O152: mean label of the k nearest training vectors (Euclidean, ties by training id); exact.
+
+    Training vectors fall into the cells of their nearest pivots (about as many as the root of their number, at most `max_pivots`,
+    chosen by a hash of the key).  A query first meets its own cell; the k-th distance found there, and the triangle inequality, then
+    name the few other cells that can hold a nearer row (`Cells.to_see`).  Of equal training vectors only the k with the smallest ids
+    can count, so copies do not swell a cell.  How much is pruned depends on the data: vectors without any structure in
+    many dimensions still see most cells.
+
+    `key` is an integer that is unique among the queries; vectors have one length.  Null vectors, and those with null or non-finite
+    components, are nobody's neighbours; a query without neighbours gets null."""
+    def rows(df: DataFrame, y) -> DataFrame:
+        out = df.select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec"), y.cast("double").alias("y"))
+        return out.where(_usable(F.col("vec")))
+
+    copies = Window.partitionBy("vec").orderBy("id")
+    points = rows(train, F.col(label)).withColumn("r", F.row_number().over(copies)).where(F.col("r") <= k).drop("r")
+    points = cut_lineage(points)
+    n = min(max_pivots, max(1, int(points.count() ** 0.5)))
+    chosen = points.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(n).select("vec").toPandas()["vec"]  # at most max_pivots
+    answers = query.select(F.col(key).cast("long").alias("id"), F.lit(None).cast("double").alias("y"))
+    if len(chosen):
+        cells = Cells(np.unique(np.stack(chosen.to_numpy()), axis=0))
+        schema = "id long, vec array<double>, y double, cell int, dist double"
+        homes = cut_lineage(points.mapInArrow(_home(cells), schema))
+        for c, size, radius in homes.groupBy("cell").agg(F.count(F.lit(1)), F.max("dist")).collect():
+            cells.count[c], cells.radius[c] = size, radius
+        asked = cut_lineage(rows(query, F.lit(None)).mapInArrow(_home(cells), schema))
+        first = cut_lineage(_nearest(_meet(asked, homes, cells.count, k, block), k).drop("r"))
+        kth = first.groupBy("id").agg(F.when(F.count(F.lit(1)) >= k, F.sqrt(F.max("d"))).alias("kth"))
+        others = asked.select("id", "vec", "cell").join(kth, "id", "left").mapInArrow(_other(cells, k), "id long, vec array<double>, cell int")
+        near = first.unionByName(_meet(cut_lineage(others), homes, cells.count, k, block))
+        answers = answers.unionByName(_nearest(near, k).select("id", "y"))
+    return answers.groupBy(F.col("id").cast(query.schema[key].dataType).alias(key)).agg(F.avg("y").alias("knn_pred"))
 
 
 def als_fit_predict(ratings: DataFrame, user: str, item: str, rating: str, rank: int = 10,
