@@ -25,15 +25,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import stats as S
+from ..session import cut_lineage
 from .pivots import pivot_features
 
 # Largest calendar map (rows) we broadcast; beyond it the join shuffles on the date.
 BROADCAST_ROWS = 4_000_000
+# Largest family without stores (rows x columns) that label rows look up in a broadcast; beyond it the join shuffles.
+LOOKUP_CELLS = 8_000_000
 
 # Horizons (days) of the feature families.
 STORE_HORIZONS = (1000, 56, 28, 14)
@@ -348,10 +351,26 @@ def reserve_store_day(parts: DataFrame) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------- assembly
+def co_partition(spark: SparkSession) -> None:
+    """Lets a join on (pivot, store, ...) keep a side that is partitioned by store alone.
+
+    Spark asks by default for a partitioning by all join keys and so would shuffle the widening label table at every family.  The
+    session setting has to hold when the plan runs; a store's rows per pivot are bounded, so no partition gets hot by it."""
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+
+def look_up(feats: DataFrame) -> DataFrame:
+    """A family without stores (pivot x genre, weekday or day): written once, and broadcast if its checked size allows it."""
+    feats = cut_lineage(feats)
+    return F.broadcast(feats) if feats.count() * len(feats.columns) <= LOOKUP_CELLS else feats
+
+
 def attach(label: DataFrame, feats: DataFrame, keys: list[str]) -> DataFrame:
-    """O27 left_merge by key: every label row kept, missing features -> 0."""
+    """O27 left_merge by key: every label row kept, missing features -> 0.
+
+    The label table stays partitioned by store: families keyed by store are brought to it, the others looked up."""
     fcols = [c for c in feats.columns if c not in keys and c != "end_date"]
-    out = label.join(feats, ["end_date", *keys], "left")
+    out = label.join(feats if "store_id" in keys else look_up(feats), ["end_date", *keys], "left")
     return out.na.fill(0, subset=fcols)
 
 
@@ -369,6 +388,7 @@ def training_set(ctx: PitContext, families: list | None = None) -> DataFrame:
     family functions above (O172 plug-in surface); default: store and genre
     statistics, decayed store mean and first/last activity.
     """
+    co_partition(ctx.data.sparkSession)
     lab = labels(ctx)
     if families is None:
         # store-keyed families fused: one pass over the sorted series

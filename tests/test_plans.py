@@ -55,3 +55,21 @@ def test_no_python_in_text_and_ordering_plans(spark, small_dir):
 def test_profile_needs_no_expand(spark, small_dir):
     import __spark_entry__ as E
     assert "Expand" not in _plan(E.queries()["clean_profile"](spark, small_dir))
+
+
+def test_label_table_is_never_shuffled_again(spark, small_dir):
+    """Store families are brought to the label rows, which stay partitioned by store; genre families are looked up."""
+    from pitwise.plans import pit
+    saved = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ctx = PQ.context(spark, small_dir)
+        fams = [(pit.store_visitor_feat(ctx), ["store_id"]), (pit.store_week_feat(ctx), ["store_id", "dow"]),
+                (pit.store_holiday_feat(ctx)[0], ["store_id", "holiday_flg"]), (pit.genre_visitor_feat(ctx), ["air_genre_name"])]
+        p = _plan(pit.training_set(ctx, fams))
+        base = _plan(pit.labels(ctx))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", saved)
+    assert p.count("SortMergeJoin [end_date") == 3 and "Exchange hashpartitioning(end_date" not in p
+    left = p[:p.index("MapInArrow")]  # the label side of the plan comes first
+    assert left.count("Exchange hashpartitioning") <= base.count("Exchange hashpartitioning") + 1  # + that of the first family
