@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
-from ..plans import pit
+from ..plans import incremental, pit
+from ..session import scratch_path
 from ..sources import adapters as A
 from .canonical_sql import with_ctes
 from .common import q, r, rounded
@@ -15,6 +18,8 @@ from .common import q, r, rounded
 PIVOT_DATE = "2001-06-20"
 END_DATE = "2001-08-01"
 STEP, LABEL_DAYS, MIN_STAT = 7, 39, 37
+# The build that the incremental one starts from: four weeks earlier.
+EARLIER_PIVOT, EARLIER_END = "2001-05-23", "2001-07-04"
 
 
 def inputs(spark: SparkSession, sf_dir: str):
@@ -278,9 +283,7 @@ def sql_reserve_date():
                      extra={**PIT_CTES, **_reserve_ctes()})
 
 
-def q_training_set(spark, sf_dir):
-    ctx = context(spark, sf_dir)
-    ts = pit.training_set(ctx)
+def _shown(ts):
     keep = ["end_date", "store_id", "visit_date", "visitors", "dow", "air_genre_name", "diff_of_day",
             "ahead_holiday_1", "ahead_holiday2_m1"]
     feats = [c for c in ts.columns
@@ -288,6 +291,20 @@ def q_training_set(spark, sf_dir):
     return rounded(ts.select(*keep, *feats))
 
 
+def q_training_set(spark, sf_dir):
+    return _shown(pit.training_set(context(spark, sf_dir)))
+
+
+def q_incremental(spark, sf_dir):
+    """The training set of four weeks earlier, then the update to today's data; the same rows as a full build."""
+    data, cal = inputs(spark, sf_dir)
+    path = scratch_path(spark, f"pit_incremental_{uuid.uuid4().hex}")
+    past = data.where(F.col("visit_date") < F.lit(EARLIER_END).cast("date"))
+    for rows, pivot, end in ((past, EARLIER_PIVOT, EARLIER_END), (data, PIVOT_DATE, END_DATE)):
+        incremental.update(pit.make_context(rows, pivot, end, STEP, LABEL_DAYS, MIN_STAT, calendar=cal), path)
+    return _shown(incremental.read(spark, path))
+
+
 def q_test_set(spark, sf_dir):
     ts = pit.test_set(inputs(spark, sf_dir)[0], LABEL_DAYS)
     keep = ["end_date", "store_id", "visit_date", "dow", "air_genre_name", "diff_of_day"]
@@ -367,6 +384,7 @@ QUERIES = {
     "pit_reserve_store_day": q_reserve,
     "pit_reserve_day": q_reserve_date,
     "pit_training_set": q_training_set,
+    "pit_incremental": q_incremental,
     "pit_test_set": q_test_set,
     "pit_training_set_full": q_training_set_full,
 }
@@ -395,5 +413,6 @@ def oracle() -> dict[str, str]:
         "pit_reserve_store_day": sql_reserve(),
         "pit_reserve_day": sql_reserve_date(),
         "pit_training_set": sql_training_set(),
+        "pit_incremental": sql_training_set(),
         "pit_test_set": sql_test_set(),
     }
