@@ -92,9 +92,10 @@ SELECT t.doc_id, t.pos, CAST(CASE WHEN t.word = '' THEN -1 ELSE coalesce(w.idx,
   (SELECT doc_id, pos, CASE WHEN regexp_full_match(token, '[A-Z]*') THEN lower(token) ELSE token END AS word FROM
     (SELECT doc_id, unnest(tokens) AS token, unnest(range(0, len(tokens))) AS pos FROM
       (SELECT doc_id, {_sql_tok('text')} AS tokens FROM documents))) t
-LEFT JOIN {WORDS_SQL} w ON t.word = w.word""")
+LEFT JOIN {WORDS_SQL} w ON t.word = w.word
+UNION ALL SELECT doc_id, NULL, NULL FROM documents WHERE coalesce(len({_sql_tok('text')}), 0) = 0""")
 def q_wv(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", TX.tokenize("text").alias("tokens"))
+    d = _docs(spark, sf, materialize=True)
     return TX.word_vector_ids(d, _words(spark, sf))
 
 
