@@ -2,12 +2,14 @@
 
 Words are lower-cased runs of letters and digits.  Every run of `SEED` words of an item is a possible seed; a
 bitmap of fixed size over the seeds' hashes (two bits each) goes to all tasks and thins out the texts' runs, whatever
-the size of the benchmark.  Of the runs left the document frequency is counted over all texts, and the `PER_STRETCH`
-rarest seeds of each stretch of `STRETCH` words of an item meet the texts first, in an equi-join.  The other seeds follow,
-for all pairs of text and item but those that already align perfectly; none is cut off by a frequency, so a leak that is
-in a third of all texts is still found, and so are the edited copies next to it that kept frequent seeds only.  Each text is
-aligned with each item it shares a seed with, around the seeds: local alignment with match, mismatch and gap scores, so
-edited and paraphrased copies align as well.  The score is the alignment's share of the item's perfect score, the best over both passes.
+the size of the benchmark.  A seed is rare if at most `RARE_ITEMS` items hold it: each text that holds it, however many there
+are, meets few items, in an equi-join.  A seed that more items hold (a common opening) would pair all its texts with all its items, so it
+is made rare by a word: an alignment that reaches the threshold t matches at least t of the item's n words, hence one of
+any n - ceil(t n) + 1 of them.  The item pairs the seed with so many of its words, those that the fewest items hold first, a text with the
+words near the seed, and both meet on (seed, word).  No pair that shares a seed and can reach the threshold is left out, and
+a second bitmap keeps the texts' pairs few.  Each pair found is aligned once, around all the seeds that it shares: local alignment with
+match, mismatch and gap scores, so edited and paraphrased copies align as well.  The score is the alignment's share of the
+item's perfect score.  A text travels to the aligner once for about `ITEMS_A_ROW` of its items.
 
 Defined results: null or empty texts and items match nothing; items shorter than a seed use all their words as one
 seed; repeated rows of the texts are matched one by one; an item is a distinct pair of id and text, so each text of a
@@ -17,20 +19,21 @@ others; an empty benchmark gives an empty result.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _U, gram_hashes, lists, row_hash, staged
+from .common import _U, gram_hashes, lists, pair_hash, row_hash, staged
 
 SEED = 4
-STRETCH = 8
-PER_STRETCH = 4
+RARE_ITEMS = 8
+ITEMS_A_ROW = 64
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
 BITMAP_BITS = 24
@@ -71,17 +74,21 @@ def bitmap_places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h & mask).astype(np.int64), ((h >> _U(32)) & mask).astype(np.int64)
 
 
-def seed_bitmap(seeds: DataFrame) -> tuple[np.ndarray, list[int]]:
-    """Bitmap over the seeds' hashes (2 ** BITMAP_BITS bits whatever their number), and the seed lengths in use."""
+def hash_bitmap(hashes: DataFrame, col: str) -> np.ndarray:
+    """Bitmap over a column of hashes (2 ** BITMAP_BITS bits whatever their number)."""
     mask = (1 << BITMAP_BITS) - 1
-    places = seeds.select(F.explode(F.array(F.col("seed").bitwiseAND(F.lit(mask)),
-                                            F.shiftright("seed", 32).bitwiseAND(F.lit(mask)))).alias("p"))
+    places = hashes.select(F.explode(F.array(F.col(col).bitwiseAND(F.lit(mask)),
+                                             F.shiftright(col, 32).bitwiseAND(F.lit(mask)))).alias("p"))
     bit = F.expr("shiftleft(cast(1 as bigint), cast(p % 64 as int))")
     cells = places.groupBy(F.floor(F.col("p") / 64).alias("cell")).agg(F.bit_or(bit).alias("bits")).toPandas()
     bits = np.zeros((1 << BITMAP_BITS) // 64, np.int64)
     bits[cells["cell"].to_numpy().astype(np.int64)] = cells["bits"].to_numpy()
-    lengths = [r[0] for r in seeds.select("length").distinct().collect()]  # 1 to SEED
-    return np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool), sorted(lengths)
+    return np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool)
+
+
+def in_bitmap(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    x, y = bitmap_places(h)
+    return bitmap[x] & bitmap[y]
 
 
 def _text_seeds(shared):
@@ -95,8 +102,7 @@ def _text_seeds(shared):
                 hits, places = [], []
                 for n in lengths:
                     h = gram_hashes(w, n)
-                    x, y = bitmap_places(h)
-                    at = np.flatnonzero(bitmap[x] & bitmap[y])
+                    at = np.flatnonzero(in_bitmap(bitmap, h))
                     hits.append(h[at])
                     places.append(at)
                 found = np.concatenate(hits) if hits else np.empty(0, _U)
@@ -114,6 +120,76 @@ def _text_seeds(shared):
     return run
 
 
+def reach_of(n: int) -> int:
+    """How far from a seed the alignment of an item of `n` words is looked for."""
+    return n + n // 2 + SEED
+
+
+def size_class(n: int) -> int:
+    """The least power of two, as its exponent, that holds `n` words."""
+    return (n - 1).bit_length()
+
+
+def pair_key(seed: np.ndarray, word: np.ndarray, exponent: int) -> np.ndarray:
+    """Hash of a common seed and a word of an item of a size class; word 0 stands for the seed alone."""
+    return pair_hash(pair_hash(seed, word), np.full(len(word), exponent, _U))
+
+
+def rarest_words(words: np.ndarray, holders: dict[int, int], threshold: float) -> np.ndarray:
+    """Distinct words, those with the fewest holders first, that cover so many places of an item that any `threshold` of
+    its places holds one of them."""
+    need = len(words) - math.ceil(threshold * len(words) - 1e-9) + 1
+    distinct, count = np.unique(words, return_counts=True)
+    order = np.lexsort((distinct, [holders[w] for w in distinct.view(np.int64).tolist()]))
+    return distinct[order[:int(np.searchsorted(np.cumsum(count[order]), need)) + 1]]
+
+
+def _item_keys(threshold: float):
+    """Items (ik, item_words, common, words, holders) to (ik, exponent, key) of their common seeds with their rarest words, and with word 0."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                item, common, words, counts = (batch.column(c)[i].values.to_numpy() for c in ("item_words", "common", "words", "holders"))
+                rare = rarest_words(item.view(_U), dict(zip(words.tolist(), counts.tolist())), threshold)
+                exponent = size_class(len(item))
+                keys = _flat([pair_key(np.full(len(rare) + 1, seed, _U), np.append(rare, _U(0)), exponent) for seed in common.view(_U)])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(keys), x, np.int64)) for x in (batch.column("ik")[i].as_py(), exponent)] + [pa.array(keys)],
+                    names=["ik", "exponent", "key"])
+    return run
+
+
+def near_words(words: np.ndarray, at: np.ndarray, reach: int) -> np.ndarray:
+    """Distinct words within `reach` of the rising places `at`."""
+    gaps = np.flatnonzero(np.diff(at) > 2 * reach)
+    starts, ends = at[np.append(0, gaps + 1)] - reach, at[np.append(gaps, len(at) - 1)] + reach
+    return np.unique(np.concatenate([words[max(0, lo):hi] for lo, hi in zip(starts.tolist(), ends.tolist())]))
+
+
+def _text_keys(shared):
+    """Texts with their seeds to (rk, key) of the common seeds with the words near them that are in the bitmap."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap, exponents = shared.value
+        for batch in batches:
+            rks, keys = [], []
+            for i in range(batch.num_rows):
+                words, seeds, pos = (batch.column(c)[i].values.to_numpy() for c in ("words", "seeds", "pos"))
+                order = np.lexsort((pos, seeds))
+                distinct, first = np.unique(seeds.view(np.int64)[order], return_index=True)
+                distinct, places = distinct.view(_U), np.split(pos[order], first[1:])
+                for exponent in exponents:
+                    common = in_bitmap(bitmap, pair_key(distinct, np.zeros(len(distinct), _U), exponent))
+                    for k in np.flatnonzero(common).tolist():
+                        near = near_words(words.view(_U), places[k], reach_of(1 << exponent))
+                        key = pair_key(np.full(len(near), distinct[k], _U), near, exponent)
+                        key = key[in_bitmap(bitmap, key)]
+                        keys.append(key)
+                        rks.append(np.full(len(key), batch.column("rk")[i].as_py(), np.int64))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rks)), pa.array(_flat(keys))], names=["rk", "key"])
+    return run
+
+
 def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int]:
     """Smith-Waterman score of two word sequences, and the end of the best local alignment in `text`.
 
@@ -135,7 +211,7 @@ def best_alignment(item: np.ndarray, text: np.ndarray, hits: np.ndarray, thresho
     """Best alignment over the stretches of `text` that lie within an item's length (and some gaps) of a seed.
 
     Stretches that hold too few of the item's words to reach the threshold, or to beat the best so far, are not aligned."""
-    reach = len(item) + len(item) // 2 + SEED
+    reach = reach_of(len(item))
     best, end = 0.0, 0
     spans: list[list[int]] = []
     for p in np.unique(hits).tolist():
@@ -155,22 +231,49 @@ def best_alignment(item: np.ndarray, text: np.ndarray, hits: np.ndarray, thresho
 
 
 def _score(threshold: float):
-    """Pairs to (rk, ik, score, end_word) of those that reach the threshold."""
+    """Texts with some of their items to (rk, ik, score, end_word) of the pairs that reach the threshold."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores, ends = [], []
+            out = []
             for i in range(batch.num_rows):
-                item, text, hits = (batch.column(c)[i].values.to_numpy() for c in ("item_words", "words", "hits"))
-                s, end = best_alignment(item, text, hits, threshold)
-                scores.append(s / (MATCH * len(item)))
-                ends.append(end)
-            ok = pa.array([s >= threshold for s in scores], pa.bool_())
-            yield pa.RecordBatch.from_arrays(
-                [x.filter(ok) for x in (batch.column("rk"), batch.column("ik"), pa.array(scores, pa.float64()), pa.array(ends, pa.int64()))],
-                names=["rk", "ik", "score", "end_word"])
+                words, seeds, pos = (batch.column(c)[i].values.to_numpy() for c in ("words", "seeds", "pos"))
+                found = batch.column("found")[i].values
+                iks, items, held = (found.field(c) for c in ("ik", "item_words", "seeds"))
+                for j in range(len(found)):
+                    item = items[j].values.to_numpy()
+                    score, end = best_alignment(item, words, pos[np.isin(seeds, held[j].values.to_numpy())], threshold)
+                    score /= MATCH * len(item)
+                    if score >= threshold:
+                        out.append((batch.column("rk")[i].as_py(), iks[j].as_py(), score, end))
+            rk, ik, scores, ends = zip(*out) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(rk, pa.int64()), pa.array(ik, pa.int64()), pa.array(scores, pa.float64()),
+                                              pa.array(ends, pa.int64())], names=["rk", "ik", "score", "end_word"])
     return run
 
 
+def candidates(items: DataFrame, hits: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (rk, ik) that share a rare seed, or a common seed with one of the item's rarest words near it."""
+    spark = items.sparkSession
+    seeds = items.select("ik", F.explode(F.array_distinct("seeds")).alias("seed"))
+    holders = staged(seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n")))
+    rare = seeds.join(holders.where(F.col("n") <= RARE_ITEMS), "seed")
+    by_seed = (hits.select("rk", F.explode(F.array_distinct("seeds")).alias("seed")).join(rare, "seed").select("rk", "ik"))
+
+    common = (seeds.join(holders.where(F.col("n") > RARE_ITEMS), "seed").groupBy("ik").agg(F.collect_list("seed").alias("common"))
+              .join(items.select("ik", "item_words"), "ik"))
+    each = common.select("ik", F.explode(F.array_distinct("item_words")).alias("word"))
+    counted = each.join(each.groupBy("word").agg(F.count(F.lit(1)).alias("holders")), "word")
+    counted = counted.groupBy("ik").agg(F.collect_list(F.struct("word", "holders")).alias("w"))
+    keys = staged(common.join(counted, "ik").select("ik", "item_words", "common", F.col("w.word").alias("words"), F.col("w.holders").alias("holders"))
+                  .mapInArrow(_item_keys(threshold), "ik long, exponent long, key long"))
+    exponents = [r[0] for r in keys.select("exponent").distinct().collect()]  # logarithms of item lengths
+    if not exponents:
+        return by_seed.distinct()
+    shared = spark.sparkContext.broadcast((hash_bitmap(keys, "key"), sorted(exponents)))  # 2 ** BITMAP_BITS bits
+    near = hits.select("rk", "words", "seeds", "pos").mapInArrow(_text_keys(shared), "rk long, key long")
+    return by_seed.unionByName(near.join(keys, "key").select("rk", "ik")).distinct()
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
     """One row per (text, item) whose alignment reaches the threshold, an item being a distinct pair of item_id and text:
@@ -178,30 +281,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     spark = docs.sparkSession
     items = staged(benchmark.select(row_hash("item_id").alias("ik"), F.col("item_id").cast("long").alias("item_id"), "text").distinct()
                    .mapInArrow(_item_seeds, "ik long, item_id long, item_words array<long>, seeds array<long>"))
-    seeds = staged(items.select("ik", F.least(F.lit(SEED), F.size("item_words")).alias("length"), F.posexplode("seeds").alias("pos", "seed")))
-    shared = spark.sparkContext.broadcast(seed_bitmap(seeds))  # 2 ** BITMAP_BITS bits
+    lengths = [r[0] for r in items.select(F.least(F.lit(SEED), F.size("item_words"))).distinct().collect()]  # 1 to SEED
+    bitmap = hash_bitmap(items.select(F.explode("seeds").alias("seed")), "seed")
+    shared = spark.sparkContext.broadcast((bitmap, sorted(lengths)))  # 2 ** BITMAP_BITS bits
     texts = docs.select(row_hash(id_col, text_col).alias("rk"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     hits = staged(texts.mapInArrow(_text_seeds(shared), "rk long, id long, words array<long>, seeds array<long>, pos array<long>"))
 
-    places = hits.select("rk", F.explode(F.arrays_zip("seeds", "pos")).alias("h")).select("rk", F.col("h.seeds").alias("seed"), "h.pos")
-    frequency = hits.select(F.explode(F.array_distinct("seeds")).alias("seed")).groupBy("seed").agg(F.count(F.lit(1)).alias("df"))
-    rarest = Window.partitionBy("ik", "stretch").orderBy("df", "pos")
-    ranked = staged(seeds.join(frequency, "seed").withColumn("stretch", F.floor(F.col("pos") / STRETCH))
-                    .withColumn("r", F.row_number().over(rarest)).groupBy("seed", "ik").agg((F.min("r") <= PER_STRETCH).alias("rare")))
-
-    def aligned(pairs: DataFrame) -> DataFrame:
-        met = pairs.groupBy("rk", "ik").agg(F.collect_set("pos").alias("hits"))
-        return (met.join(items.select("ik", "item_words"), "ik").join(hits.select("rk", "words"), "rk")
-                .select("rk", "ik", "item_words", "words", "hits")
-                .mapInArrow(_score(threshold), "rk long, ik long, score double, end_word long"))
-
-    # first the rare seeds; then the others, for the pairs whose score can still grow
-    first = staged(aligned(places.join(ranked.where("rare"), "seed")))
-    perfect = first.where("score >= 1").select("rk", "ik").distinct()
-    others = places.join(ranked.where("not rare"), "seed").join(perfect, ["rk", "ik"], "left_anti")
-    best = (first.unionByName(aligned(others)).groupBy("rk", "ik")
-            .agg(F.max(F.struct("score", (-F.col("end_word")).alias("back"))).alias("top"))
-            .select("rk", "ik", F.col("top.score").alias("score"), (-F.col("top.back")).alias("end_word")))
+    blocks = max(1, items.count() // ITEMS_A_ROW)
+    found = (candidates(items, hits, threshold).join(items.select("ik", "item_words", "seeds"), "ik")
+             .groupBy("rk", F.pmod("ik", F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("ik", "item_words", "seeds")).alias("found")))
+    best = (found.select("rk", "found").join(hits.select("rk", "words", "seeds", "pos"), "rk")
+            .mapInArrow(_score(threshold), "rk long, ik long, score double, end_word long").distinct())
     named = best.join(items.select("ik", "item_id"), "ik")
     return hits.select("rk", F.col("id").alias(id_col)).join(named, "rk").select("rk", id_col, "item_id", "score", "end_word")
 

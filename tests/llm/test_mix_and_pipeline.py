@@ -123,6 +123,84 @@ def test_edited_copies_of_items_that_also_stand_verbatim(spark):
     assert len(got) == len(expected) and {(r["doc_id"], r["item_id"]) for r in got} == expected
 
 
+def _staged_sides(spark, texts, items, monkeypatch, threshold=decontamination.THRESHOLD):
+    """What find_leaks returns, and how many pairs it aligned."""
+    pairs = []
+    inner = decontamination.candidates
+
+    def counted(*args):
+        out = staged(inner(*args))
+        pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(decontamination, "candidates", counted)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    return decontamination.find_leaks(docs, benchmark, threshold).collect(), pairs[0]
+
+
+def test_a_common_opening_does_not_pair_all_texts_with_all_items(spark, monkeypatch):
+    opening = "which of the following statements about the subject is true"
+    rng = random.Random(5)
+    items = [(i, f"{opening} " + " ".join(f"v{rng.randint(0, 20_000)}" for _ in range(rng.randint(14, 30)))) for i in range(2_000)]
+    texts = [(n, f"text {n} asks {opening} " + " ".join(f"u{rng.randint(0, 20_000)}" for _ in range(30))) for n in range(4_000)]
+    texts += [(10_000 + i, f"copy of {t}") for i, t in items[:50]]
+    got, pairs = _staged_sides(spark, texts, items, monkeypatch)
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(10_000 + i, i) for i in range(50)}
+    assert pairs < 5_000  # 8 million pairs share the opening
+
+
+def test_common_seeds_lose_no_pair_that_shares_a_seed(spark, monkeypatch):
+    """Items of several templates over a small vocabulary, texts that edit them: equal to aligning every pair that shares a seed."""
+    rng = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(300)]
+    weights = [1 / (k + 1) for k in range(300)]
+    templates = [rng.choices(vocabulary, weights, k=9) for _ in range(3)]
+    items = [(i, " ".join(templates[i % 3] + rng.choices(vocabulary, weights, k=rng.randint(3, 25)))) for i in range(90)]
+    items += [(100 + i, " ".join(templates[0][:2])) for i in range(12)]  # shorter than a seed, and held by many
+    texts = []
+    for n in range(300):
+        words = rng.choice(items)[1].split()
+        share = rng.choice((0, 0.1, 0.2, 0.3, 0.4))
+        words = [rng.choice(vocabulary) if rng.random() < share else w for w in words]
+        texts.append((n, " ".join(rng.choices(vocabulary, weights, k=20) + words + rng.choices(vocabulary, weights, k=200))))
+    for threshold in (0.5, 0.8):
+        got, pairs = _staged_sides(spark, texts, items, monkeypatch, threshold)
+        monkeypatch.undo()
+        sides = [{i: decontamination.hashes_of(decontamination.words_of(t)) for i, t in x} for x in (texts, items)]
+        expected, sharing = {}, 0
+        for i, item in sides[1].items():
+            k = min(decontamination.SEED, len(item))
+            seeds = decontamination.gram_hashes(item, k)
+            for d, text in sides[0].items():
+                hits = np.concatenate([np.flatnonzero(np.isin(decontamination.gram_hashes(text, n), seeds)) for n in (2, 4)])
+                sharing += len(hits) > 0
+                score = decontamination.best_alignment(item, text, hits, threshold)[0] / (2 * len(item)) if len(hits) else 0
+                if score >= threshold:
+                    expected[d, i] = score
+        assert {(r["doc_id"], r["item_id"]): r["score"] for r in got} == expected and len(expected) > 200
+        assert pairs <= sharing
+
+
+def test_recall_against_full_alignment(spark):
+    """Copies with a quarter or 30 % of the words replaced, whether or not a seed survives: at least 0.97 of those that score are found."""
+    rng = random.Random(9)
+    items = {i: [f"w{rng.randint(0, 5_000)}" for _ in range(rng.randint(15, 59))] for i in range(400)}
+    texts, expected = [], set()
+    for i, w in items.items():
+        for n, share in enumerate((0.25, 0.3)):
+            at = set(rng.sample(range(len(w)), round(share * len(w))))
+            copy = [f"changed{k}" if k in at else x for k, x in enumerate(w)]
+            if brute_alignment(w, copy) / (decontamination.MATCH * len(w)) >= decontamination.THRESHOLD:
+                expected.add((10 * i + n, i))
+            texts.append((10 * i + n, " ".join(["before"] * 20 + copy)))
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(spark.createDataFrame(texts, "doc_id long, text string"), benchmark).collect()}
+    recall = len(got & expected) / len(expected)
+    print(f"recall against full alignment: {recall:.4f} of {len(expected)}")
+    assert got <= expected and recall >= 0.97
+
+
 def test_items_with_repeated_and_null_ids(spark):
     passage = {k: " ".join(f"{k}{i}" for i in range(24)) for k in "abcdefg"}
     rows = [(1, passage[k]) for k in "abcd"] + [(2, passage["e"])] * 6 + [(None, passage["f"]), (None, passage["g"]), (None, None)]
