@@ -24,6 +24,8 @@ from .common import r, rounded
 
 Q: dict = {}
 SQL: dict = {}
+#: Ends a document in a file of many: a control character that the texts don't hold.
+RECORD_END = "\x1e\n"
 
 
 def reg(name, sql=None):
@@ -153,11 +155,21 @@ def q_textdirs(spark, sf):
     return RD.read_text_folders(spark, path).select("label", "class_idx", "text")
 
 
-@reg("io_text_folder_lines")
+@reg("io_text_folder_records", """
+SELECT 'lang=' || lang AS label, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS INTEGER) AS class_idx, text FROM documents""")
+def q_textrecords(spark, sf):
+    path = _scratch(spark, "txtr")
+    table(spark, sf, "documents").select("lang", "text").write.option("lineSep", RECORD_END).partitionBy("lang").text(path)
+    return RD.read_text_folders(spark, path, separator=RECORD_END).select("label", "class_idx", "text")
+
+
+@reg("io_text_folder_lines", r"""
+SELECT role, unnest(regexp_split_to_array(text, '\r\n|\r|\n')) || ' <eos>' AS text FROM conversations""")
 def q_textlines(spark, sf):
     path = _scratch(spark, "txtl")
     table(spark, sf, "conversations").select("role", "text").write.partitionBy("role").text(path)
-    return RD.read_text_folders(spark, path, lines=True)
+    lines = RD.read_text_folders(spark, path, lines=True)
+    return lines.select(F.regexp_extract("path", "role=([^/]+)/", 1).alias("role"), "text")
 
 
 # ------------------------------------------------------------------ plug-ins
@@ -208,7 +220,10 @@ def _rank_pct(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["store_id", "visit_date", "visitors", "visitors_pct"]]
 
 
-@reg("plugins_group_apply")
+@reg("plugins_group_apply", with_ctes("""
+SELECT store_id, visit_date, visitors, (rank() OVER (PARTITION BY store_id ORDER BY visitors)
+       + (count(*) OVER (PARTITION BY store_id, visitors) - 1) / 2) / count(*) OVER (PARTITION BY store_id) AS visitors_pct
+FROM visits_nation""", "visits_nation"))
 def q_gapply(spark, sf):
     v = A.visits_nation(spark, sf).select("store_id", "visit_date", "visitors")
     return PL.group_apply(v, ["store_id"], _rank_pct,

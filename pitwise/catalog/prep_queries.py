@@ -52,6 +52,17 @@ def q_codes(spark, sf):
     return EN.apply_category_codes(p, d, "p_name")
 
 
+@reg("encode_category_codes_unseen", """
+SELECT o.o_orderkey, CAST(coalesce(d.code + 1, 0) AS INTEGER) AS o_custkey FROM orders o
+LEFT JOIN (SELECT o_custkey, row_number() OVER (ORDER BY o_custkey) - 1 AS code
+           FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '1995-07-01')) d ON o.o_custkey = d.o_custkey""")
+def q_codes_unseen(spark, sf):
+    """The customers of the first half-year are known; those who order later only get the unseen code."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    d = EN.fit_dictionary(o.where(F.col("o_orderdate") < F.lit("1995-07-01").cast("timestamp")), "o_custkey")
+    return EN.apply_category_codes(o.drop("o_orderdate"), d, "o_custkey")
+
+
 @reg("encode_first_appearance", """
 SELECT user_id, CAST(row_number() OVER (ORDER BY min(event_id), user_id) - 1 AS BIGINT) AS code
 FROM events GROUP BY user_id""")

@@ -9,7 +9,7 @@ from ..sources import adapters as A
 from ..session import cut_lineage, ensure_parallelism
 from ..sources.tables import table
 from .canonical_sql import with_ctes
-from .common import r, rounded
+from .common import DIGITS, r, rounded
 
 Q: dict = {}
 SQL: dict = {}
@@ -99,14 +99,25 @@ def q_wv(spark, sf):
     return TX.word_vector_ids(d, _words(spark, sf))
 
 
-@reg("text_vocab_vectors")
+def _part_sql(at: int) -> str:
+    return f"(CAST('0x' || substr(md5(CAST(v.id AS VARCHAR) || ':' || CAST(i AS VARCHAR)), {at}, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE"
+
+
+@reg("text_vocab_vectors", f"""
+WITH v AS (SELECT id, CASE WHEN regexp_full_match(token, '[A-Z]*') THEN lower(token) ELSE token END AS word FROM {VOCAB_SQL}),
+k AS (SELECT w.word, e.embedding FROM {WORDS_SQL} w JOIN embeddings e ON w.idx = e.vec_id)
+SELECT v.id, CASE WHEN k.word IS NULL OR v.id = (SELECT max(id) FROM v)
+  THEN list_transform(range(0, 64), lambda i: {r(f"sqrt(-2 * ln({_part_sql(1)})) * cos(2 * 3.141592653589793::DOUBLE * {_part_sql(9)}) * 0.6::DOUBLE / 3")})
+  ELSE list_transform(k.embedding, lambda x: {r("CAST(x AS DOUBLE) / 3")}) END AS vector
+FROM v LEFT JOIN k ON v.word = k.word""")
 def q_vocab_vec(spark, sf):
     toks = _docs(spark, sf, lower=True, materialize=True)
     vocab = TX.vocabulary(toks)
     words = _words(spark, sf)
     vecs = table(spark, sf, "embeddings").select(F.col("vec_id").cast("int").alias("idx"),
                                                  F.col("embedding").alias("vector"))
-    return TX.vocab_vectors(vocab, words, vecs, dim=64)
+    out = TX.vocab_vectors(vocab, words, vecs, dim=64)
+    return out.select("id", F.transform("vector", lambda x: F.round(x, DIGITS)).alias("vector"))
 
 
 @reg("text_pad_truncate", f"""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ordering import global_prefix_sum
+from .ordering import global_prefix_sum, join_groups
 
 
 # ---------------------------------------------------------------- projections / filters
@@ -193,24 +193,30 @@ def row_backfill(df: DataFrame, cols: list[str]) -> DataFrame:
 def quantiles(df: DataFrame, cols: list[str], at: dict[str, float]) -> DataFrame:
     """Exact quantiles with linear interpolation: (column, count, one column per name of `at`).
 
-    Counts per (column, value) first, with map-side sums; positions come from a prefix sum over range partitions, so no
-    task holds all values of a column.  A column without values has count 0 and null quantiles."""
+    A column without values has count 0 and null quantiles."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for c in cols]))
-    counts = (df.select(pairs.alias("p")).select("p.*").where("value is not null")
-              .groupBy("column", "value").agg(F.count(F.lit(1)).alias("__c")))
-    placed = global_prefix_sum(counts, ["value"], "__c", ["column"], out="__b")
-    sizes = placed.groupBy("column").agg(F.sum("__c").alias("__n"))
-    j = placed.join(sizes, "column")
+    found = group_quantiles(df.select(pairs.alias("p")).select("p.*"), ["column"], "value", at)
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    return names.join(found, "column", "left").na.fill(0, subset=["count"])
+
+
+def group_quantiles(df: DataFrame, keys: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """Exact quantiles of a value by group, with linear interpolation: (keys, count, one column per name of `at`).
+
+    Counts per (keys, value) first, with map-side sums; positions come from a prefix sum over range partitions, so no
+    task holds all values of a group.  Null values don't count; a group without values has no row, a null key is a group."""
+    counts = (df.select(*keys, F.col(value).cast("double").alias("__v")).where("__v is not null")
+              .groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c")))
+    placed = global_prefix_sum(counts, ["__v"], "__c", keys, out="__b")
+    j = join_groups(placed, placed.groupBy(*keys).agg(F.sum("__c").alias("__n")), keys)
     aggs = [F.max("__n").alias("count")]
     for name, q in at.items():
         pos = (F.col("__n") - 1) * F.lit(q)
         low, high = F.floor(pos), F.ceil(pos)
-        held = lambda p: F.sum(F.when((F.col("__b") <= p) & (p < F.col("__b") + F.col("__c")), F.col("value")))
+        held = lambda p: F.sum(F.when((F.col("__b") <= p) & (p < F.col("__b") + F.col("__c")), F.col("__v")))
         part = F.max(pos - low)
         aggs.append((held(low) * (1 - part) + held(high) * part).alias(name))
-    found = j.groupBy("column").agg(*aggs)
-    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
-    return names.join(found, "column", "left").na.fill(0, subset=["count"])
+    return j.groupBy(*keys).agg(*aggs)
 
 
 def fit_medians(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
+from .clean import group_quantiles
 from .ordering import global_row_number
 
 
@@ -162,14 +163,14 @@ def cross_system_totals(per_system: DataFrame) -> DataFrame:
 
 def attr_static(rows: DataFrame, stats_src: DataFrame, key: str, value: str = "visitors",
                 name: str = "visits") -> DataFrame:
-    """min/max/mean/std of a value per attribute (null attribute dropped), joined back."""
+    """min/max/mean/std/median of a value per attribute (null attribute dropped), joined back."""
     agg = (stats_src.where(F.col(key).isNotNull()).groupBy(key)
            .agg(F.min(value).cast("double").alias(f"min_{name}_in_{key}"),
                 F.max(value).cast("double").alias(f"max_{name}_in_{key}"),
                 F.avg(value).alias(f"mean_{name}_in_{key}"),
-                F.stddev_samp(value).alias(f"std_{name}_in_{key}"),
-                F.percentile(value, 0.5).alias(f"median_{name}_in_{key}")))
-    return rows.join(agg, key, "left")
+                F.stddev_samp(value).alias(f"std_{name}_in_{key}")))
+    median = group_quantiles(stats_src.where(F.col(key).isNotNull()), [key], value, {f"median_{name}_in_{key}": 0.5}).drop("count")
+    return rows.join(agg.join(median, key, "left"), key, "left")
 
 
 def population_count(df: DataFrame, group: str, id_col: str = "store_id") -> DataFrame:

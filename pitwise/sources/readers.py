@@ -97,10 +97,14 @@ def read_word_vectors(spark: SparkSession, path: str) -> DataFrame:
                        F.transform(F.split(F.trim(parts[1]), " "), lambda x: x.cast("float")).alias("vector"))
 
 
-def read_text_folders(spark: SparkSession, root: str, lines: bool = False, eos: str = "<eos>") -> DataFrame:
-    """O182: whole files with label = folder (class index = sorted position), or all lines plus `eos`."""
+def read_text_folders(spark: SparkSession, root: str, lines: bool = False, eos: str = "<eos>", separator: str | None = None) -> DataFrame:
+    """O182: whole files with label = folder (class index = sorted position), or all lines plus `eos`.
+
+    With `separator` a file holds many documents that end in it, and large files are split between tasks; without, a file is one
+    document, which at scale means as many files as documents."""
     if not lines:
-        df = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
+        source = spark.read.option("recursiveFileLookup", "true")
+        df = source.option("lineSep", separator).text(root) if separator else source.text(root, wholetext=True)
         df = df.select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
         return labelled_paths(df)
     df = spark.read.option("recursiveFileLookup", "true").text(root)
