@@ -14,10 +14,14 @@ def _mods():
 
 
 def _utc(fn):
-    """Timestamps in the data are zone-less; pin the session zone so conversions match the oracle."""
+    """Timestamps in the data are zone-less; pin the session zone so conversions match the oracle.
+
+    Stages over dozens of columns compile to methods that the JVM's compiler refuses (8000 bytes, HotSpot's limit) and would run
+    interpreted; with Spark's limit at the same value such a stage runs operator by operator, in compiled pieces."""
     @wraps(fn)
     def run(spark, sf_dir):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
         return fn(spark, sf_dir)
     return run
 
