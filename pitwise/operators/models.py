@@ -135,8 +135,11 @@ def _other(cells: Cells, k: int):
             kth = b.column("kth").to_numpy(zero_copy_only=False).astype(float)
             see = cells.to_see(_stacked(b.column("vec")), b.column("cell").to_numpy(), np.where(np.isnan(kth), np.inf, kth), k)
             at = np.repeat(np.arange(len(see)), [len(c) for c in see])
-            kept = b.select(["id", "vec"]).take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(np.concatenate(see).astype(np.int32))], names=["id", "vec", "cell"])
+            cell = np.concatenate(see).astype(np.int32)
+            step = max(1, KNN_DISTANCES // (4 * max(1, len(cells.pivots[0]))))  # copies of a vector that are out at a time
+            for a in range(0, len(at), step):
+                kept = b.select(["id", "vec"]).take(pa.array(at[a:a + step]))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(cell[a:a + step])], names=["id", "vec", "cell"])
     return run
 
 
