@@ -181,8 +181,8 @@ def _store_dow_family(ctx):
 def q_families(spark, sf):
     from .pit_queries import context
     ctx = context(spark, sf)
-    fams = [PL.FeatureFamily(_store_dow_family, ["store_id", "dow"]),
-            PL.FeatureFamily(pit.store_exp_feat, ["store_id"])]
+    fams = [PL.FeatureFamily(_store_dow_family, ["store_id", "dow"], labelled=True),
+            PL.FeatureFamily(pit.store_exp_feat, ["store_id"], labelled=True)]
     out = PL.build_with_families(ctx, fams, high_eng=pit.second_feat)
     return rounded(out.select("end_date", "store_id", "visit_date", "dow", "store_dow_mean14", "store_dow_median28",
                               "store_dow_count56", "store_dow_std1000", "store_exp_mean1000"))

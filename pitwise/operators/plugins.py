@@ -29,6 +29,7 @@ class FeatureFamily:
 
     fn: Callable  # (PitContext) -> DataFrame keyed by end_date + keys
     keys: list[str]
+    labelled: bool = False  # the function makes `ctx.family` features with these very keys, so it needs only the pairs of label rows
 
 
 @dataclass
@@ -50,9 +51,10 @@ class ColumnRoles:
 def build_with_families(ctx, families: list[FeatureFamily], high_eng: Callable | None = None) -> DataFrame:
     """O172: label rows + every plug-in family joined by key; optional second-order hook."""
     from ..plans import pit
+    pit.co_partition(ctx.data.sparkSession)
     lab = pit.labels(ctx)
     for fam in families:
-        lab = pit.attach(lab, fam.fn(ctx), fam.keys)
+        lab = pit.attach(lab, fam.fn(ctx.at_labels() if fam.labelled else ctx), fam.keys)
     return high_eng(lab) if high_eng else lab
 
 
