@@ -13,9 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut_lineage
 from .clean import quantiles
 from .ordering import global_prefix_sum
 
+# Ranks of a column's values that are broadcast; beyond it rows and values are shuffled by value.
+RANKS = 1_000_000
+
 
 def total_sort(df: DataFrame, cols: list, tie: list) -> DataFrame:
     """A total order (explicit unique tie-break)."""
@@ -66,26 +70,41 @@ def threshold_select(imp: DataFrame, t: float, exclude: DataFrame, col: str = "c
 def spearman_pairs(df: DataFrame, cols: list[str], threshold: float = 0.0) -> DataFrame:
     """O161: Spearman correlation of every column pair over the rows where both are present, |rho| >= threshold.
 
-    Rows become counts per (pair, value, value); a value's average rank in its pair follows from a prefix sum of
-    counts over range partitions, and rho is the weighted correlation of the ranks.  Frequent values are one
-    count each, so the fact rows are never joined.  A pair with a constant column has no correlation and no row."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    struct = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}`").cast("double").alias("x"),
-                       F.col(f"`{b}`").cast("double").alias("y")) for a, b in pairs]
-    cells = (df.select(F.explode(F.array(*struct)).alias("p")).select("p.*").where("x is not null and y is not null")
-             .groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).alias("n")))
-    sides = cells.select("a", "b", "n", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("v")) for s in "xy"])).alias("e"))
-    values = sides.groupBy("a", "b", "e.side", "e.v").agg(F.sum("n").alias("c"))
-    placed = global_prefix_sum(values, ["v"], "c", ["a", "b", "side"], out="before")
-    rank = placed.select("a", "b", "side", "v", (F.col("before") + (F.col("c") + 1) / 2.0).alias("rank"))
-    for s in "xy":
-        cells = cells.join(rank.where(F.col("side") == s).select("a", "b", F.col("v").alias(s), F.col("rank").alias(f"r{s}")), ["a", "b", s])
-    totals = cells.groupBy("a", "b").agg(F.sum("n").alias("total"))
-    centre = (F.col("total") + 1) / 2.0  # the mean of all ranks
-    dx, dy = F.col("rx") - centre, F.col("ry") - centre
-    rho = cells.join(totals, ["a", "b"]).groupBy("a", "b").agg(
-        F.try_divide(F.sum(F.col("n") * dx * dy), F.sqrt(F.sum(F.col("n") * dx * dx) * F.sum(F.col("n") * dy * dy))).alias("rho"))
-    return rho.where(F.abs("rho") >= threshold)
+    A value's average rank follows from counts per (column, value) and a prefix sum over range partitions; every row then
+    looks its ranks up, in a broadcast where a column has few values, and one aggregation gives all pairs.  A column whose rows
+    all hold the other column has one rank for all of these; for another column with nulls the values are ranked among its rows.
+    A pair with a constant column has no correlation and no row."""
+    k = len(cols)
+    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
+    there = [F.col(f"c{i}").isNotNull() for i in range(k)]
+    rows = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    found = rows.agg(*[F.count(F.when(there[i] & there[j], 1)).alias(f"n{i}_{j}") for i, j in [*pairs, *((i, i) for i in range(k))]]).first()
+    total = {(i, j): found[f"n{min(i, j)}_{max(i, j)}"] for i in range(k) for j in range(k)}
+    holes = [j for j in range(k) if any(total[i, j] < total[i, i] for i in range(k))]
+    kept = ["n", *(f"n{j}" for j in holes)]
+    one = [F.struct(F.lit(i).alias("col"), F.col(f"c{i}").alias("v"), *[there[j].cast("long").alias(f"n{j}") for j in holes]) for i in range(k)]
+    values = (rows.select(F.explode(F.array(*one)).alias("e")).select("e.*").where("v is not null").groupBy("col", "v")
+              .agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"n{j}").alias(f"n{j}") for j in holes]))
+    placed = global_prefix_sum(values, ["v"], kept, ["col"], out=[f"b{c}" for c in kept])
+    placed = cut_lineage(placed.select("col", "v", *[(F.col(f"b{c}") + (F.col(c) + 1) / 2.0).alias(c) for c in kept]))
+    sizes = dict(placed.groupBy("col").count().collect())  # one row per column
+    for i in range(k):
+        side = placed.where(F.col("col") == i).select(F.col("v").alias(f"c{i}"), *[F.col(c).alias(f"{c}_of{i}") for c in kept])
+        small = sizes.get(i, 0) * len(kept) <= RANKS
+        rows = rows.join(F.broadcast(side) if small else side, f"c{i}", "left")
+
+    def off(i: int, j: int) -> Column:
+        """How far the rank of column i lies from the mean of all ranks, among the rows that hold j."""
+        rank = F.col(f"n{j}_of{i}") if total[i, j] < total[i, i] else F.col(f"n_of{i}")
+        return F.when(there[i] & there[j], rank - (total[i, j] + 1) / 2.0)
+
+    sums = [F.sum(x * y).alias(f"{name}{i}_{j}") for i, j in pairs for name, x, y in
+            (("xy", off(i, j), off(j, i)), ("xx", off(i, j), off(i, j)), ("yy", off(j, i), off(j, i)))]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "a string, b string, rho double")
+    rho = [F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"),
+                    F.try_divide(F.col(f"xy{i}_{j}"), F.sqrt(F.col(f"xx{i}_{j}") * F.col(f"yy{i}_{j}"))).alias("rho")) for i, j in pairs]
+    return rows.agg(*sums).select(F.explode(F.array(*rho)).alias("p")).select("p.*").where(F.abs("rho") >= threshold)
 
 
 def average_linkage(names: list[str], distance: np.ndarray) -> list[tuple]:

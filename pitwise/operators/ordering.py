@@ -66,9 +66,10 @@ def global_row_number(df: DataFrame, order_cols: list, group_cols: list | None =
         "__pid", "__pos", "__p0", "__off")
 
 
-def global_prefix_sum(df: DataFrame, order_cols: list, value_col: str, group_cols: list | None = None,
-                      out: str = "offset", num_partitions: int | None = None) -> DataFrame:
-    """Add `out` = sum of `value_col` over all earlier rows (exclusive prefix sum) within `group_cols`.
+def global_prefix_sum(df: DataFrame, order_cols: list, value_col: str | list[str], group_cols: list | None = None,
+                      out: str | list[str] = "offset", num_partitions: int | None = None) -> DataFrame:
+    """Add `out` = sum of `value_col` over all earlier rows (exclusive prefix sum) within `group_cols`; of several columns at once
+    if both are lists.
 
     Two levels: a window over each (range partition, group), then the totals of the partitions before (one row per
     partition and group), joined back.  A hot group is spread over as many range partitions as its rows fill.
@@ -79,13 +80,13 @@ def global_prefix_sum(df: DataFrame, order_cols: list, value_col: str, group_col
     keys = [*group_cols, *order_cols]
     # range bounds are sampled, so the partition of a row is fixed once, in a reliable checkpoint
     tagged = cut_lineage(df.repartitionByRange(n, *keys).withColumn("__pid", F.spark_partition_id()))
-    value = F.coalesce(F.col(value_col), F.lit(0))
+    sums = dict(zip(out, value_col)) if isinstance(out, list) else {out: value_col}
+    value = {o: F.coalesce(F.col(c), F.lit(0)) for o, c in sums.items()}
     earlier = Window.partitionBy("__pid", *group_cols).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
-    local = tagged.withColumn("__local", F.coalesce(F.sum(value).over(earlier), F.lit(0)))
-    totals = tagged.groupBy(*group_cols, "__pid").agg(F.sum(value).cast("long").alias("__t"))
-    w = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()).orderBy("__pid")
-    offs = totals.select(*group_cols, "__pid",
-                         F.coalesce(F.sum("__t").over(w.rowsBetween(Window.unboundedPreceding, -1)),
-                                    F.lit(0)).alias("__poff"))
+    local = tagged.withColumns({f"__local_{o}": F.coalesce(F.sum(v).over(earlier), F.lit(0)) for o, v in value.items()})
+    totals = tagged.groupBy(*group_cols, "__pid").agg(*[F.sum(v).cast("long").alias(f"__t_{o}") for o, v in value.items()])
+    w = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy()).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = totals.select(*group_cols, "__pid", *[F.coalesce(F.sum(f"__t_{o}").over(w), F.lit(0)).alias(f"__poff_{o}") for o in sums])
     j = join_groups(local, offs if group_cols else F.broadcast(offs), group_cols, ["__pid"])
-    return j.withColumn(out, (F.col("__poff") + F.col("__local")).cast("long")).drop("__pid", "__local", "__poff")
+    return j.withColumns({o: (F.col(f"__poff_{o}") + F.col(f"__local_{o}")).cast("long") for o in sums}).drop(
+        "__pid", *[f"__{x}_{o}" for o in sums for x in ("local", "poff")])
