@@ -5,13 +5,16 @@ import gc
 import weakref
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pitwise.catalog.common import rounded
+from pitwise.operators import metrics as MT
 from pitwise.operators import models as MD
 from pitwise.operators import plugins as PL
+from pitwise.operators import text as TX
 from pitwise.plans import pit, pivots
 
 D0 = dt.date(2020, 1, 1)
@@ -101,3 +104,64 @@ def test_queries_that_see_all_cells_leave_in_pieces():
     out = list(MD._other(cells, 4)([b]))
     assert sum(x.num_rows for x in out) == 400 * 299
     assert max(x.num_rows for x in out) <= 8192
+
+
+def test_arrays_of_ids_are_made_inside_documents(spark):
+    docs = spark.createDataFrame([(1, ["a", "b", "a", "zz", None]), (2, []), (3, None), (None, ["a", "yy"]), (4, ["b"]), (4, ["zz", "a"])],
+                                 "doc_id long, tokens array<string>")
+    vocab = spark.createDataFrame([("a", 2), ("b", 3), ("zz", 4)], "token string, id long")
+    for head in (1, 2, 50):
+        df = TX.numericalize(docs, vocab, head=head)
+        assert {r["doc_id"]: r["ids"] for r in df.collect()} == {1: [2, 3, 2, 4, 0], 2: [], 3: [], None: [2, 0], 4: [3, 4, 2]}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and plan.count("hashpartitioning(word") <= 3  # counts of words, and the rare ones' look-up
+
+
+@pytest.mark.parametrize("backwards", [False, True])
+def test_batches_from_documents_are_those_from_tokens(spark, backwards):
+    rng = np.random.default_rng(3)
+    docs = spark.createDataFrame([(i, [int(x) for x in rng.integers(0, 90, n)]) for i, n in enumerate([5, 0, 40, 1, 300, 2, 2, 77, 3])],
+                                 "doc_id long, tokens array<long>")
+    for bs, bptt in ((3, 7), (4, 10), (1, 5), (60, 4), (500, 3)):
+        tokens = TX.lm_batches(TX.token_stream(docs, eos=None).withColumnRenamed("token", "id"), bs, bptt, backwards=backwards)
+        pieces = TX.lm_batches(TX.token_stream(docs, eos=None, pieces=True), bs, bptt, id_col="tokens", backwards=backwards)
+        assert sorted(map(tuple, pieces.collect())) == sorted(map(tuple, tokens.collect()))
+
+
+def test_bags_are_counted_inside_documents(spark):
+    docs = spark.createDataFrame([(1, ["a", "b", "a", None]), (2, []), (3, None), (None, ["a"]), (None, ["a", "c"]), (4, ["b"]), (4, ["b", "a"])],
+                                 "doc_id long, tokens array<string>")
+    got = sorted(map(tuple, TX.bag_of_words(docs).collect()), key=str)
+    assert got == sorted([(1, "a", 2, 1), (1, "b", 1, 1), (1, None, 1, 1), (None, "a", 2, 1), (None, "c", 1, 1), (4, "b", 2, 1), (4, "a", 1, 1)], key=str)
+    plan = TX.bag_of_words(docs.where("doc_id < 4"))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("head", [1, 3, 100])
+def test_scores_do_not_depend_on_the_head(spark, head):
+    bow = TX.bag_of_words(spark.createDataFrame([(1, ["a", "b", "q"]), (2, ["a"]), (3, ["c", "a"])], "doc_id long, tokens array<string>"))
+    ratios = spark.createDataFrame([("a", 0, .5), ("a", 1, -.5), ("b", 0, 1.), ("c", 1, 2.)], "term string, class int, r double")
+    got = {(r["doc_id"], r["class"]): r["score"] for r in TX.nb_scores(bow, ratios, head=head).collect()}
+    assert got == {(1, 0): 1.5, (1, 1): -.5, (2, 0): .5, (2, 1): -.5, (3, 0): .5, (3, 1): 1.5}
+
+
+def test_ranks_are_looked_up_once_a_column(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = pd.DataFrame(rng.integers(0, 9, (80, 4)).astype(float), columns=list("abcd"))
+    x.loc[::7, "c"], x.loc[::5, "d"] = None, None
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else v for v in r) for r in x.itertuples(index=False)], "a double, b double, c double, d double")
+    want = {}
+    for i, a in enumerate("abcd"):
+        for b in "abcd"[i + 1:]:
+            both = x[[a, b]].dropna().rank()
+            want[a, b] = both[a].corr(both[b])
+    for ranks in (0, 10**6):
+        monkeypatch.setattr(MT, "RANKS", ranks)
+        assert {(r["a"], r["b"]): r["rho"] for r in MT.spearman_pairs(df, list("abcd")).collect()} == pytest.approx(want)
+    assert MT.spearman_pairs(df, ["a", "b"])._jdf.queryExecution().logical().toString().count("Generate") <= 1  # pairs, not rows, are exploded
+
+
+def test_many_text_files_are_moved_by_their_tasks():
+    import inspect
+    from pitwise.catalog import io_queries
+    assert "algorithm.version" in inspect.getsource(io_queries.q_textdirs)
