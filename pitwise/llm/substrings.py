@@ -29,10 +29,12 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _U, as_bytes, bucketed, drop_staged, gram_hashes, longs, pair_hash, row_key, staged, word_hashes
+from .common import _U, as_bytes, bucketed, drop_staged, gram_hashes, limit_batches, longs, pair_hash, row_key, staged, word_hashes
 
 WINDOW = 20
 BASE = 5
+#: Runs of one Arrow batch on its way from a Python worker.
+LOT = 1 << 17
 #: Turns the word hashes into those of a second, independent window hash.
 _SECOND = _U(0x5851F42D4C957F2D)
 
@@ -77,11 +79,18 @@ def _emit(level: int, lengths: list[int], window: int):
     """Runs of ``lengths[level]`` words to compare: (h, rk, place); at the full length also a second hash and
     `later`, true where the same row, or an earlier row with the same id, holds the window before."""
     length, base, last = lengths[level], lengths[0], lengths[level] >= window
+    names = ["h", "rk", "place", *(["h2", "later"] if last else [])]
+
+    def lots(found: list[list[pa.Array]]) -> Iterator[pa.RecordBatch]:
+        out = pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*found)], names=names)
+        found.clear()
+        for at in range(0, out.num_rows, LOT):
+            yield out.slice(at, LOT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rk_seen, seen = None, []
         for batch in batches:
-            hashes, keys, places, seconds, laters = [], [], [], [], []
+            out, held = [], 0
             rows = zip(*(batch.column(c).to_pylist() for c in ("rk", "copy", "text")), _places(batch))
             for rk, copy, text, found in rows:
                 words = word_hashes(text)
@@ -98,8 +107,8 @@ def _emit(level: int, lengths: list[int], window: int):
                 h = level_hashes(words, length, base)
                 at = np.flatnonzero(alive) if last else np.unique(representatives(h, window - length + 1)[alive])
                 h = h[at]
+                arrays = [longs(h), pa.array(np.full(len(at), rk, np.int64)), pa.array((copy << _COPY) + (level << _LEVEL) + at)]
                 if last:
-                    seconds.append(level_hashes(words ^ _SECOND, length, base)[at])
                     if rk != rk_seen:
                         rk_seen, seen = rk, []
                     later = np.ones(len(at), bool)
@@ -107,18 +116,14 @@ def _emit(level: int, lengths: list[int], window: int):
                     if copy > 1 and seen:
                         later |= np.isin(h, np.concatenate(seen))
                     seen.append(h)
-                    laters.append(later)
-                hashes.append(h)
-                keys.append(np.full(len(at), rk, np.int64))
-                places.append((copy << _COPY) + (level << _LEVEL) + at)
-            if not hashes:
-                continue
-            arrays = [longs(np.concatenate(hashes)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(places))]
-            names = ["h", "rk", "place"]
-            if last:
-                arrays += [longs(np.concatenate(seconds)), pa.array(np.concatenate(laters))]
-                names += ["h2", "later"]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+                    arrays += [longs(level_hashes(words ^ _SECOND, length, base)[at]), pa.array(later)]
+                out.append(arrays)
+                held += len(at)
+                if held >= LOT:  # bounded memory, whatever the batch holds
+                    yield from lots(out)
+                    held = 0
+            if out:
+                yield from lots(out)
     return run
 
 
@@ -174,6 +179,7 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
         lengths.append(lengths[-1] * 2)
     if lengths[-1] != window:
         raise ValueError("window must be base times a power of two")
+    limit_batches(docs.sparkSession)
     keyed = keyed_texts(docs, id_col, text_col)
     searched = keyed.where("not copied").select("rk", "copy", "text")
 
