@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import encode as EN
 from ..operators import models as MD
 from ..operators import split as SP
+from ..session import staged
 from ..sources import adapters as A
 from ..sources.tables import table
 from .canonical_sql import with_ctes
@@ -94,10 +95,10 @@ def q_knn(spark, sf):
 
 @reg("models_als")
 def q_als(spark, sf):
-    ra = A.ratings(spark, sf)
+    ra = staged(A.ratings(spark, sf))
     users = EN.fit_dictionary(ra, "user")
-    ra = ra.join(users.withColumnRenamed("code", "uid"), "user").select(
-        F.col("uid").cast("int"), F.col("item").cast("int"), "rating")
+    ra = staged(ra.join(users.withColumnRenamed("code", "uid"), "user").select(
+        F.col("uid").cast("int"), F.col("item").cast("int"), "rating"))  # the fits read it many times
     # every rating is scored by a model that hasn't seen it: two halves by a hash of the pair, each scored by the other's
     half = F.pmod(F.xxhash64("uid", "item"), F.lit(2))
     parts = [ra.where(half == i) for i in (0, 1)]

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitwise.session import checkpoint_dir
+from pitwise.session import checkpoint_dir, staged  # noqa: F401  (staged is for the operators)
 
 _U = np.uint64
 #: Odd multipliers of the hash mixers (fixed values: the 64-bit golden ratio and two large odd constants).
@@ -40,17 +40,6 @@ def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Write `df` as a Parquet table in the shared folder of ``spark.checkpoint.dir`` and read it back.
-
-    Cuts the lineage like ``checkpoint()``, survives lost executors, and is compressed and columnar, so
-    a table that several branches read costs little disk and each branch reads only its columns."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/pitwise-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def drop_staged(df: DataFrame) -> None:
     """Delete the files of a staged table that no later step reads."""
     spark = df.sparkSession

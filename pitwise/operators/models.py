@@ -18,13 +18,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import checkpoint_dir, cut_lineage
+from ..session import checkpoint_dir, cut_lineage, staged
 
 # Rows of a slice of either side of the exact k-NN, and the most pivots that its tasks are given.
 KNN_BLOCK = 2048
 KNN_PIVOTS = 16384
 # Distances to pivots that a task holds at a time.
 KNN_DISTANCES = 1 << 21
+# Items whose biases and factors go to every task; more are joined by a shuffle.
+ALS_BROADCAST = 50_000
 SEED = 42
 
 
@@ -224,24 +226,32 @@ def als_fit_predict(ratings: DataFrame, user: str, item: str, rating: str, rank:
     predict, hold-out rows as a rule (default: the training rows); an unknown user or item has bias and product 0."""
     checkpoint_dir(ratings.sparkSession)
     state = ratings.agg(F.avg(rating).alias("mean"), F.min(rating).alias("lo"), F.max(rating).alias("hi"))
-    mean, lo, hi = (state.select(c).scalar() for c in ("mean", "lo", "hi"))
+    mean, lo, hi = (F.lit(v).cast(f.dataType) for v, f in zip(state.first(), state.schema))
 
     def bias(df: DataFrame, key: str, rest) -> DataFrame:
         return df.groupBy(key).agg((F.sum(rest) / (F.count(F.lit(1)) + damping)).alias(f"{key}_bias"))
 
-    users = bias(ratings, user, F.col(rating) - mean)
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= ALS_BROADCAST else df
+
+    users = staged(bias(ratings, user, F.col(rating) - mean))
     with_user = ratings.join(users, user)
-    items = bias(with_user, item, F.col(rating) - mean - F.col(f"{user}_bias"))
-    left = with_user.join(items, item).select(
+    items = staged(bias(with_user, item, F.col(rating) - mean - F.col(f"{user}_bias")))
+    left = with_user.join(small(items), item).select(
         user, item, (F.col(rating) - mean - F.col(f"{user}_bias") - F.col(f"{item}_bias")).alias("rest"))
     als = ALS(rank=rank, maxIter=max_iter, regParam=reg, userCol=user, itemCol=item, ratingCol="rest",
               coldStartStrategy="nan", seed=SEED, checkpointInterval=5)
     model = als.fit(left)
-    target = (scored if scored is not None else ratings).join(users, user, "left").join(items, item, "left")
-    p = model.transform(target)
+    # one table a side with bias and factors, so that a row to predict is shuffled once, by user, before it carries factors
+    users, items = (staged(b.join(f.select(F.col("id").alias(key), F.col("features").alias(f"__{key}")), key, "left"))
+                    for key, b, f in ((user, users, model.userFactors), (item, items, model.itemFactors)))
+    p = (scored if scored is not None else ratings).join(users, user, "left").join(small(items), item, "left")
+    product = F.lit(0.0).cast("float")  # in floats and in this order, as the model's own transform
+    for i in range(rank):
+        product = product + F.col(f"__{user}")[i] * F.col(f"__{item}")[i]
     total = mean + F.coalesce(f"{user}_bias", F.lit(0.0)) + F.coalesce(f"{item}_bias", F.lit(0.0)) + F.nanvl(
-        F.col("prediction").cast("double"), F.lit(0.0))
-    return model, p.withColumn("prediction", F.least(F.greatest(total, lo), hi))
+        F.coalesce(product.cast("double"), F.lit(0.0)), F.lit(0.0))
+    return model, p.withColumn("prediction", F.least(F.greatest(total, lo), hi)).drop(f"__{user}", f"__{item}")
 
 
 def importance_table(model, features: list[str]) -> DataFrame:
