@@ -36,6 +36,9 @@ from .common import limit_batches, shingle_set, staged
 
 FIT_ROWS = 20_000
 ROWS_PER_ID = 4
+#: Tasks that work on the sample, and word forms that one of them counts at a time.
+FIT_TASKS = 32
+FORMS = 100_000
 MAX_PATTERNS = 2_000
 #: A pattern occurs in at least this many toxic rows of the sample, and in this share of them.
 MIN_SUPPORT, MIN_SHARE = 3.0, 0.02
@@ -186,7 +189,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             into = pos if toxic else neg
             for f in _forms(text or ""):
                 into[f] += w
-            if len(pos) + len(neg) > 400_000:  # bounded memory
+            if len(pos) + len(neg) > FORMS:  # bounded memory
                 yield out()
                 pos, neg = Counter(), Counter()
     yield out()
@@ -204,9 +207,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Grammar
     one_id = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     rows = (docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").withColumn("k", F.row_number().over(one_id))
             .where(F.col("k") <= ROWS_PER_ID).select("text", "toxic"))
-    texts = (rows.mapInArrow(_copies, "text string, toxic int, m1 long, m2 long"))
-    texts = staged(texts)
-    n1, n2 = (texts.groupBy(m).agg(F.count(F.lit(1)).alias(f"c_{m}")) for m in ("m1", "m2"))
+    # the sample is bounded, so few tasks hold it, and the counts of its MinHash values go to each of them
+    texts = staged(rows.coalesce(FIT_TASKS).mapInArrow(_copies, "text string, toxic int, m1 long, m2 long"))
+    n1, n2 = (F.broadcast(texts.groupBy(m).agg(F.count(F.lit(1)).alias(f"c_{m}"))) for m in ("m1", "m2"))
     weighed = staged(texts.join(n1, "m1").join(n2, "m2").select("text", "toxic", (1.0 / F.greatest("c_m1", "c_m2")).alias("w")))
     total = weighed.agg(F.sum(F.when(F.col("toxic") == 1, F.col("w"))).alias("pos"),
                         F.sum(F.when(F.col("toxic") == 0, F.col("w"))).alias("neg")).first()
