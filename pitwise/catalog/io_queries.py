@@ -151,9 +151,9 @@ SELECT 'lang=' || lang AS label, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS I
 def q_textdirs(spark, sf):
     path = _scratch(spark, "txt")
     docs = table(spark, sf, "documents").select("lang", "text")
-    # a file per document: tasks move their own files (the default commit renames all of them one by one on the driver)
-    (docs.repartition(max(spark.sparkContext.defaultParallelism * 4, docs.rdd.getNumPartitions())).write.option("maxRecordsPerFile", 1)
-     .option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("lang").text(path))
+    # a file per document
+    docs = docs.repartition(max(spark.sparkContext.defaultParallelism * 8, docs.rdd.getNumPartitions()))
+    SK.write_text_folders(docs, path, "lang")
     return RD.read_text_folders(spark, path).select("label", "class_idx", "text")
 
 

@@ -36,13 +36,39 @@ def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict | None
     return r.load()
 
 
+#: Labels up to which their numbers are broadcast, so that rows (with whole texts) aren't shuffled by label; a label may have most rows.
+BROADCAST_LABELS = 100_000
+#: Files that Spark's text reader decompresses, by their name.
+COMPRESSED = ("gz", "bz2", "deflate", "lz4", "snappy", "zst")
+#: Bytes of small files that a task reads, if that leaves tasks enough for the cores.
+TASK_BYTES = 32 << 20
+
+
 def labelled_paths(paths: DataFrame, path_col: str = "path") -> DataFrame:
     """File name, label = parent folder, class index = position of the label in sorted labels."""
     parts = F.split(F.col(path_col), "/")
     d = paths.select("*", F.element_at(parts, -1).alias("name"), F.element_at(parts, -2).alias("label"))
     classes = global_row_number(d.select("label").distinct(), ["label"]).select(
         "label", (F.col("rn") - 1).cast("int").alias("class_idx"))
-    return d.join(classes, "label")
+    return d.join(F.broadcast(classes) if classes.count() <= BROADCAST_LABELS else classes, "label")
+
+
+def _whole_files(spark: SparkSession, root: str) -> DataFrame:
+    """Text and path of every file.  Bytes are read as they are, at a third of the cost of the text reader, which looks for codecs and
+    copies its settings for each file; it reads the compressed files, if there are any."""
+    source = spark.read.option("recursiveFileLookup", "true")
+    path = F.col("_metadata.file_path")
+    packed = path.rlike(rf"\.({'|'.join(COMPRESSED)})$")
+    files = source.format("binaryFile").load(root)
+    least = spark.sparkContext.defaultParallelism * 4
+    size, others = files.select("length", packed.alias("packed")).coalesce(least).agg(F.coalesce(F.sum("length"), F.lit(0)), F.count(F.when(F.col("packed"), 1))).first()
+    # Spark counts 4 MB for each file and so would give a task some thirty of them
+    tasks = max(least, size // TASK_BYTES)
+    plain = files.where(~packed).select(F.col("content").cast("string").alias("text"), path.alias("path")).coalesce(tasks)
+    if not others:
+        return plain
+    texts = source.option("pathGlobFilter", f"*.{{{','.join(COMPRESSED)}}}").text(root, wholetext=True)
+    return plain.unionByName(texts.select(F.col("value").alias("text"), path.alias("path")))
 
 
 def multi_label(df: DataFrame, name: str, labels: str, sep: str = " "):
@@ -103,10 +129,10 @@ def read_text_folders(spark: SparkSession, root: str, lines: bool = False, eos:
     With `separator` a file holds many documents that end in it, and large files are split between tasks; without, a file is one
     document, which at scale means as many files as documents."""
     if not lines:
-        source = spark.read.option("recursiveFileLookup", "true")
-        df = source.option("lineSep", separator).text(root) if separator else source.text(root, wholetext=True)
-        df = df.select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
-        return labelled_paths(df)
+        if not separator:
+            return labelled_paths(_whole_files(spark, root))
+        df = spark.read.option("recursiveFileLookup", "true").option("lineSep", separator).text(root)
+        return labelled_paths(df.select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path")))
     df = spark.read.option("recursiveFileLookup", "true").text(root)
     return df.select(F.concat(F.col("value"), F.lit(f" {eos}")).alias("text"),
                      F.col("_metadata.file_path").alias("path"))
