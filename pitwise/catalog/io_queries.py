@@ -153,7 +153,8 @@ def q_textdirs(spark, sf):
     docs = table(spark, sf, "documents").select("lang", "text")
     # a file per document
     docs = docs.repartition(max(spark.sparkContext.defaultParallelism * 8, docs.rdd.getNumPartitions()))
-    SK.write_text_folders(docs, path, "lang")
+    # where Spark's writer makes the files, tasks move their own
+    SK.write_text_folders(docs, path, "lang", **{"mapreduce.fileoutputcommitter.algorithm.version": "2"})
     return RD.read_text_folders(spark, path).select("label", "class_idx", "text")
 
 

@@ -62,19 +62,19 @@ def _text_files(root: str, label: str):
     return run
 
 
-def write_text_folders(df: DataFrame, path: str, label: str, text: str = "text") -> None:
+def write_text_folders(df: DataFrame, path: str, label: str, text: str = "text", **options) -> None:
     """A file per row, its text and a line feed, in folders `label`=value as partitionBy(label) names them, one set of them per task.
 
     With a set per task its files are moved by renaming one folder, and readers list the sets in parallel.  In a store that
     executors open as local files they write the files themselves: there Hadoop, without its native library, starts a process
-    (chmod) for each file it makes and for each check sum."""
+    (chmod) for each file it makes and for each check sum.  In other stores Spark's writer makes them, with `options`."""
     spark = df.sparkSession
     rows = df.select(F.col(label).cast("string").alias(label), F.col(text).cast("binary").alias(text))
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if store.getUri().getScheme() != "file":
         rows = rows.select(F.spark_partition_id().alias("part"), label, F.col(text).cast("string").alias(text))
-        rows.write.option("maxRecordsPerFile", 1).partitionBy("part", label).text(path)
+        rows.write.options(maxRecordsPerFile=1, **options).partitionBy("part", label).text(path)
         return
     store.mkdirs(at)
     rows.mapInArrow(_text_files(at.toUri().getPath(), label), "n long").agg(F.sum("n")).collect()
